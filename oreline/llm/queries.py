@@ -9,18 +9,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from oreline.llm import sentencepiece_bpe, simhash
+from oreline.llm import fertility, mixing, sentencepiece_bpe, simhash, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
+    return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+#: Exact search over whole numbers is plain SQL on a small table.
+OP2_SQL = """
+WITH vectors AS (
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+  FROM vectors q JOIN vectors c ON c.vec_id <> q.vec_id
+  WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = fertility.judged(_table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.fingerprint_hex().alias("fingerprint"), "component_id")
@@ -28,10 +62,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_topk": op2_topk,
         "op4_sentencepiece": op4_sentencepiece,
+        "op6_fertility": op6_fertility,
+        "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_topk": OP2_SQL}
