@@ -11,13 +11,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import fertility, langid, mixing, quality, sentencepiece_bpe, simhash, topk, toxicity
+from oreline.llm import fertility, langid, mixing, pii, quality, sentencepiece_bpe, simhash, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base = F.filter("spans", lambda s: s["base"])
+    counts = {f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in pii.KINDS}
+    digest = F.sha2(pii.written_spans(base).cast("binary"), 256)
+    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), digest.alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+
+
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_table(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
@@ -74,6 +82,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pii": op1_pii,
         "op2_topk": op2_topk,
         "op3_toxicity": op3_toxicity,
         "op4_sentencepiece": op4_sentencepiece,
