@@ -21,9 +21,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.with_spans(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("spans", lambda s: s["base"])
-    counts = {f"n_{kind}": F.size(F.filter(base, lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in pii.KINDS}
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     digest = F.sha2(pii.written_spans(base).cast("binary"), 256)
-    return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), digest.alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
