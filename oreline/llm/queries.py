@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import fertility, langid, mixing, pii, quality, sentencepiece_bpe, simhash, topk, toxicity
+from oreline.llm import fertility, langid, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_bpe.encode_decode(_table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = fertility.judged(_table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -89,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_topk": op2_topk,
         "op3_toxicity": op3_toxicity,
         "op4_sentencepiece": op4_sentencepiece,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_fertility": op6_fertility,
         "op7_langid": op7_langid,
         "op8_mixing": op8_mixing,
