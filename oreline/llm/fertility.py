@@ -111,30 +111,35 @@ def token_measures(codec: Codec, text: str) -> tuple[int, float, float, float]:
 
 
 _MEASURES = (
-    "doc_id bigint, band_key string, script string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    "band_key string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
     "n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
 )
 
 
-def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Base and token measures of every whole text; one pass, no shuffle."""
+def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Add the base and token measures of every whole text; one pass, no shuffle.
+
+    The measures replace input columns of the same names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     fields = [f.split()[0] for f in _MEASURES.split(", ")]
+    source = docs.drop(*(c for c in fields if c in docs.columns and c not in (text, lang)))
+    at_text, at_lang = source.columns.index(text), source.columns.index(lang)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
             rows = []
-            for value, language in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for value, language in zip(batch.column(at_text).to_pylist(), batch.column(at_lang).to_pylist()):
                 value = value or ""
-                script = script_of(value) if language is None else ""
-                rows.append((language if language is not None else script, script, *base_measures(value), *token_measures(codec, value)))
-            columns = list(zip(*rows)) if rows else [()] * (len(fields) - 1)
-            types = [pa.string()] * 2 + [pa.int64()] * 6 + [pa.float64()] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], fields)
+                key = str(language) if language is not None else script_of(value)
+                rows.append((key, *base_measures(value), *token_measures(codec, value)))
+            columns = list(zip(*rows)) if rows else [()] * len(fields)
+            types = [pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*batch.schema.names, *fields])
 
-    source = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text], docs[lang].cast("string").alias("lang"))
-    return source.mapInArrow(run, _MEASURES)
+    return source.mapInArrow(run, f"{kept}, {_MEASURES}")
 
 
 def _weighted_median(counts: DataFrame, key: str, bin_: str) -> DataFrame:
@@ -157,7 +162,7 @@ def _weighted_median(counts: DataFrame, key: str, bin_: str) -> DataFrame:
 
 
 def bands(measured: DataFrame, key: str = "band_key") -> DataFrame:
-    """``key, n, middle, spread, byte_middle`` per language or script, over all documents.
+    """``key, __n, middle, spread, byte_middle`` per language or script, over all documents.
 
     Medians are exact on bins of a thousandth, so reruns agree; the bins are
     counted before they meet, and a key has a few thousand at most.
@@ -173,22 +178,23 @@ def bands(measured: DataFrame, key: str = "band_key") -> DataFrame:
     deviation = F.least(F.lit(50.0), F.abs(F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens"))
     spread = median_of(deviation, around.select(key, "chars_per_token", "middle", "n_tokens"), "spread")
     bytes_ = median_of(F.col("byte_share"), usable, "byte_middle")
-    return middle.join(spread, key).join(bytes_, key).select(key, F.col("n_middle").alias("n"), "middle", "spread", "byte_middle")
+    return middle.join(spread, key).join(bytes_, key).select(key, F.col("n_middle").alias("__n"), "middle", "spread", "byte_middle")
 
 
-def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text", doc_id: str = "doc_id", lang: str = "lang") -> DataFrame:
-    """Measures and verdict of every document: ``base_failed``, ``kept``, ``reason``.
+def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Every row with its measures and verdict: ``base_failed``, ``reason``, ``kept``.
 
     Null, empty and blank texts have no words and fail the base rules. Texts
     with fewer than ``MIN_TOKENS`` tokens, and languages and scripts too rare
     for a band, are judged by the base rules alone. Documents without a
     language use the band of their script. Repeated rows are judged alike, very
-    long texts whole; an empty table gives an empty one; other columns are
-    ignored. The bands table has one row per language or script (at most a few
-    hundred) and is the only thing broadcast.
+    long texts whole; an empty table gives an empty one; added columns replace
+    input columns of the same names, others pass through. The bands table has
+    one row per language or script (at most a few hundred) and is the only
+    thing broadcast but the vocabulary.
     """
-    measured = written(measures(docs, model_path, text=text, doc_id=doc_id, lang=lang), "fertility")
-    band = written(bands(measured).where(f"n >= {MIN_DOCUMENTS}"), "fertility-bands")
+    measured = written(measures(docs, model_path, text=text, lang=lang), "fertility")
+    band = written(bands(measured).where(f"__n >= {MIN_DOCUMENTS}"), "fertility-bands")
     if band.count() > 2000:
         raise ValueError("language column has over 2,000 values; map it to languages first")
     deviation = (F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
@@ -202,4 +208,10 @@ def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text"
         .when(judged_by_tokens & (F.col("entropy") < LOW_ENTROPY), "entropy")
     )
     joined = measured.join(F.broadcast(band), "band_key", "left")
-    return joined.withColumns({"base_failed": base, "reason": reason}).withColumn("kept", F.col("reason").isNull()).drop("n")
+    added = joined.withColumns({"base_failed": base, "reason": reason}).withColumn("kept", F.col("reason").isNull())
+    return added.drop("middle", "spread", "byte_middle", "__n")
+
+
+def accepted(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows that the rules keep, with their own columns."""
+    return judged(docs, model_path, text=text, lang=lang).where("kept").select(*docs.columns)

@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.operators.graph import connected_components
@@ -140,6 +140,13 @@ def linked_pairs(fps: DataFrame, threshold: int = 2) -> DataFrame:
     return home.join(near, (home["anchor"] == near["anchor"]) & (F.col("a") < F.col("b")) & close).select("a", "b")
 
 
+def _labelled(prints: DataFrame, threshold: int) -> DataFrame:
+    """``fp, first_id, component`` of the distinct fingerprints of ``doc_id, fp``."""
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
+    groups = connected_components(linked_pairs(distinct, threshold), "a", "b")
+    return distinct.join(groups, distinct["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, threshold: int = 2) -> DataFrame:
     """Fingerprint and near-duplicate component of every document.
 
@@ -154,15 +161,33 @@ def simhash_groups(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     its fingerprint and takes its group's smallest id.
     """
     prints = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    groups = connected_components(linked_pairs(distinct, threshold), "a", "b")
-    labelled = distinct.join(groups, distinct["fp"] == groups["node"], "left").select(
-        "fp", "first_id", F.coalesce("component", "fp").alias("component")
-    )
+    labelled = _labelled(prints, threshold)
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_print = labelled.join(least, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, threshold: int = 2) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id.
+
+    Between rows of that id and fingerprint the one with the smallest text hash
+    stays. A group without any id keeps one row. Columns stay as they are.
+    """
+    prints = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fingerprints")
+    first = F.struct(F.col("first_id").isNull(), "first_id", "fp")
+    stay = _labelled(prints, threshold).groupBy("component").agg(F.min(first).alias("first")).select("first.first_id", "first.fp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = [text_fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, "<u8").view("<i8"))], [*batch.schema.names[:-1], "__fp"])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    marked = docs.withColumn("__text", F.col(text)).mapInArrow(run, f"{kept}, __fp bigint")
+    chosen = marked.join(stay, (marked["__fp"] == stay["fp"]) & marked[doc_id].eqNullSafe(stay["first_id"]), "left_semi")
+    place = F.row_number().over(Window.partitionBy("__fp", doc_id).orderBy(F.xxhash64(text), F.xxhash64(*docs.columns)))
+    return chosen.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+
+
 def fingerprint_hex(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
