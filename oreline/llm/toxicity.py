@@ -31,6 +31,7 @@ SECOND_PERSON = frozenset("you your yours yourself ur u du dich dir dein deine i
 _LEET = str.maketrans("013457@$!|", "oieastasii")
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _INNER = re.compile(r"[\W_]+")
+_SIGNS = ".,;:!?\"'()[]{}<>|*%&$#-_"
 _NEAR = 6
 _MEMO = 500_000
 FEATURES = 18
@@ -59,32 +60,48 @@ class Words(dict):
         self.lexicon = lexicon
         self.rows: list[tuple[float, ...]] = []
         self._table = np.zeros((0, 8), np.float32)
+        self.filled = 0
 
     def weight(self, word: str) -> float:
-        found = max((self.lexicon.get(s, 0.0) for s in stems(word)), default=0.0)
+        get = self.lexicon.get
+        found = max([get(s, 0.0) for s in stems(word)]) if len(word) > 2 else 0.0
         return max(found, 6.0) if word in INSULTS else found
 
-    def __missing__(self, word: str) -> int:
+    def described(self, word: str) -> tuple[float, ...]:
+        core = word.strip(_SIGNS)
+        if core.isalpha():  # most words: letters only, signs at the ends at most
+            plain = core.lower()
+            caps = 0 if plain == core else sum(map(str.isupper, core))
+            n = len(core)
+            return (self.weight(plain), 0.0, plain in SECOND_PERSON, caps, n, n > 1 and caps == n, False, len(word) - n)
         plain, readable = plain_form(word), readable_form(word)
         weight = self.weight(plain)
         hidden = self.weight(readable) if readable != plain and not weight else 0.0
         letters = sum(map(str.isalpha, word))
         caps = sum(map(str.isupper, word))
-        mixed = bool(plain) and not plain.isalpha() and any(map(str.isalpha, plain))
+        mixed = bool(plain) and any(map(str.isalpha, plain))
+        return (weight, hidden, plain in SECOND_PERSON, caps, letters, letters > 1 and caps == letters, mixed, len(word) - letters)
+
+    def __missing__(self, word: str) -> int:
         at = self[word] = len(self.rows)
-        self.rows.append((weight, hidden, plain in SECOND_PERSON, caps, letters, letters > 1 and caps == letters, mixed, len(word) - letters))
+        self.rows.append(self.described(word))
         return at
 
     def table(self, ids: np.ndarray) -> np.ndarray:
-        if len(self._table) < len(self.rows):
-            self._table = np.concatenate([self._table, np.array(self.rows[len(self._table) :], np.float32)])
+        if self.filled < len(self.rows):
+            if len(self._table) < len(self.rows):
+                grown = np.zeros((2 * len(self.rows), 8), np.float32)
+                grown[: self.filled] = self._table[: self.filled]
+                self._table = grown
+            self._table[self.filled : len(self.rows)] = self.rows[self.filled :]
+            self.filled = len(self.rows)
         return self._table[ids]
 
     def trim(self) -> None:
         if len(self.rows) >= _MEMO:
             self.clear()
             self.rows.clear()
-            self._table = self._table[:0]
+            self.filled = 0
 
 
 def features(text: str | None, words: Words) -> np.ndarray:
