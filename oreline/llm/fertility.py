@@ -181,7 +181,7 @@ def bands(measured: DataFrame, key: str = "band_key") -> DataFrame:
     return middle.join(spread, key).join(bytes_, key).select(key, F.col("n_middle").alias("__n"), "middle", "spread", "byte_middle")
 
 
-def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
+def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """Every row with its measures and verdict: ``base_failed``, ``reason``, ``kept``.
 
     Null, empty and blank texts have no words and fail the base rules. Texts
@@ -191,9 +191,11 @@ def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text"
     long texts whole; an empty table gives an empty one; added columns replace
     input columns of the same names, others pass through. The bands table has
     one row per language or script (at most a few hundred) and is the only
-    thing broadcast but the vocabulary.
+    thing broadcast but the vocabulary. Without ``keep_text`` the text is left
+    out of the result and of the table written between the two passes.
     """
-    measured = written(measures(docs, model_path, text=text, lang=lang), "fertility")
+    every = measures(docs, model_path, text=text, lang=lang)
+    measured = written(every if keep_text else every.drop(text), "fertility")
     band = written(bands(measured).where(f"__n >= {MIN_DOCUMENTS}"), "fertility-bands")
     if band.count() > 2000:
         raise ValueError("language column has over 2,000 values; map it to languages first")

@@ -65,7 +65,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = fertility.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    judged = fertility.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
