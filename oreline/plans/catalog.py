@@ -1,10 +1,6 @@
-"""Named queries over the star-schema tables, each with its SQL oracle."""
+"""All named queries over the star-schema tables, each with its SQL oracle."""
 
-from __future__ import annotations
+from oreline.plans import append_queries, aggregate_queries, geo_queries, model_queries, temporal_queries  # noqa: F401  they register themselves
+from oreline.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
