@@ -1 +1,423 @@
-"""Placeholder."""
+"""Aggregates, windows, set operations, allocation and streaming-shaped windows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from oreline.operators import aggregates as A
+from oreline.operators import allocation, scheduling
+from oreline.operators import windows as W
+from oreline.plans.registry import Tables, cents, day, query, text_day
+
+_C = "CAST(round({} * 100) AS BIGINT)"
+_SUM = "CAST(sum(" + _C + ") AS BIGINT)"
+
+
+@query("cumulative_filter", f"""
+SELECT l_suppkey, CAST(sum({_C.format('l_extendedprice')}) FILTER (l_returnflag IN ('A', 'R')) AS BIGINT) AS back, CAST(sum({_C.format('l_extendedprice')}) FILTER (l_returnflag = 'N') AS BIGINT) AS fresh
+FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY 1""")
+def cumulative_filter(t: Tables):
+    members = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    rows = A.restricted(t.lineitem.withColumn("v", cents("l_extendedprice")), members, ["l_suppkey"])
+    return A.filtered_sums(rows, ["l_suppkey"], "l_returnflag", "v", {"back": ["A", "R"], "fresh": ["N"]})
+
+
+@query("agg02_folded_streams", f"SELECT l_suppkey, CASE WHEN l_returnflag IN ('A', 'R') THEN 'liquid' ELSE l_returnflag END AS l_returnflag, {_SUM.format('l_extendedprice')} AS v FROM lineitem GROUP BY 1, 2")
+def agg02_folded_streams(t: Tables):
+    return A.stream_totals(t.lineitem.withColumn("v", cents("l_extendedprice")), ["l_suppkey"], "l_returnflag", "v", {"A": "liquid", "R": "liquid"})
+
+
+@query("month_census", """
+WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS mo, min(CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END) AS r FROM orders GROUP BY 1, 2)
+SELECT o_custkey, count(*) FILTER (r = 0) AS F, count(*) FILTER (r = 1) AS O, count(*) FILTER (r = 2) AS P,
+  date_diff('month', min(mo), max(mo)) + 1 AS span, date_diff('month', min(mo), max(mo)) + 1 - count(*) AS absent FROM m GROUP BY 1""")
+def month_census(t: Tables):
+    rows = t.orders.withColumn("month", F.trunc(day("o_orderdate"), "MM"))
+    return A.month_census(rows, ["o_custkey"], "month", "o_orderstatus", ["F", "O", "P"]).drop("first_month", "last_month")
+
+
+@query("agg04_coverage", """
+SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'observed_with_allocated' ELSE 'observed' END AS outcome,
+  CAST(round(round(CAST(sum(CASE WHEN o_orderstatus = 'P' THEN v ELSE 0 END) AS DECIMAL(18,0)) * 10000 / sum(v), 3), 0) AS BIGINT) AS share_4dp
+FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS v FROM orders) GROUP BY 1""")
+def agg04_coverage(t: Tables):
+    rows = t.orders.select("o_custkey", cents("o_totalprice").alias("v"), (F.col("o_orderstatus") == "P").alias("allocated"))
+    return A.coverage(rows, ["o_custkey"], "v", "allocated").select("o_custkey", "outcome", (F.col("allocated_share") * 10000).cast("long").alias("share_4dp"))
+
+
+@query("agg05_withholding_ledger", """
+SELECT o_custkey, count(DISTINCT date_trunc('month', o_orderdate)) AS months, strftime(min(o_orderdate), '%Y-%m') AS first, strftime(max(o_orderdate), '%Y-%m') AS last,
+  array_to_string(list_sort(list_distinct(list(o_orderpriority))), ',') AS rules FROM orders WHERE o_orderstatus = 'P' GROUP BY 1""")
+def agg05_withholding_ledger(t: Tables):
+    held = t.orders.where("o_orderstatus = 'P'").withColumn("m", F.date_format("o_orderdate", "yyyy-MM"))
+    return held.groupBy("o_custkey").agg(F.count_distinct("m").alias("months"), F.min("m").alias("first"), F.max("m").alias("last"), F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ",").alias("rules"))
+
+
+@query("agg06_pool_rollup", """
+WITH m AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS v, l_partkey, count(*) OVER w AS n, len(list_distinct(list(l_suppkey) OVER w)) AS pools,
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 1000 + l_suppkey) AS place FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber)),
+r AS (SELECT 'sum_over_pools' AS aggregation, CAST(sum(v) AS BIGINT) AS v FROM m WHERE n >= 2 AND pools = n GROUP BY l_orderkey, l_linenumber
+  UNION ALL SELECT CASE WHEN n = 1 THEN 'single' ELSE 'first_of_repeated' END, v FROM m WHERE n = 1 OR (pools < n AND place = 1))
+SELECT aggregation, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM r GROUP BY 1""")
+def agg06_pool_rollup(t: Tables):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("v"), F.lit(1).alias("days"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"))
+    kept, _ = A.pool_rollup(rows, ["l_orderkey", "l_linenumber"], "l_suppkey", "v", "days", "ord")
+    return kept.groupBy("aggregation").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
+
+
+@query("agg07_mart_rollup", """
+WITH head AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC)
+SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v, count(DISTINCT l_suppkey) AS pools, count(*) AS n FROM head WHERE l_returnflag <> 'N' GROUP BY 1""")
+def agg07_mart_rollup(t: Tables):
+    from oreline.operators.temporal import latest
+
+    head = latest(t.lineitem, ["l_orderkey", "l_linenumber"], "l_shipdate", ["l_partkey", "l_suppkey", "l_quantity"])
+    return head.where("l_returnflag <> 'N'").groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("v"), F.count_distinct("l_suppkey").alias("pools"), F.count("*").alias("n"))
+
+
+@query("stream_pivot", """
+SELECT l_suppkey, max(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'A') AS A_q, max(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'N') AS N_q, max(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag = 'R') AS R_q,
+  nullif(count(*) FILTER (l_returnflag = 'A'), 0) AS A_n, nullif(count(*) FILTER (l_returnflag = 'N'), 0) AS N_n, nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS R_n FROM lineitem GROUP BY 1""")
+def stream_pivot(t: Tables):
+    rows = t.lineitem.select("l_suppkey", "l_returnflag", F.col("l_quantity").cast("long").alias("v"))
+    return rows.groupBy("l_suppkey").pivot("l_returnflag", ["A", "N", "R"]).agg(F.max("v").alias("q"), F.count("v").alias("n"))
+
+
+_FACETS = """
+WITH c AS (SELECT {value} AS value, count(*) AS n FROM {table} GROUP BY 1),
+k AS (SELECT *, {hit} AS hit FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY hit ORDER BY n DESC, value) AS place FROM k),
+b AS (SELECT CASE WHEN hit AND place <= 5 THEN 'value' WHEN hit THEN 'remainder' WHEN value IS NULL THEN 'null' ELSE 'unmatched' END AS kind, CASE WHEN hit AND place <= 5 THEN value END AS value, n FROM r)
+SELECT kind, value, CAST(sum(n) AS BIGINT) AS n FROM b WHERE kind <> 'unmatched' GROUP BY 1, 2
+UNION ALL SELECT 'matched', NULL, CAST(coalesce(sum(n) FILTER (kind IN ('value', 'remainder')), 0) AS BIGINT) FROM b UNION ALL SELECT 'scope', NULL, CAST(sum(n) AS BIGINT) FROM b
+"""
+
+
+@query("facets_with_remainder", _FACETS.format(value="CASE WHEN p_size > 40 THEN NULL ELSE p_brand END", table="part", hit="value IS NOT NULL"))
+def facets_with_remainder(t: Tables):
+    return A.facets(t.part.withColumn("b", F.when(F.col("p_size") <= 40, F.col("p_brand"))), "b", top=5)
+
+
+@query("agg09_facet_search", _FACETS.format(value="p_brand", table="part", hit="coalesce(value ILIKE '%2%', false)"))
+def agg09_facet_search(t: Tables):
+    return A.facets(t.part, "p_brand", top=5, search=F.col("p_brand").ilike("%2%"))
+
+
+@query("agg10_status_census", """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n, array_to_string(list_sort(list_distinct(list(year(o_orderdate)::VARCHAR))), ',') AS derivations FROM orders GROUP BY 1, 2""")
+def agg10_status_census(t: Tables):
+    census = A.status_census(t.orders.withColumn("y", F.year("o_orderdate").cast("string")), ["o_orderstatus", "o_orderpriority"], "y")
+    return census.withColumn("derivations", F.array_join("derivations", ","))
+
+
+@query("cohort_rollup", f"""
+WITH f AS (SELECT o_custkey, year(min(o_orderdate)) AS cohort, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, {_SUM.format('o_totalprice')} AS v FROM orders GROUP BY 1)
+SELECT cohort::INTEGER AS cohort, count(c_custkey) AS customers, count(*) FILTER (done > 0) AS with_done, CAST(sum(v) AS BIGINT) AS v FROM customer LEFT JOIN f ON o_custkey = c_custkey GROUP BY 1""")
+def cohort_rollup(t: Tables):
+    per = t.orders.groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("cohort"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.sum(cents("o_totalprice")).alias("v"))
+    joined = t.customer.join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    return joined.groupBy("cohort").agg(F.count("c_custkey").alias("customers"), F.count_if(F.col("done") > 0).alias("with_done"), F.sum("v").alias("v"))
+
+
+@query("agg12_dense_counts", """
+SELECT k.o_orderpriority, v.status AS status, count(o.o_orderkey) AS n FROM (SELECT DISTINCT o_orderpriority FROM orders) k CROSS JOIN (VALUES ('F'), ('O'), ('X')) v(status)
+LEFT JOIN orders o ON o.o_orderpriority = k.o_orderpriority AND o.o_orderstatus = v.status GROUP BY 1, 2
+UNION ALL SELECT o_orderpriority, 'total', count(*) FROM orders WHERE o_orderstatus IN ('F', 'O', 'X') GROUP BY 1""")
+def agg12_dense_counts(t: Tables):
+    return A.dense_counts(t.orders.withColumnRenamed("o_orderstatus", "status"), ["o_orderpriority"], "status", ["F", "O", "X"])
+
+
+@query("support_bands", """
+SELECT CASE WHEN n <= 5 THEN '1-5' WHEN n <= 10 THEN '6-10' ELSE '11+' END AS band, count(*) AS n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) GROUP BY 1""")
+def support_bands(t: Tables):
+    counts = t.orders.groupBy("o_custkey").agg(F.count("*").alias("orders"))
+    return A.banded(counts, "orders", [("1-5", 1, 5), ("6-10", 6, 10), ("11+", 11, None)])
+
+
+@query("content_digest", """
+SELECT o_orderpriority, md5(string_agg(h, '' ORDER BY h)) AS digest, count(*) AS n FROM (SELECT o_orderpriority, md5(o_orderkey || '|' || o_custkey || '|' || o_orderstatus) AS h FROM orders) GROUP BY 1""")
+def content_digest(t: Tables):
+    return A.group_digest(t.orders, ["o_orderpriority"], ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query("agg14_table_digest")
+def agg14_table_digest(t: Tables):
+    return A.content_digest(t.orders, ["o_orderkey", "o_custkey", "o_orderstatus"])
+
+
+@query("agg15_ledger_summary", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def agg15_ledger_summary(t: Tables):
+    return t.events.groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
+
+
+@query("agg16_registry_arrays", """
+SELECT p_brand, array_to_string(list_sort(list_distinct(list(p_type))), ',') AS types, min(p_size) AS smallest FROM part GROUP BY 1""")
+def agg16_registry_arrays(t: Tables):
+    return t.part.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_type")), ",").alias("types"), F.min("p_size").alias("smallest"))
+
+
+@query("agg18_bool_evidence", "SELECT l_suppkey, bool_or(l_returnflag = 'R') AS any_back, bool_and(l_discount > 0) AS all_discounted FROM lineitem GROUP BY 1 HAVING count(*) > 10")
+def agg18_bool_evidence(t: Tables):
+    return t.lineitem.groupBy("l_suppkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("any_back"), F.bool_and(F.col("l_discount") > 0).alias("all_discounted"), F.count("*").alias("n")).where("n > 10").drop("n")
+
+
+@query("peer_quantiles", "SELECT p_brand, quantile_cont(c, 0.1) AS p10, quantile_cont(c, 0.5) AS p50, quantile_cont(c, 0.9) AS p90, count(*) AS n FROM (SELECT p_brand, CAST(round(p_retailprice * 100) AS BIGINT)::DOUBLE AS c FROM part) GROUP BY 1")
+def peer_quantiles(t: Tables):
+    rows = t.part.select("p_brand", cents("p_retailprice").cast("double").alias("c"))
+    return A.continuous_percentiles(rows, ["p_brand"], "c", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+
+
+for _rule, _place in (("nearest", "greatest(1, CAST(ceil(n * {a} / {b}.0) AS BIGINT))"), ("floor", "least(n, n * {a} // {b} + 1)")):
+
+    @query(f"agg2{1 if _rule == 'nearest' else 2}_{_rule}_rank", f"""
+WITH o AS (SELECT p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS c, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part)
+SELECT p_brand, min(c) FILTER (r = {_place.format(a=1, b=2)}) AS p50, min(c) FILTER (r = {_place.format(a=99, b=100)}) AS p99, max(n) AS n FROM o GROUP BY 1""")
+    def _ranked(t: Tables, rule=_rule):
+        rows = t.part.select("p_brand", cents("p_retailprice").alias("c"))
+        return A.ranked_percentiles(rows, ["p_brand"], "c", {"p50": (1, 2), "p99": (99, 100)}, rule)
+
+
+@query("bin_edges", """
+WITH p AS (SELECT CAST(round(c_acctbal * 100) AS BIGINT)::DOUBLE AS v FROM customer), e AS (SELECT [min(v)] || quantile_cont(v, [0.02, 0.2, 0.4, 0.6, 0.8, 0.98]) || [max(v)] AS edges FROM p WHERE v > 0)
+SELECT CASE WHEN v > 0 THEN greatest(0, least(len(list_filter(edges, lambda x: x <= v)) - 1, 6)) ELSE -1 END::INTEGER AS bin, count(*) AS n FROM p CROSS JOIN e GROUP BY 1""")
+def bin_edges(t: Tables):
+    rows = t.customer.select(cents("c_acctbal").cast("double").alias("v"))
+    return A.binned(rows, "v", A.bin_edges(rows, "v")).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("agg24_two_grains", "SELECT coalesce(r_name, 'all') AS region, n_name AS nation, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY GROUPING SETS ((r_name, n_name), (r_name))")
+def agg24_two_grains(t: Tables):
+    joined = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    fine = joined.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(F.count("*").alias("n"))
+    return fine.unionByName(fine.groupBy("region").agg(F.sum("n").alias("n")).withColumn("nation", F.lit(None).cast("string")))
+
+
+@query("agg27_coverage_counters", """
+SELECT o_orderpriority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS F, count(*) FILTER (o_orderstatus = 'O') AS O,
+  CAST(round(CAST(count(*) FILTER (o_orderstatus = 'F') AS DECIMAL(18,0)) * 1000000 / count(*), 0) AS BIGINT) AS share_6dp FROM orders GROUP BY 1""")
+def agg27_coverage_counters(t: Tables):
+    out = A.coverage_counters(t.orders, ["o_orderpriority"], "o_orderstatus", ["F", "O"])
+    return out.select("o_orderpriority", "n", "F", "O", (F.col("share") * 1000000).cast("long").alias("share_6dp"))
+
+
+@query("agg28_source_health", """
+WITH h AS (SELECT DISTINCT ON (o_orderpriority, o_custkey) * FROM orders ORDER BY o_orderpriority, o_custkey, o_orderdate DESC, o_orderkey DESC)
+SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'O') AS open_keys, count(*) FILTER (o_orderstatus = 'P') AS failed_keys,
+  strftime(min(o_orderdate) FILTER (o_orderstatus = 'O'), '%Y-%m-%d') AS oldest_open, count(DISTINCT o_orderkey) AS n_manifests FROM h GROUP BY 1""")
+def agg28_source_health(t: Tables):
+    state = F.when(F.col("o_orderstatus") == "O", "open").when(F.col("o_orderstatus") == "P", "failed").otherwise("new")
+    out = A.source_health(t.orders.withColumn("state", state), "o_orderpriority", "o_custkey", "o_orderdate", "state", "o_orderkey")
+    return out.select("o_orderpriority", "open_keys", "failed_keys", text_day("oldest_open").alias("oldest_open"), "n_manifests")
+
+
+@query("json_payload_agg", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")
+def json_payload_agg(t: Tables):
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return t.events.groupBy("event_type").agg(F.sum(k).alias("k"), F.count("*").alias("n"))
+
+
+@query("agg30_allocated_series", """
+SELECT year(l_shipdate)::INTEGER AS y, l_returnflag, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS v, array_to_string(list_sort(list_distinct(list(l_linestatus))), ',') AS classes FROM lineitem GROUP BY 1, 2""")
+def agg30_allocated_series(t: Tables):
+    return t.lineitem.groupBy(F.year("l_shipdate").alias("y"), "l_returnflag").agg(F.sum(F.col("l_quantity").cast("long")).alias("v"), F.array_join(F.array_sort(F.collect_set("l_linestatus")), ",").alias("classes"))
+
+
+@query("agg31_inventory", """
+SELECT l_returnflag, count(*) AS n_rows, count(DISTINCT date_trunc('month', l_shipdate)) AS n_months, strftime(min(l_shipdate), '%Y-%m') AS first, strftime(max(l_shipdate), '%Y-%m') AS last, count(DISTINCT l_suppkey) AS n_entities FROM lineitem GROUP BY 1""")
+def agg31_inventory(t: Tables):
+    rows = t.lineitem.withColumn("m", F.date_format("l_shipdate", "yyyy-MM"))
+    return A.dataset_inventory(rows, "l_returnflag", "m", "l_suppkey", "l_shipdate").select("l_returnflag", "n_rows", "n_months", F.col("first_month").alias("first"), F.col("last_month").alias("last"), "n_entities")
+
+
+@query("agg32_gates", """
+SELECT l_returnflag, CASE WHEN 100 * count(*) FILTER (l_discount > 0.02) >= 60 * count(*) THEN 'pass' ELSE 'fail' END AS gate_a, CASE WHEN 100 * count(*) FILTER (l_tax = 0) <= 5 * count(*) THEN 'pass' ELSE 'fail' END AS gate_b FROM lineitem GROUP BY 1""")
+def agg32_gates(t: Tables):
+    n = F.count("*")
+    return t.lineitem.groupBy("l_returnflag").agg(
+        A.gate(100 * F.count_if(F.col("l_discount") > 0.02), 60 * n, floor=True).alias("gate_a"), A.gate(100 * F.count_if(F.col("l_tax") == 0), 5 * n, floor=False).alias("gate_b")
+    )
+
+
+@query("agg_series_arrays", """
+SELECT user_id, string_agg(h::VARCHAR, ',' ORDER BY h) AS h, string_agg(n::VARCHAR, ',' ORDER BY h) AS n FROM (SELECT user_id, day(ts)::INTEGER AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1""")
+def agg_series_arrays(t: Tables):
+    per_day = t.events.groupBy("user_id", F.dayofmonth("ts").alias("h")).agg(F.count("*").alias("n"))
+    found = A.series(per_day, ["user_id"], "h", ["n"])
+    return found.select("user_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("h", "n")])
+
+
+@query("crosswalk_residual", """
+WITH a AS (SELECT l_suppkey, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem WHERE month(l_shipdate) <= 6 AND l_suppkey <> 7 AND l_orderkey < 3000 GROUP BY 1),
+b AS (SELECT l_suppkey, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem WHERE month(l_shipdate) > 6 AND l_suppkey <> 9 AND l_orderkey < 3000 GROUP BY 1)
+SELECT comparison, count(*) AS n FROM (SELECT CASE WHEN b.p IS NULL THEN 'only_left' WHEN a.p IS NULL THEN 'only_right' WHEN a.p <> b.p THEN 'different' ELSE 'agree' END AS comparison FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey) GROUP BY 1""")
+def crosswalk_residual(t: Tables):
+    rows = t.lineitem.where("l_orderkey < 3000")
+    half = F.month("l_shipdate") <= 6
+    return A.crosswalk(rows.where(half & (F.col("l_suppkey") != 7)), rows.where(~half & (F.col("l_suppkey") != 9)), "l_suppkey", "l_partkey").groupBy("comparison").agg(F.count("*").alias("n"))
+
+
+_SHARES = """
+WITH m AS (SELECT DISTINCT l_orderkey, l_linenumber, CAST(round(o_totalprice * 100) AS BIGINT) * CASE WHEN l_orderkey % 2 = 0 THEN -1 ELSE 1 END AS volume, l_linenumber <> 3 AS ok FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+w AS (SELECT *, count(*) FILTER (ok) OVER p AS n_eligible, min(l_linenumber) FILTER (ok) OVER p AS first FROM m WINDOW p AS (PARTITION BY l_orderkey)),
+s AS (SELECT *, sign(volume) * CASE WHEN ok THEN abs(volume) // n_eligible + CASE WHEN l_linenumber = first THEN abs(volume) % n_eligible ELSE 0 END ELSE 0 END AS share FROM w)
+"""
+
+
+def _shares(t: Tables):
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), (cents("o_totalprice") * F.when(F.col("o_orderkey") % 2 == 0, -1).otherwise(1)).alias("volume"))
+    members = t.lineitem.select("l_orderkey", "l_linenumber").distinct().join(orders, "l_orderkey").withColumn("ok", F.col("l_linenumber") != 3)
+    return allocation.equal_shares(members, ["l_orderkey"], "l_linenumber", "volume", "ok")
+
+
+@query("equal_share_allocation", _SHARES + "SELECT l_orderkey, l_linenumber, CAST(share AS BIGINT) AS share FROM s")
+def equal_share_allocation(t: Tables):
+    return _shares(t).select("l_orderkey", "l_linenumber", "share")
+
+
+@query("dom04_conservation", _SHARES + "SELECT n_eligible > 0 AS allocated, count(*) AS n, CAST(sum(abs(filed - got)) AS BIGINT) AS residual FROM (SELECT l_orderkey, max(volume) AS filed, sum(share) AS got, max(n_eligible) AS n_eligible FROM s GROUP BY 1) GROUP BY 1")
+def dom04_conservation(t: Tables):
+    ledger = allocation.conservation(_shares(t), ["l_orderkey"], "volume")
+    return ledger.groupBy((F.col("n_eligible") > 0).alias("allocated")).agg(F.count("*").alias("n"), F.sum(F.abs("residual")).alias("residual"))
+
+
+@query("dom03_unallocated_cause", """
+WITH g AS (SELECT o_orderkey AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo FROM orders WHERE o_orderkey % 2 = 0),
+m AS (SELECT l_orderkey AS k, l_linenumber AS member, CAST(l_shipdate AS DATE) AS completion, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) + 30 END AS plug FROM lineitem WHERE l_orderkey % 3 <> 0),
+j AS (SELECT g.k, count(member) AS n, count(*) FILTER (member IS NOT NULL AND coalesce(completion <= mo, true) AND NOT coalesce(mo > plug, false)) AS ok, count(*) FILTER (completion > mo) AS late, count(*) FILTER (plug < mo) AS gone FROM g LEFT JOIN m USING (k) GROUP BY 1)
+SELECT CASE WHEN n = 0 THEN 'no_crosswalk_row' WHEN late = n THEN 'all_after_month' WHEN gone = n THEN 'all_plugged_before_month' ELSE 'no_eligible_member' END AS cause, count(*) AS n FROM j WHERE ok = 0 GROUP BY 1""")
+def dom03_unallocated_cause(t: Tables):
+    groups = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.trunc(day("o_orderdate"), "MM").alias("mo"))
+    members = t.lineitem.where("l_orderkey % 3 <> 0").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("member"), day("l_shipdate").alias("completion"), F.when(F.col("l_linenumber") % 2 == 0, F.date_add(day("l_shipdate"), 30)).alias("plug")
+    )
+    return allocation.unallocated_cause(members, groups, ["k"], month="mo", completion="completion", plug="plug").groupBy("cause").agg(F.count("*").alias("n"))
+
+
+@query("allocation_backtest", _SHARES + """,
+e AS (SELECT s.l_orderkey, abs(share) AS a, coalesce(x.t, 0) AS t FROM s LEFT JOIN (SELECT l_orderkey, l_linenumber, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS t FROM lineitem GROUP BY 1, 2) x USING (l_orderkey, l_linenumber)),
+r AS (SELECT (a - t) / (a + t) AS err, row_number() OVER (ORDER BY (a - t) / (a + t)) AS p, count(*) OVER () AS n FROM e WHERE NOT (a = 0 AND t = 0))
+SELECT min(err) FILTER (p = CAST(ceil(n / 10.0) AS BIGINT)) AS p10, min(err) FILTER (p = CAST(ceil(n / 2.0) AS BIGINT)) AS p50, min(err) FILTER (p = CAST(ceil(n * 9 / 10.0) AS BIGINT)) AS p90, max(n) AS n FROM r""")
+def allocation_backtest(t: Tables):
+    truth = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.sum(cents("l_extendedprice")).alias("t"))
+    joined = _shares(t).withColumn("a", F.abs("share")).join(truth, ["l_orderkey", "l_linenumber"], "left")
+    errors = A.symmetric_errors(joined, ["l_orderkey"], "a", "t").withColumn("g", F.lit(1))
+    return A.ranked_percentiles(errors, ["g"], "error", {"p10": (1, 10), "p50": (1, 2), "p90": (9, 10)}).drop("g")
+
+
+# Windows
+
+
+@query("win09_overlap_count", "SELECT p_partkey, count(*) OVER (PARTITION BY p_brand, p_size) AS overlaps FROM part")
+def win09_overlap_count(t: Tables):
+    return W.overlap_count(t.part, ["p_brand", "p_size"]).select("p_partkey", "overlaps")
+
+
+@query("range_frame_count", """
+WITH o AS (SELECT o_orderkey, o_orderpriority || (o_custkey % 20)::VARCHAR AS seg, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m FROM orders)
+SELECT o_orderkey, count(*) OVER (PARTITION BY seg ORDER BY m RANGE BETWEEN 36 PRECEDING AND CURRENT ROW) - 1 AS trailing FROM o""")
+def range_frame_count(t: Tables):
+    rows = t.orders.withColumn("seg", F.concat("o_orderpriority", (F.col("o_custkey") % 20).cast("string")))
+    return W.trailing_count(rows, ["seg"], "o_orderdate", 36).select("o_orderkey", "trailing")
+
+
+@query("gap_islands", """
+SELECT user_id, CAST(max(island) AS BIGINT) AS islands FROM (SELECT user_id, sum(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS s FROM events)) GROUP BY 1""")
+def gap_islands(t: Tables):
+    return W.islands(t.events, ["user_id"], "ts", 6 * 3600, "event_id").groupBy("user_id").agg(F.max("island").alias("islands"))
+
+
+@query("kth_event", "SELECT user_id, event_id, k::INTEGER AS k FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k <= 24")
+def kth_event(t: Tables):
+    return W.kth_events(t.events, ["user_id"], ["ts", "event_id"], 24).select("user_id", "event_id", "k")
+
+
+@query("complete_prefix", """
+WITH d AS (SELECT user_id, day(ts)::INTEGER AS i, count(*) AS v FROM events GROUP BY 1, 2)
+SELECT user_id, i, CASE WHEN count(v) OVER w = i THEN CAST(sum(v) OVER w AS BIGINT) END AS cumulative FROM d WINDOW w AS (PARTITION BY user_id ORDER BY i ROWS UNBOUNDED PRECEDING)""")
+def complete_prefix(t: Tables):
+    daily = t.events.groupBy("user_id", F.dayofmonth("ts").alias("i")).agg(F.count("*").alias("v"))
+    return W.complete_prefix(daily, ["user_id"], "i", "v").select("user_id", "i", "cumulative")
+
+
+@query("win12_nth_month", """
+WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS mo FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY mo) AS k, min(mo) OVER (PARTITION BY o_custkey) AS first FROM m)
+SELECT o_custkey, date_diff('month', first, mo) + 1 AS calendar_months FROM r WHERE k = 5""")
+def win12_nth_month(t: Tables):
+    from oreline.functions.scalar import months_apart
+
+    months = t.orders.select("o_custkey", F.trunc(day("o_orderdate"), "MM").alias("mo")).distinct()
+    w = Window.partitionBy("o_custkey")
+    marked = months.withColumns({"k": F.row_number().over(w.orderBy("mo")), "first": F.min("mo").over(w)}).where("k = 5")
+    return marked.select("o_custkey", (months_apart("mo", "first") + 1).cast("long").alias("calendar_months"))
+
+
+@query("pct_of_total", "SELECT p_type, count(*) AS n, 100.0::DOUBLE * count(*) / (SELECT count(*) FROM part) AS percent FROM part GROUP BY 1")
+def pct_of_total(t: Tables):
+    return W.percent_of_total(t.part.groupBy("p_type").agg(F.count("*").alias("n")))
+
+
+@query("mode_tiebreak", "SELECT DISTINCT ON (p_brand) p_brand, p_type, n FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) ORDER BY p_brand, n DESC, p_type")
+def mode_tiebreak(t: Tables):
+    return A.modal(t.part, ["p_brand"], "p_type")
+
+
+@query("win18_identity_survivor", """
+SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment DESC NULLS LAST, c_acctbal ASC NULLS LAST, c_custkey) AS r FROM customer) WHERE r = 1""")
+def win18_identity_survivor(t: Tables):
+    return W.survivors(t.customer, ["c_nationkey"], [("c_mktsegment", True), ("c_acctbal", False)], "c_custkey")[0].select("c_nationkey", "c_custkey")
+
+
+# Sets
+
+
+@query("set01_union_arms", "SELECT 'observed' AS arm, n_nationkey AS k FROM nation UNION ALL SELECT 'allocated', r_regionkey FROM region")
+def set01_union_arms(t: Tables):
+    return t.nation.select(F.lit("observed").alias("arm"), F.col("n_nationkey").alias("k")).unionByName(t.region.select(F.lit("allocated").alias("arm"), F.col("r_regionkey").alias("k")))
+
+
+@query("set02_union_distinct", "SELECT l_suppkey AS k FROM lineitem UNION SELECT s_suppkey FROM supplier")
+def set02_union_distinct(t: Tables):
+    return t.lineitem.select(F.col("l_suppkey").alias("k")).union(t.supplier.select("s_suppkey")).distinct()
+
+
+@query("set03_difference", "SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 150000")
+def set03_difference(t: Tables):
+    return t.customer.select("c_custkey").subtract(t.orders.where("o_totalprice > 150000").select("o_custkey"))
+
+
+@query("set04_month_axis", """
+SELECT strftime(m, '%Y-%m-%d') AS month FROM (SELECT date_trunc('month', l_shipdate) AS m FROM lineitem UNION SELECT date_trunc('month', o_orderdate) FROM orders)""")
+def set04_month_axis(t: Tables):
+    a = t.lineitem.select(F.trunc(day("l_shipdate"), "MM").alias("m"))
+    b = t.orders.select(F.trunc(day("o_orderdate"), "MM").alias("m"))
+    return A.month_axis([a, b], [], "m").select(F.col("m").cast("string").alias("month"))
+
+
+# Event-time windows in batch form; the streaming forms give the same rows.
+
+
+@query("tumbling_windows", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def tumbling_windows(t: Tables):
+    counts = t.events.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
+@query("sliding_windows", """
+SELECT strftime(time_bucket(INTERVAL 2 HOUR, ts) - INTERVAL 2 HOUR * k, '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM events CROSS JOIN (VALUES (0), (1), (2)) s(k) GROUP BY 1""")
+def sliding_windows(t: Tables):
+    counts = t.events.groupBy(F.window("ts", "6 hours", "2 hours")).agg(F.count("*").alias("n"))
+    return counts.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("session_windows", """
+WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events))
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM s GROUP BY user_id, i""")
+def session_windows(t: Tables):
+    counts = t.events.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("n"))
+    return counts.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+@query("dom19_rate_windows", "SELECT user_id, strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') AS minute, count(*) AS n, greatest(count(*) - 1, 0) AS refused FROM events GROUP BY 1, 2")
+def dom19_rate_windows(t: Tables):
+    return scheduling.rate_windows(t.events, "user_id", "ts", 1).select("user_id", F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "n", "refused")
