@@ -69,7 +69,7 @@ def collision_router(t: Tables):
 
 
 @query("win06_occurrence_rank", """
-SELECT occurrence, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS occurrence FROM lineitem) GROUP BY 1""")
+SELECT occurrence::INTEGER AS occurrence, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) AS occurrence FROM lineitem) GROUP BY 1""")
 def win06_occurrence_rank(t: Tables):
     return append.occurrence(t.lineitem, ["l_orderkey", "l_linenumber"], [F.asc(c) for c in ("l_shipdate", "l_partkey", "l_suppkey")]).groupBy("occurrence").agg(F.count("*").alias("n"))
 

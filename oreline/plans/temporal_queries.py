@@ -219,7 +219,7 @@ def srt03_top_n(t: Tables):
 
 
 @query("srt04_nulls_last", """
-SELECT c_custkey, row_number() OVER (ORDER BY n ASC NULLS LAST, c_custkey) AS place FROM customer LEFT JOIN (SELECT o_custkey, nullif(count(*), 5) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey
+SELECT c_custkey, (row_number() OVER (ORDER BY n ASC NULLS LAST, c_custkey))::INTEGER AS place FROM customer LEFT JOIN (SELECT o_custkey, nullif(count(*), 5) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey
 ORDER BY place LIMIT 100""")
 def srt04_nulls_last(t: Tables):
     counts = t.orders.groupBy("o_custkey").agg(F.nullif(F.count("*"), F.lit(5)).alias("n"))
@@ -270,7 +270,7 @@ def src02_manifest_heads(t: Tables):
 
 
 @query("dom25_glossary_index", """
-SELECT DISTINCT p_type AS term, form, len(string_split(form, ' ')) AS words FROM (SELECT p_type, unnest([p_type, split_part(p_type, ' ', 1)]) AS form FROM part)""")
+SELECT DISTINCT p_type AS term, form, len(string_split(form, ' '))::INTEGER AS words FROM (SELECT p_type, unnest([p_type, split_part(p_type, ' ', 1)]) AS form FROM part)""")
 def dom25_glossary_index(t: Tables):
     terms = t.part.select(F.col("p_type").alias("term"), F.array(F.split_part("p_type", F.lit(" "), F.lit(1))).alias("aliases")).distinct()
     return serving.glossary_index(terms, "term", "aliases").select("term", "form", "words")
