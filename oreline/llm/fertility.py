@@ -60,6 +60,8 @@ def script_of(text: str) -> str:
     counts: dict[str, int] = {}
     for b, n in enumerate(np.bincount(block, minlength=len(_SCRIPTS)).tolist()):
         counts[names[b]] = counts.get(names[b], 0) + n
+    if counts["Japanese"]:  # Japanese text is Han characters among its own
+        counts["Japanese"] += counts.pop("Han")
     return max(counts, key=lambda k: (counts[k], k))
 
 
