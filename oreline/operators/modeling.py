@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def cumulative_labels(rows: DataFrame, key: str, month: str, streams: list[str],
     intermittent, missing_stream_observation, complete; only the last has a
     value. A key listed in ``withheld_keys`` is withheld throughout.
     """
-    producing = F.greatest(*[F.coalesce(F.col(s), F.lit(0)) for s in streams]) > 0
+    producing = reduce(operator.or_, [F.coalesce(F.col(s) > 0, F.lit(False)) for s in streams])
     w = Window.partitionBy(key)
     counted = rows.withColumn("__p", producing)
     counted = counted.withColumn("__k", F.when(F.col("__p"), F.sum(F.col("__p").cast("int")).over(w.orderBy(month).rowsBetween(Window.unboundedPreceding, 0))))

@@ -56,12 +56,12 @@ def agg05_withholding_ledger(t: Tables):
 
 @query("agg06_pool_rollup", """
 WITH m AS (SELECT l_orderkey, l_linenumber, l_suppkey, CAST(l_quantity AS BIGINT) AS v, l_partkey, count(*) OVER w AS n, len(list_distinct(list(l_suppkey) OVER w)) AS pools,
-  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey * 1000 + l_suppkey) AS place FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber)),
+  row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY (l_partkey * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT)) AS place FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber)),
 r AS (SELECT 'sum_over_pools' AS aggregation, CAST(sum(v) AS BIGINT) AS v FROM m WHERE n >= 2 AND pools = n GROUP BY l_orderkey, l_linenumber
   UNION ALL SELECT CASE WHEN n = 1 THEN 'single' ELSE 'first_of_repeated' END, v FROM m WHERE n = 1 OR (pools < n AND place = 1))
 SELECT aggregation, count(*) AS n, CAST(sum(v) AS BIGINT) AS v FROM r GROUP BY 1""")
 def agg06_pool_rollup(t: Tables):
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("v"), F.lit(1).alias("days"), (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("ord"))
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").cast("long").alias("v"), F.lit(1).alias("days"), ((F.col("l_partkey") * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"))
     kept, _ = A.pool_rollup(rows, ["l_orderkey", "l_linenumber"], "l_suppkey", "v", "days", "ord")
     return kept.groupBy("aggregation").agg(F.count("*").alias("n"), F.sum("v").alias("v"))
 
