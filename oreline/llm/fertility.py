@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from oreline.llm.sentencepiece_bpe import Codec, Vocabulary, codec_of, default_model
 from oreline.storage import written
 
-_WITH_DIGIT = re.compile(r"\S*\d\S*")
+_DIGIT = re.compile(r"\d")
+_WITH_DIGIT = re.compile(r"(?<!\S)(?=\S*\d)\S+")
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 #: First code point of a script's main block, in order.
@@ -100,14 +101,13 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
 
 def token_measures(codec: Codec, text: str) -> tuple[int, float, float, float]:
     """Token count, characters per token, byte-fallback share, relative entropy."""
-    kept = _WITH_DIGIT.sub("", text)
+    kept = _WITH_DIGIT.sub("", text) if _DIGIT.search(text) else text
     ids = np.frombuffer(codec.body(kept), "<u4")
     if not len(ids):
         return 0, 0.0, 0.0, 0.0
-    counts = np.bincount(ids)
-    line_ends = int(counts[codec.byte_ids[10]]) if len(counts) > codec.byte_ids[10] else 0
-    fallback = int(counts[list(filter(lambda i: i < len(counts), codec.byte_ids))].sum()) - line_ends
-    share = counts[counts > 0] / len(ids)
+    counts = np.bincount(ids, minlength=len(codec.raw))
+    fallback = int(counts[codec.byte_index].sum() - counts[codec.byte_ids[10]])  # line ends are no fallback
+    share = counts[np.flatnonzero(counts)] / len(ids)
     entropy = float(-(share * np.log2(share)).sum()) / math.log2(max(2, len(ids)))
     return len(ids), len(kept) / len(ids), fallback / len(ids), entropy
 

@@ -79,6 +79,7 @@ class Codec:
         self.score = {p: s for p, _, s in vocabulary.pieces}
         self.text_of = {i: p for p, i, _ in vocabulary.pieces}
         self.byte_ids = vocabulary.byte_ids
+        self.byte_index = np.array(vocabulary.byte_ids)
         self.alphabet = frozenset(p for p in self.id_of if len(p) == 1)
         #: The longest piece that is a proper prefix of a piece, or "".
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), "") for p in self.id_of}
