@@ -31,8 +31,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", *
     ends, self links and repeated links are ignored; an empty table gives an
     empty one.
     """
-    now = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v")
-    now = written(_small_star(now), "components")
+    links = written(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u <> v"), "links")
+    now = written(_small_star(links), "components")
     before = None
     for _ in range(max_rounds):
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
