@@ -26,6 +26,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 #: Labelled documents per language, about, and windows of each, at most.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 500, 8
+MAX_LANGUAGES = 2000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 512
@@ -146,9 +147,11 @@ def fitted(docs: DataFrame) -> Network | None:
     the text. ``docs`` has ``doc_id, text, lang``.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"over {MAX_LANGUAGES} languages")
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, DOCS_PER_LANGUAGE / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
     chosen = known.where(draw <= share[F.col("lang")])

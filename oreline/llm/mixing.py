@@ -156,12 +156,15 @@ def mixed(
     them, or single words. An empty table gives an empty one.
 
     The driver sees one row per shard: at most ``MAX_SHARDS`` and one more per
-    source. Rows of a source are salted over its shards before they are sorted,
+    source, of which there may be ``MAX_SHARDS`` too; both lists are broadcast.
+    Rows of a source are salted over its shards before they are sorted,
     so a source with a third of all rows is spread over tasks.
     """
     spark = docs.sparkSession
     base = docs.drop(*[c for c in _ADDED if c in docs.columns and c not in (text, doc_id, source)])
-    per_source = {r["source"]: r["n"] for r in base.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")).collect()}
+    per_source = {r["source"]: r["n"] for r in base.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")).limit(MAX_SHARDS + 1).collect()}
+    if len(per_source) > MAX_SHARDS:
+        raise ValueError(f"over {MAX_SHARDS} sources; group them first")
     docs_per_shard = max(SHARD_DOCS, math.ceil(sum(per_source.values()) / MAX_SHARDS))
     counts = spark.createDataFrame([(s, max(1, math.ceil(n / docs_per_shard))) for s, n in per_source.items()], "__source string, __shards long")
     key = F.xxhash64(F.col(doc_id), F.lit(seed))
