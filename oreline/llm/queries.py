@@ -64,6 +64,31 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed_repeats(_table(spark, sf_dir, "documents"))
 
 
+#: All 400-byte windows at once, on hexadecimal text: for small tables.
+OP5_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT r, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)
+), repeated AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS c FROM w) WHERE c > 1
+), islands AS (
+  SELECT r, min(i) AS s, max(i) + 400 AS e FROM (
+    SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS g FROM (
+      SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM repeated))
+  GROUP BY r, g
+), gaps AS (
+  SELECT r, s, e, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS before FROM islands
+), cut AS (
+  SELECT r, sum(e - s) AS removed, count(*) AS spans, max(e) AS last, string_agg(substr(h, 2 * before + 1, 2 * (s - before)), '' ORDER BY s) AS front
+  FROM gaps JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+
 def op6_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = fertility.judged(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep_text=False)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -103,4 +128,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL}
+    return {"op2_topk": OP2_SQL, "op5_suffix_dedup": OP5_SQL}
