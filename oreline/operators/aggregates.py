@@ -75,17 +75,20 @@ def facets(df: DataFrame, value: str, count_of: str | None = None, *, top: int =
 
     Rows are ``kind`` (``value, remainder, null, matched, scope``), ``value``
     and ``n``; ties of the ranking go to the smaller value. The facet is counted
-    once and only the small counts are ranked.
+    once; the top rows come from a bounded top-N of the counts and the remainder
+    is what they leave of the total, so many distinct values meet in no one task.
     """
     n = F.count_distinct(count_of) if count_of else F.count("*")
     hit = F.coalesce(search, F.lit(False)) if search is not None else F.col(value).isNotNull()
     counts = df.groupBy(value).agg(n.alias("n")).withColumn("__hit", hit)
-    ranked = counts.withColumn("__rank", F.row_number().over(Window.partitionBy("__hit").orderBy(F.desc("n"), F.asc(value))))
-    named = F.when(F.col("__hit") & (F.col("__rank") <= top), "value").when(F.col("__hit"), "remainder").when(F.col(value).isNull(), "null").otherwise("unmatched")
-    kinds = ranked.select(named.alias("kind"), F.when(named == "value", F.col(value)).alias("value"), "n")
-    buckets = kinds.where("kind <> 'unmatched'").groupBy("kind", "value").agg(F.sum("n").alias("n"))
-    totals = kinds.agg(F.sum(F.when(F.col("kind").isin("value", "remainder"), F.col("n")).otherwise(0)).alias("matched"), F.sum("n").alias("scope"))
-    return buckets.unionByName(totals.select(F.expr("stack(2, 'matched', string(null), matched, 'scope', string(null), scope) AS (kind, value, n)")))
+    first = counts.where("__hit").orderBy(F.desc("n"), F.asc(value)).limit(top).select(F.lit("value").alias("kind"), F.col(value).alias("value"), "n")
+    shown = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shown"))
+    empty = F.when(F.col(value).isNull() & ~F.col("__hit"), F.col("n")).otherwise(0)
+    totals = counts.agg(F.coalesce(F.sum(F.when(F.col("__hit"), F.col("n"))), F.lit(0)).alias("matched"), F.sum("n").alias("scope"), F.sum(empty).alias("empty"))
+    both = totals.crossJoin(F.broadcast(shown))  # one row and one row
+    named = "stack(4, 'remainder', string(null), matched - shown, 'null', string(null), empty, 'matched', string(null), matched, 'scope', string(null), scope) AS (kind, value, n)"
+    rest = both.select(F.expr(named)).where("n > 0 OR kind IN ('matched', 'scope')")
+    return first.unionByName(rest)
 
 
 def dense_counts(df: DataFrame, keys: list[str], label: str, vocabulary: list[str]) -> DataFrame:
