@@ -247,13 +247,12 @@ def agg_series_arrays(t: Tables):
 
 
 @query("crosswalk_residual", """
-WITH a AS (SELECT l_suppkey, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem WHERE month(l_shipdate) <= 6 AND l_suppkey <> 7 AND l_orderkey < 3000 GROUP BY 1),
-b AS (SELECT l_suppkey, list_sort(list_distinct(list(l_partkey))) AS p FROM lineitem WHERE month(l_shipdate) > 6 AND l_suppkey <> 9 AND l_orderkey < 3000 GROUP BY 1)
-SELECT comparison, count(*) AS n FROM (SELECT CASE WHEN b.p IS NULL THEN 'only_left' WHEN a.p IS NULL THEN 'only_right' WHEN a.p <> b.p THEN 'different' ELSE 'agree' END AS comparison FROM a FULL JOIN b ON a.l_suppkey = b.l_suppkey) GROUP BY 1""")
+WITH a AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS p FROM lineitem WHERE month(l_shipdate) <= 6 GROUP BY 1),
+b AS (SELECT l_orderkey, list_sort(list_distinct(list(l_linenumber))) AS p FROM lineitem WHERE month(l_shipdate) > 6 GROUP BY 1)
+SELECT comparison, count(*) AS n FROM (SELECT CASE WHEN b.p IS NULL THEN 'only_left' WHEN a.p IS NULL THEN 'only_right' WHEN a.p <> b.p THEN 'different' ELSE 'agree' END AS comparison FROM a FULL JOIN b ON a.l_orderkey = b.l_orderkey) GROUP BY 1""")
 def crosswalk_residual(t: Tables):
-    rows = t.lineitem.where("l_orderkey < 3000")
     half = F.month("l_shipdate") <= 6
-    return A.crosswalk(rows.where(half & (F.col("l_suppkey") != 7)), rows.where(~half & (F.col("l_suppkey") != 9)), "l_suppkey", "l_partkey").groupBy("comparison").agg(F.count("*").alias("n"))
+    return A.crosswalk(t.lineitem.where(half), t.lineitem.where(~half), "l_orderkey", "l_linenumber").groupBy("comparison").agg(F.count("*").alias("n"))
 
 
 _SHARES = """
@@ -281,14 +280,14 @@ def dom04_conservation(t: Tables):
 
 
 @query("dom03_unallocated_cause", """
-WITH g AS (SELECT o_orderkey AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo FROM orders WHERE o_orderkey % 2 = 0),
-m AS (SELECT l_orderkey AS k, l_linenumber AS member, CAST(l_shipdate AS DATE) AS completion, CASE WHEN l_linenumber % 2 = 0 THEN CAST(l_shipdate AS DATE) + 30 END AS plug FROM lineitem WHERE l_orderkey % 3 <> 0),
+WITH g AS (SELECT o_orderkey AS k, CAST(date_trunc('month', o_orderdate) AS DATE) AS mo FROM orders),
+m AS (SELECT l_orderkey AS k, l_linenumber AS member, CAST(l_shipdate AS DATE) AS completion, CASE WHEN l_returnflag = 'R' THEN CAST(l_shipdate AS DATE) + 30 END AS plug FROM lineitem WHERE l_linestatus = 'F'),
 j AS (SELECT g.k, count(member) AS n, count(*) FILTER (member IS NOT NULL AND coalesce(completion <= mo, true) AND NOT coalesce(mo > plug, false)) AS ok, count(*) FILTER (completion > mo) AS late, count(*) FILTER (plug < mo) AS gone FROM g LEFT JOIN m USING (k) GROUP BY 1)
 SELECT CASE WHEN n = 0 THEN 'no_crosswalk_row' WHEN late = n THEN 'all_after_month' WHEN gone = n THEN 'all_plugged_before_month' ELSE 'no_eligible_member' END AS cause, count(*) AS n FROM j WHERE ok = 0 GROUP BY 1""")
 def dom03_unallocated_cause(t: Tables):
-    groups = t.orders.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.trunc(day("o_orderdate"), "MM").alias("mo"))
-    members = t.lineitem.where("l_orderkey % 3 <> 0").select(
-        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("member"), day("l_shipdate").alias("completion"), F.when(F.col("l_linenumber") % 2 == 0, F.date_add(day("l_shipdate"), 30)).alias("plug")
+    groups = t.orders.select(F.col("o_orderkey").alias("k"), F.trunc(day("o_orderdate"), "MM").alias("mo"))
+    members = t.lineitem.where("l_linestatus = 'F'").select(
+        F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("member"), day("l_shipdate").alias("completion"), F.when(F.col("l_returnflag") == "R", F.date_add(day("l_shipdate"), 30)).alias("plug")
     )
     return allocation.unallocated_cause(members, groups, ["k"], month="mo", completion="completion", plug="plug").groupBy("cause").agg(F.count("*").alias("n"))
 

@@ -8,20 +8,23 @@ from oreline.functions import scalar as S
 from oreline.operators import append, rules, serving
 from oreline.plans.registry import Tables, cents, day, query, text_day
 
-# Batches: line items of even months are on record (A), a later run reads odd keys anew (B).
+# Batches: line items first shipped by September are on record (A); a later run reads those from April on (B).
 _BATCHES = """
-WITH base AS (SELECT l_orderkey, l_linenumber, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, min(l_suppkey) AS supp FROM lineitem GROUP BY 1, 2),
-a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE cents END AS cents, supp FROM base WHERE l_orderkey % 3 <> 0),
-b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 5 = 0 THEN cents + 1 WHEN l_orderkey % 13 = 0 THEN NULL ELSE cents END AS cents, supp FROM base WHERE l_orderkey % 4 <> 1)
+WITH base AS (SELECT l_orderkey, l_linenumber, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, min(l_suppkey) AS supp,
+  max(CAST(round(l_discount * 100) AS BIGINT)) AS d, min(CAST(round(l_tax * 100) AS BIGINT)) AS x, month(min(l_shipdate)) AS m FROM lineitem GROUP BY 1, 2),
+a AS (SELECT l_orderkey, l_linenumber, CASE WHEN d < 9 THEN cents END AS cents, supp FROM base WHERE m <= 9),
+b AS (SELECT l_orderkey, l_linenumber, CASE WHEN x <= 1 THEN cents + 1 WHEN d < 10 THEN cents END AS cents, supp FROM base WHERE m >= 4)
 """
 
 
 def _batches(t: Tables):
-    base = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.max(cents("l_extendedprice")).alias("cents"), F.min("l_suppkey").alias("supp"))
-    k = F.col("l_orderkey")
-    a = base.where(k % 3 != 0).withColumn("cents", F.when(k % 11 != 0, F.col("cents")))
-    b = base.where(k % 4 != 1).withColumn("cents", F.when(k % 5 == 0, F.col("cents") + 1).when(k % 13 != 0, F.col("cents")))
-    return a, b
+    base = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(
+        F.max(cents("l_extendedprice")).alias("cents"), F.min("l_suppkey").alias("supp"),
+        F.max(cents("l_discount")).alias("d"), F.min(cents("l_tax")).alias("x"), F.month(F.min("l_shipdate")).alias("m"),
+    )
+    a = base.where("m <= 9").withColumn("cents", F.when(F.col("d") < 9, F.col("cents")))
+    b = base.where("m >= 4").withColumn("cents", F.when(F.col("x") <= 1, F.col("cents") + 1).when(F.col("d") < 10, F.col("cents")))
+    return a.drop("d", "x", "m"), b.drop("d", "x", "m")
 
 
 @query("change_only_append", _BATCHES + """
@@ -88,9 +91,9 @@ def dom14_bitemporal_append(t: Tables):
 
 @query("dom15_quarantine_ledger", """
 SELECT l_linestatus AS reason_code, sum(n)::BIGINT AS seen, count(*) AS fingerprints, max(n) AS most FROM (
-  SELECT l_linestatus, l_suppkey, count(*) AS n FROM lineitem WHERE l_suppkey <= 50 GROUP BY 1, 2) GROUP BY 1""")
+  SELECT l_linestatus, l_suppkey, count(*) AS n FROM lineitem WHERE l_quantity < 3 GROUP BY 1, 2) GROUP BY 1""")
 def dom15_quarantine_ledger(t: Tables):
-    bad = t.lineitem.where("l_suppkey <= 50").select("l_suppkey", F.col("l_linestatus").alias("reason_code"), F.lit("r1").alias("rule_id"), "l_shipdate")
+    bad = t.lineitem.where("l_quantity < 3").select("l_suppkey", F.col("l_linestatus").alias("reason_code"), F.lit("r1").alias("rule_id"), "l_shipdate")
     rows = append.quarantine_rows(bad.drop("l_shipdate"), "lineitem", "validate", F.lit("2024-01-01").cast("date"))
     ledger = append.quarantine_ledger(rows)
     return ledger.groupBy("reason_code").agg(F.sum("occurrence_count").alias("seen"), F.count("*").alias("fingerprints"), F.max("occurrence_count").alias("most"))
@@ -155,9 +158,9 @@ def prj05_alias_join(t: Tables):
 
 
 @query("prj06_unit_conform", """
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(CAST(l_quantity AS DECIMAL(18,3)) * 0.158987, 2) * 100 AS BIGINT) AS hundredths FROM lineitem WHERE l_orderkey % 10 = 0""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(CAST(l_quantity AS DECIMAL(18,3)) * 0.158987, 2) * 100 AS BIGINT) AS hundredths FROM lineitem""")
 def prj06_unit_conform(t: Tables):
-    rows = t.lineitem.where("l_orderkey % 10 = 0").withColumn("v", F.col("l_quantity").cast("decimal(18,3)"))
+    rows = t.lineitem.withColumn("v", F.col("l_quantity").cast("decimal(18,3)"))
     out = rules.unit_conform(rows, rules.Rule("u1", "unit_conform", {"column": "v", "factor": "0.158987", "scale": 2}))[0]
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("v") * 100).cast("long").alias("hundredths"))
 
@@ -265,9 +268,9 @@ def prj21_length_bands(t: Tables):
 
 @query("prj22_ratio_or_reason", """
 SELECT coalesce(CASE WHEN p_size IS NULL THEN 'length_unavailable' WHEN p_size <= 0 THEN 'length_implausible' WHEN c / p_size < 3000 OR c / p_size > 90000 THEN 'out_of_range' END, 'ok') AS reason, count(*) AS n
-FROM (SELECT CASE WHEN p_partkey % 9 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN 0 ELSE p_size END AS p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) GROUP BY 1""")
+FROM (SELECT CASE WHEN p_size > 45 THEN NULL WHEN p_size < 4 THEN 0 ELSE p_size END AS p_size, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part) GROUP BY 1""")
 def prj22_ratio_or_reason(t: Tables):
-    size = F.when(F.col("p_partkey") % 9 == 0, None).when(F.col("p_partkey") % 7 == 0, 0).otherwise(F.col("p_size"))
+    size = F.when(F.col("p_size") > 45, None).when(F.col("p_size") < 4, 0).otherwise(F.col("p_size"))
     rows = t.part.select(size.alias("s"), cents("p_retailprice").alias("c"))
     _, reason = S.ratio_or_reason("c", "s", F.lit("reported"), 3000, 90000)
     return rows.groupBy(F.coalesce(reason, F.lit("ok")).alias("reason")).agg(F.count("*").alias("n"))
@@ -286,19 +289,19 @@ def prj24_basin_membership(t: Tables):
 
 
 @query("prj25_month_parsing", """
-SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month FROM orders WHERE o_orderkey % 3 < 3""")
+SELECT o_orderkey, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month FROM orders""")
 def prj25_month_parsing(t: Tables):
     d = day("o_orderdate")
     serial = F.datediff(d, F.lit("1899-12-30").cast("date")).cast("string")
-    text = F.when(F.col("o_orderkey") % 3 == 0, serial).when(F.col("o_orderkey") % 3 == 1, F.date_format(d, "yyyyMM")).otherwise(d.cast("string"))
+    text = F.when(F.col("o_orderstatus") == "F", serial).when(F.col("o_orderstatus") == "O", F.date_format(d, "yyyyMM")).otherwise(d.cast("string"))
     return t.orders.select("o_orderkey", S.month_of(text).cast("string").alias("month"))
 
 
 @query("prj30_status_precedence", """
 SELECT CASE WHEN length(trim(plug)) > 0 THEN 'plugged' ELSE nullif(trim(o_orderstatus), '') END AS status, count(*) AS n
-FROM (SELECT o_orderstatus, CASE WHEN o_orderkey % 6 = 0 THEN '1999' ELSE ' ' END AS plug FROM orders) GROUP BY 1""")
+FROM (SELECT o_orderstatus, CASE WHEN o_orderpriority = '5-LOW' THEN '1999' ELSE ' ' END AS plug FROM orders) GROUP BY 1""")
 def prj30_status_precedence(t: Tables):
-    plug = F.when(F.col("o_orderkey") % 6 == 0, "1999").otherwise(" ")
+    plug = F.when(F.col("o_orderpriority") == "5-LOW", "1999").otherwise(" ")
     return t.orders.groupBy(serving.status_precedence(F.col("o_orderstatus"), plug, "plugged").alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -331,9 +334,9 @@ def scl11_selector_terms(t: Tables):
 
 
 @query("scl14_verdicts", """
-SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l_orderkey % 60 < 50 AND l_orderkey % 60 < 10 THEN 'insufficient' WHEN l_tax - 0.06 < 0 THEN 'first_better' WHEN l_tax - 0.07 > 0 THEN 'second_better' ELSE 'tie' END AS verdict FROM lineitem) GROUP BY 1""")
+SELECT verdict, count(*) AS n FROM (SELECT CASE WHEN l_quantity < 10 THEN 'insufficient' WHEN l_tax - 0.06 < 0 THEN 'first_better' WHEN l_tax - 0.07 > 0 THEN 'second_better' ELSE 'tie' END AS verdict FROM lineitem) GROUP BY 1""")
 def scl14_verdicts(t: Tables):
-    n = F.when(F.col("l_orderkey") % 60 < 10, 10).otherwise(60)
+    n = F.when(F.col("l_quantity") < 10, 10).otherwise(60)
     rows = t.lineitem.select((F.col("l_tax") - 0.07).alias("lo"), (F.col("l_tax") - 0.06).alias("hi"), n.alias("n"))
     return rows.groupBy(S.outer_verdict("lo", "hi", "n").alias("verdict")).agg(F.count("*").alias("n"))
 

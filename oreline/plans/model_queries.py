@@ -11,7 +11,7 @@ from oreline.plans.registry import Tables, cents, day, query
 # Months of a customer's orders with two streams, F and O, as sums of cents.
 _MONTHLY = """
 WITH m AS (SELECT o_custkey, date_trunc('month', o_orderdate) AS mo, sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderstatus = 'F') AS a, sum(CAST(round(o_totalprice * 100) AS BIGINT)) FILTER (o_orderstatus = 'O') AS b,
-  bool_or(o_orderstatus = 'P' AND o_orderkey % 50 = 0) AS held FROM orders GROUP BY 1, 2)
+  bool_or(o_orderstatus = 'P' AND o_totalprice > 250000) AS held FROM orders GROUP BY 1, 2)
 """
 
 
@@ -19,7 +19,7 @@ def _monthly(t: Tables):
     v = cents("o_totalprice")
     return t.orders.groupBy("o_custkey", F.trunc(day("o_orderdate"), "MM").alias("mo")).agg(
         F.sum(F.when(F.col("o_orderstatus") == "F", v)).alias("a"), F.sum(F.when(F.col("o_orderstatus") == "O", v)).alias("b"),
-        F.when(F.bool_or((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 50 == 0)), "withheld").otherwise("reported").alias("fact"),
+        F.when(F.bool_or((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 250000)), "withheld").otherwise("reported").alias("fact"),
     )
 
 
@@ -75,32 +75,32 @@ def dom10_visible(t: Tables):
 
 
 @query("scl15_leakage_guard", """
-SELECT CASE WHEN k IS NULL THEN 'unavailable' WHEN k > o_orderdate THEN 'leakage' ELSE 'observed' END AS state, count(*) AS n FROM (SELECT o_orderdate, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE min(l_shipdate) END AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate) GROUP BY 1""")
+SELECT CASE WHEN k IS NULL THEN 'unavailable' WHEN k > o_orderdate THEN 'leakage' ELSE 'observed' END AS state, count(*) AS n FROM (SELECT o_orderdate, CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE min(l_shipdate) END AS k FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate, o_orderpriority) GROUP BY 1""")
 def scl15_leakage_guard(t: Tables):
     first = t.lineitem.groupBy("l_orderkey").agg(F.min("l_shipdate").alias("k0"))
-    rows = t.orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("k", F.when(F.col("o_orderkey") % 9 != 0, F.col("k0")))
+    rows = t.orders.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("k", F.when(F.col("o_orderpriority") != "5-LOW", F.col("k0")))
     return rows.groupBy(M.guarded_feature("o_totalprice", "k", "o_orderdate")[1].alias("state")).agg(F.count("*").alias("n"))
 
 
 @query("dom11_feature_snapshot", """
 WITH a AS (SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS d FROM orders WHERE CAST(o_orderdate AS DATE) <= DATE '1996-01-01' GROUP BY 1),
-n AS (SELECT n_nationkey, count(DISTINCT r) AS k, min(r) AS one FROM (SELECT n_nationkey, n_regionkey % 2 AS r FROM nation WHERE n_nationkey > 3 UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_nationkey > 15) GROUP BY 1)
+n AS (SELECT n_nationkey, count(DISTINCT r) AS k, min(r) AS one FROM (SELECT n_nationkey, n_regionkey % 2 AS r FROM nation WHERE n_regionkey > 0 UNION ALL SELECT n_nationkey, 1 FROM nation WHERE n_regionkey > 2) GROUP BY 1)
 SELECT c_custkey, strftime(d, '%Y-%m-%d') AS anchor_day, CASE WHEN d IS NULL THEN 'no_anchor' ELSE 'anchored' END AS anchor_status, CASE WHEN k IS NULL THEN 'missing' WHEN k > 1 THEN 'conflict' ELSE 'resolved' END AS alias_status
 FROM customer LEFT JOIN a ON o_custkey = c_custkey LEFT JOIN n ON n_nationkey = c_nationkey""")
 def dom11_feature_snapshot(t: Tables):
     old = F.lit("1990-01-01").cast("date")
-    aliases = t.nation.where("n_nationkey > 3").select("n_nationkey", (F.col("n_regionkey") % 2).alias("formation"), old.alias("effective_from"))
-    aliases = aliases.union(t.nation.where("n_nationkey > 15").select("n_nationkey", F.lit(1), old)).withColumnRenamed("n_nationkey", "c_nationkey")
+    aliases = t.nation.where("n_regionkey > 0").select("n_nationkey", (F.col("n_regionkey") % 2).alias("formation"), old.alias("effective_from"))
+    aliases = aliases.union(t.nation.where("n_regionkey > 2").select("n_nationkey", F.lit(1), old)).withColumnRenamed("n_nationkey", "c_nationkey")
     anchors = t.orders.select(F.col("o_custkey").alias("c_custkey"), day("o_orderdate").alias("event_day"), day("o_orderdate").alias("available_on"))
     out = M.feature_snapshot(t.customer.select("c_custkey", "c_nationkey"), anchors, aliases, "c_custkey", raw="c_nationkey", as_of=F.lit("1996-01-01").cast("date"))
     return out.select("c_custkey", F.col("anchor_day").cast("string").alias("anchor_day"), "anchor_status", "alias_status")
 
 
 @query("agg17_pool_status", """
-WITH r AS (SELECT l_orderkey, CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_returnflag END AS f, l_discount AS c FROM lineitem)
+WITH r AS (SELECT l_orderkey, CASE WHEN l_tax >= 0.08 THEN NULL ELSE l_returnflag END AS f, l_discount AS c FROM lineitem)
 SELECT l_orderkey, CASE WHEN count(f) = 0 THEN 'alias_unavailable' WHEN count(f) < count(*) THEN 'pool_unavailable' WHEN count(*) FILTER (c >= 0.01) < count(*) THEN 'below_confidence' WHEN count(DISTINCT f) FILTER (c >= 0.01) > 1 THEN 'conflict' ELSE 'mapped' END AS status FROM r GROUP BY 1""")
 def agg17_pool_status(t: Tables):
-    rows = t.lineitem.select("l_orderkey", F.when(F.col("l_partkey") % 23 != 0, F.col("l_returnflag")).alias("f"), F.col("l_discount").alias("c"))
+    rows = t.lineitem.select("l_orderkey", F.when(F.col("l_tax") < 0.08, F.col("l_returnflag")).alias("f"), F.col("l_discount").alias("c"))
     return M.pool_status(rows, "l_orderkey", "f", "c", 0.01).select("l_orderkey", "status")
 
 
