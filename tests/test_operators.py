@@ -398,3 +398,47 @@ def test_stream_append_is_change_only(spark, tmp_path):
     for run in ("one", "two"):  # the second run sees all files again
         forms.append_changes(stream, store, ["k"], "v", "x", str(tmp_path / run)).awaitTermination()
     assert sorted(r["k"] for r in spark.read.parquet(store).collect()) == ["a", "b"]
+
+
+def test_paged_walks_are_reconciled(spark):
+    pages = lambda rows: files.reconcile_pages(spark.createDataFrame(rows, "page int, declared int, k string"), "page", "declared", "k").first()["fault"]
+    assert pages([(1, 2, "a"), (2, 2, "b")]) is None
+    assert pages([(1, 3, "a"), (2, 3, "b")]) == "short"
+    assert pages([(1, 2, "a"), (2, 2, "a")]) == "duplicate_rows"
+    assert pages([(1, 1, "a"), (2, 1, "b")]) == "more_than_declared"
+
+
+def test_tables_append_rebuild_and_export(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    path = f"file://{tmp_path}/t"
+    sinks.append_rows(df, path, ["k", "v"])
+    sinks.append_rows(df, path, ["k", "v"])
+    assert spark.read.parquet(path).count() == 2
+    with pytest.raises(ValueError):
+        sinks.append_rows(df.withColumn("x", F.lit(1)), path, ["k", "v"])
+    sinks.rebuild(df, path)
+    assert spark.read.parquet(path).count() == 1
+    sinks.export_csv(df, f"{path}-csv", {"source": "s1"})
+    assert spark.read.option("header", True).csv(f"{path}-csv").first()["source"] == "s1"
+    assert sinks.coverage_document(df.agg(F.count("*").alias("n"), F.max("v").alias("m"))).first()["document"] == '{"m":1,"n":1}'
+    sinks.named_views(spark, {"exported": path})
+    assert spark.table("exported").count() == 1
+
+
+def test_point_facts(spark):
+    fact = lambda has, f, pending, lease: one(spark, serving.point_fact(F.lit(has), F.lit(f).cast("string"), F.lit(pending), F.lit(lease)))
+    assert fact(True, "reported", False, False) == "reported" and fact(False, None, False, False) == "no_report"
+    assert fact(True, "reported", True, True) == "multi_pool_pending" and fact(True, "reported", False, True) == "lease_reported"
+
+
+def test_monthly_jobs_fall_due(spark):
+    jobs = spark.createDataFrame([("m", "monthly", None, 31, D(2024, 1, 31)), ("n", "monthly", None, 5, D(2024, 2, 6)), ("o", "cadence", 7, None, None)], "job string, kind string, every_days int, month_day int, last_success date")
+    got = {r["job"]: (r["next_due"], r["due"]) for r in scheduling.next_due(jobs, F.lit("2024-02-29").cast("date")).collect()}
+    assert got == {"m": (D(2024, 2, 29), True), "n": (D(2024, 3, 5), False), "o": (D(2024, 2, 29), True)}
+
+
+def test_landed_files_have_content_addresses(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"x")
+    (tmp_path / "b.bin").write_bytes(b"x")
+    rows = files.landed(spark, str(tmp_path), "s", F.lit("2024-01-01").cast("date")).collect()
+    assert len({r["sha256"] for r in rows}) == 1 and len({r["manifest_id"] for r in rows}) == 2
