@@ -99,7 +99,7 @@ def fit(table: list[list[tuple[str, str]]], describe: Callable[[str], tuple[str,
 class Classes(dict):
     """Class number of each word; a class has three rows of label scores."""
 
-    def __init__(self, model: Model, describe: Callable[[str], tuple[str, ...]], limit: int = 500_000):
+    def __init__(self, model: Model, describe: Callable[[str], tuple[str, ...]], limit: int = 300_000):
         super().__init__()
         self.model, self.describe, self.limit = model, describe, limit
         self.known: dict[tuple[str, ...], int] = {}

@@ -133,8 +133,8 @@ def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "tex
         codec = codec_of(shared.value)
         for batch in batches:
             rows = []
-            for value, language in zip(batch.column(at_text).to_pylist(), batch.column(at_lang).to_pylist()):
-                value = value or ""
+            for value, language in zip(batch.column(at_text), batch.column(at_lang).to_pylist()):
+                value = value.as_py() or ""
                 key = str(language) if language is not None else script_of(value)
                 rows.append((key, *base_measures(value), *token_measures(codec, value)))
             columns = list(zip(*rows)) if rows else [()] * len(fields)

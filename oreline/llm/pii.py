@@ -11,7 +11,7 @@ a base span; base spans always stay.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -188,7 +188,7 @@ def passes(kind: str, text: str) -> bool:
 
 _STRIP = " \t\r\n,;:!?\"'<>|.*%&$#"
 _WORDS = re.compile(r"\S+")
-_TOKENS_AT_ONCE = 300_000
+_TOKENS_AT_ONCE = 200_000
 
 
 def _added(text: str, labels: np.ndarray, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
@@ -217,7 +217,7 @@ class Finder:
         self.model, self.classes = model, crf.Classes(model, describe)
         self.ends: dict[str, bool] = {}
 
-    def spans(self, texts: list[str]) -> list[list[tuple[int, str, int, bool]]]:
+    def spans(self, texts: Iterable[str]) -> list[list[tuple[int, str, int, bool]]]:
         out: list[list[tuple[int, str, int, bool]]] = []
         group: list[str] = []
         size = 0
@@ -270,7 +270,7 @@ def with_spans(docs: DataFrame, *, text: str = "text", spans: str = "spans") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
         for batch in batches:
-            found = finder.spans([t or "" for t in batch.column(at).to_pylist()])
+            found = finder.spans(t.as_py() or "" for t in batch.column(at))
             rows = [[{"kind": k, "start": s, "end": e, "base": b} for s, k, e, b in spans_] for spans_ in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _SPAN)], [*batch.schema.names, spans])
 

@@ -35,8 +35,8 @@ SPACE = "▁"
 BOS, EOS = 1, 2
 EDGES = struct.pack("<2I", BOS, EOS)
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
-#: Distinct chunks, and token pairs, remembered by one Python worker.
-MEMO_ENTRIES = 600_000
+#: Distinct chunks, and token pairs, that one Python worker remembers.
+MEMO_ENTRIES, PAIR_ENTRIES = 400_000, 200_000
 
 
 @dataclass(frozen=True)
@@ -113,7 +113,7 @@ class Codec:
         """Whether re-merging the two tokens gives exactly these two back."""
         known = self._pairs.get((left, right))
         if known is None:
-            if len(self._pairs) >= MEMO_ENTRIES:
+            if len(self._pairs) >= PAIR_ENTRIES:
                 self._pairs.clear()
             known = self.merged(left + right) == [left, right]
             self._pairs[left, right] = known
@@ -226,8 +226,8 @@ def encode_decode(
         codec = codec_of(shared.value)
         for batch in batches:
             counts, id_digests, text_digests, all_ids, texts = [], [], [], [], []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                ids = codec.encode(value or "")
+            for value in batch.column(batch.num_columns - 1):  # one text at a time in memory
+                ids = codec.encode(value.as_py() or "")
                 decoded = codec.decode(ids)
                 counts.append(len(ids))
                 id_digests.append(hashlib.sha256(ids.tobytes()).hexdigest())

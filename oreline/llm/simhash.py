@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [text_fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            fps = [text_fingerprint(t.as_py(), shingle) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, "<u8").view("<i8"))], ["doc_id", "fp"])
 
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text]).mapInArrow(run, "doc_id bigint, fp bigint")
@@ -179,7 +179,7 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [text_fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            fps = [text_fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, "<u8").view("<i8"))], [*batch.schema.names[:-1], "__fp"])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
