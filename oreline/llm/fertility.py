@@ -4,8 +4,8 @@ A public subword vocabulary spends few tokens on text like that it was made
 for and many on symbol noise, table debris or broken encodings. Three measures
 of a text's tokens are taken: characters per token, the share of byte-fallback
 tokens, and token entropy. Words with a digit (numbers, addresses, keys) are
-left out of them: they say nothing of the language. Bands come from the corpus:
-the median of a language's characters per token and the median deviation from
+left out of them: they say nothing of the language. Bands come from the corpus, per language
+or else script: the median of its characters per token and the median deviation from
 it, scaled by the root of the token count, since short texts scatter more.
 """
 
@@ -37,7 +37,7 @@ _SCRIPTS = (
 
 #: Texts with fewer tokens than this have no verdict of their own.
 MIN_TOKENS = 40
-#: A language with fewer measured documents takes its script's bands.
+#: A language with fewer measured documents takes its script's bands, a script those of all documents.
 MIN_DOCUMENTS = 50
 #: Rejected: characters per token this many scaled deviations, and this share, below the median.
 LOW_DEVIATIONS, LOW_SHARE = 3.5, 0.04
@@ -113,7 +113,7 @@ def token_measures(codec: Codec, text: str) -> tuple[int, float, float, float]:
 
 
 _MEASURES = (
-    "band_key string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
+    "text_script string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
     "n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
 )
 
@@ -126,17 +126,16 @@ def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     fields = [f.split()[0] for f in _MEASURES.split(", ")]
     source = docs.drop(*(c for c in fields if c in docs.columns and c not in (text, lang)))
-    at_text, at_lang = source.columns.index(text), source.columns.index(lang)
+    at_text = source.columns.index(text)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
             rows = []
-            for value, language in zip(batch.column(at_text), batch.column(at_lang).to_pylist()):
+            for value in batch.column(at_text):
                 value = value.as_py() or ""
-                key = str(language) if language is not None else script_of(value)
-                rows.append((key, *base_measures(value), *token_measures(codec, value)))
+                rows.append((script_of(value), *base_measures(value), *token_measures(codec, value)))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             types = [pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*batch.schema.names, *fields])
@@ -144,76 +143,100 @@ def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "tex
     return source.mapInArrow(run, f"{kept}, {_MEASURES}")
 
 
-def _weighted_median(counts: DataFrame, key: str, bin_: str) -> DataFrame:
-    """Exact lower median of binned values per key, from counts per bin."""
-    return counts.groupBy(key).agg(
-        F.sum("n").alias("n"),
-        F.array_sort(F.collect_list(F.struct(bin_, "n"))).alias("bins"),
-    ).select(
-        key,
+def _medians(counts: DataFrame) -> DataFrame:
+    """``key, measure, n, at``: exact lower medians from counts ``n`` per ``bin``."""
+    return counts.groupBy("key", "measure").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("bins")).select(
+        "key",
+        "measure",
         "n",
         F.aggregate(
             "bins",
             F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("at")),
             lambda acc, b: F.struct(
                 (acc["seen"] + b["n"]).alias("seen"),
-                F.coalesce(acc["at"], F.when(2 * (acc["seen"] + b["n"]) >= F.col("n"), b[bin_])).alias("at"),
+                F.coalesce(acc["at"], F.when(2 * (acc["seen"] + b["n"]) >= F.col("n"), b["bin"])).alias("at"),
             ),
         )["at"].alias("at"),
     )
 
 
-def bands(measured: DataFrame, key: str = "band_key") -> DataFrame:
-    """``key, __n, middle, spread, byte_middle`` per language or script, over all documents.
+#: Measures with a band and the tokens they are taken over; a spread is kept of the first ones.
+_SPREAD = (("chars_per_token", "n_tokens"),)
+_BANDED = (*_SPREAD, ("byte_share", "n_tokens"))
+_LEVELS = ("__language", "__script", "__all")
 
-    Medians are exact on bins of a thousandth, so reruns agree; the bins are
-    counted before they meet, and a key has a few thousand at most.
-    """
-    usable = measured.where(f"n_tokens >= {MIN_TOKENS}")
 
-    def median_of(value, rows: DataFrame, name: str) -> DataFrame:
-        counts = rows.groupBy(key, F.floor(value / _BIN).alias("bin")).agg(F.count("*").alias("n"))
-        return _weighted_median(counts, key, "bin").select(key, F.col("n").alias(f"n_{name}"), (F.col("at") * _BIN).alias(name))
+def _with_keys(measured: DataFrame, lang: str) -> DataFrame:
+    """Keys of the three levels of bands that a document may take."""
+    language = F.when(F.col(lang).isNotNull(), F.concat(F.lit("language "), F.col(lang).cast("string")))
+    return measured.withColumns({"__language": language, "__script": F.concat(F.lit("script "), F.col("text_script")), "__all": F.lit("all")})
+
 
-    middle = median_of(F.col("chars_per_token"), usable, "middle")
-    around = usable.join(F.broadcast(middle), key)
-    deviation = F.least(F.lit(50.0), F.abs(F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens"))
-    spread = median_of(deviation, around.select(key, "chars_per_token", "middle", "n_tokens"), "spread")
-    bytes_ = median_of(F.col("byte_share"), usable, "byte_middle")
-    return middle.join(spread, key).join(bytes_, key).select(key, F.col("n_middle").alias("__n"), "middle", "spread", "byte_middle")
+def bands(measured: DataFrame, lang: str = "lang") -> DataFrame:
+    """``key`` and, per banded measure, its middle and spread, over all documents.
+
+    There is a row per language, per script and one of all documents. Except in
+    that last one, a measure that fewer than ``MIN_DOCUMENTS`` documents have is
+    null. Medians are exact on bins of a thousandth, so reruns agree; the bins
+    are counted before they meet, and a key has a few thousand at most.
+    """
+    keyed = _with_keys(measured, lang)
+    values = F.filter(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value"), F.col(t).alias("tokens")) for m, t in _BANDED)), lambda v: v["tokens"] >= MIN_TOKENS)
+    usable = keyed.select(*_LEVELS, F.explode(values).alias("v")).select(*_LEVELS, "v.*")
+    counts = usable.groupBy(*_LEVELS, "measure", F.floor(F.col("value") / _BIN).alias("bin")).agg(F.count("*").alias("n"))
+    per_key = counts.withColumn("key", F.explode(F.array(*_LEVELS))).where("key is not null").groupBy("key", "measure", "bin").agg(F.sum("n").alias("n"))
+    middles = written(_medians(per_key).select("key", "measure", "n", (F.col("at") * _BIN).alias("middle")), "fertility-middles")
+    spreadable = [m for m, _ in _SPREAD]
+    around = usable.where(F.col("measure").isin(spreadable)).withColumn("key", F.explode(F.array(*_LEVELS))).where("key is not null").join(middles.drop("n"), ["key", "measure"])
+    deviation = F.least(F.lit(50.0), F.abs(F.col("value") - F.col("middle")) * F.sqrt("tokens"))
+    spreads = _medians(around.groupBy("key", "measure", F.floor(deviation / _BIN).alias("bin")).agg(F.count("*").alias("n"))).select("key", "measure", (F.col("at") * _BIN).alias("spread"))
+    enough = (F.col("n") >= MIN_DOCUMENTS) | (F.col("key") == "all")
+    known = middles.join(spreads, ["key", "measure"], "left").where(enough)
+    wide = [F.max(F.when(F.col("measure") == m, F.col("middle"))).alias(f"__middle_{m}") for m, _ in _BANDED]
+    wide += [F.max(F.when(F.col("measure") == m, F.col("spread"))).alias(f"__spread_{m}") for m in spreadable]
+    return known.groupBy("key").agg(*wide)
+
+
+def _with_bands(measured: DataFrame, lang: str) -> DataFrame:
+    """Every row with the bands of its language, else its script, else of all documents."""
+    band = written(bands(measured, lang), "fertility-bands")
+    names = [c for c in band.columns if c != "key"]
+    out = _with_keys(measured, lang)
+    for level in _LEVELS:
+        out = out.join(band.select(F.col("key").alias(level), *(F.col(c).alias(level + c) for c in names)), level, "left")
+    return out.withColumns({c: F.coalesce(*(F.col(level + c) for level in _LEVELS)) for c in names}).drop(*_LEVELS, *(level + c for level in _LEVELS for c in names))
 
 
 def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang", keep_text: bool = True) -> DataFrame:
     """Every row with its measures and verdict: ``base_failed``, ``reason``, ``kept``.
 
     Null, empty and blank texts have no words and fail the base rules. Texts
-    with fewer than ``MIN_TOKENS`` tokens, and languages and scripts too rare
-    for a band, are judged by the base rules alone. Documents without a
-    language use the band of their script. Repeated rows are judged alike, very
+    with fewer than ``MIN_TOKENS`` tokens are judged by the base rules alone.
+    A language with fewer than ``MIN_DOCUMENTS`` measured documents, or none,
+    takes the band of the text's script, and a script as rare the band of all
+    documents. Repeated rows are judged alike, very
     long texts whole; an empty table gives an empty one; added columns replace
     input columns of the same names, others pass through. The bands table has
-    one row per language or script (at most a few hundred) and is the only
-    thing broadcast but the vocabulary. Without ``keep_text`` the text is left
+    one row per language and script; only the vocabulary is broadcast by this
+    module, the bands where Spark sees fit. Without ``keep_text`` the text is left
     out of the result and of the table written between the two passes.
     """
     every = measures(docs, model_path, text=text, lang=lang)
     measured = written(every if keep_text else every.drop(text), "fertility")
-    band = written(bands(measured).where(f"__n >= {MIN_DOCUMENTS}"), "fertility-bands")
-    if band.count() > 2000:
-        raise ValueError("language column has over 2,000 values; map it to languages first")
-    deviation = (F.col("chars_per_token") - F.col("middle")) * F.sqrt("n_tokens")
-    low = (deviation < -LOW_DEVIATIONS * 1.4826 * F.col("spread")) & (F.col("chars_per_token") < (1 - LOW_SHARE) * F.col("middle"))
+    middle, spread = F.col("__middle_chars_per_token"), F.col("__spread_chars_per_token")
+    deviation = (F.col("chars_per_token") - middle) * F.sqrt("n_tokens")
+    low = (deviation < -LOW_DEVIATIONS * 1.4826 * spread) & (F.col("chars_per_token") < (1 - LOW_SHARE) * middle)
     judged_by_tokens = F.col("n_tokens") >= MIN_TOKENS
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     reason = (
         F.when(base, "base")
         .when(judged_by_tokens & low, "chars_per_token")
-        .when(judged_by_tokens & (F.col("byte_share") > F.col("byte_middle") + BYTE_MARGIN), "byte_share")
+        .when(judged_by_tokens & (F.col("byte_share") > F.col("__middle_byte_share") + BYTE_MARGIN), "byte_share")
         .when(judged_by_tokens & (F.col("entropy") < LOW_ENTROPY), "entropy")
     )
-    joined = measured.join(F.broadcast(band), "band_key", "left")
+    joined = _with_bands(measured, lang)
     added = joined.withColumns({"base_failed": base, "reason": reason}).withColumn("kept", F.col("reason").isNull())
-    return added.drop("middle", "spread", "byte_middle", "__n")
+    return added.drop(*(c for c in joined.columns if c.startswith(("__middle_", "__spread_"))))
 
 
 def accepted(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:

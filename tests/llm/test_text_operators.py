@@ -328,6 +328,21 @@ def test_bands_reject_symbol_noise_and_keep_the_rest(spark):
     assert fertility.judged(df.limit(0)).count() == 0
 
 
+def test_rare_languages_and_small_tables_have_bands(spark):
+    rnd = random.Random(5)
+    plain = ["the", "river", "was", "seen", "from", "every", "window", "of", "that", "house", "and", "again", "people", "walked", "under", "trees", "garden", "slowly"]
+    clean = lambda: " ".join(rnd.choice(plain) for _ in range(150))
+    noise = lambda: " ".join(rnd.choice(plain) + rnd.choice(["***", "%%%", "&&&"]) for _ in range(150))
+    for size in (120, 20):  # the language has enough documents, or the whole table has not
+        rows = [(i, clean(), "en") for i in range(size)] + [(900, noise(), "en"), (901, noise(), "zz"), (902, noise(), None), (903, clean(), "zz"), (904, clean(), None)]
+        out = {r["doc_id"]: r["reason"] for r in fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+        assert [out[i] for i in range(900, 905)] == ["chars_per_token"] * 3 + [None] * 2
+        assert all(out[i] is None for i in range(size))
+    rows = [(i, clean(), f"lang{i}") for i in range(2100)] + [(9000, noise(), "lang9000")]
+    out = fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [r["doc_id"] for r in out.where("not kept").collect()] == [9000]
+
+
 def test_scripts():
     assert [fertility.script_of(t) for t in ("abc", "привет", "日本語です", "123", "")] == ["Latin", "Cyrillic", "Japanese", "None", "None"]
 
