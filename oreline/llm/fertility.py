@@ -3,8 +3,11 @@
 A public subword vocabulary spends few tokens on text like that it was made
 for and many on symbol noise, table debris or broken encodings. Three measures
 of a text's tokens are taken: characters per token, the share of byte-fallback
-tokens, and token entropy. Words with a digit (numbers, addresses, keys) are
-left out of them: they say nothing of the language. Bands come from the corpus, per language
+tokens, and token entropy. Words with a digit (numbers, addresses, keys) would
+move a language's medians, so they are measured apart: the plain words, the
+words with a digit and the whole text each have byte share and entropy, the
+first two characters per token, and the digit words' share of the text is a
+measure too. Bands come from the corpus, per language
 or else script: the median of its characters per token and the median deviation from
 it, scaled by the root of the token count, since short texts scatter more.
 """
@@ -17,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreline.llm.sentencepiece_bpe import Codec, Vocabulary, codec_of, default_model
 from oreline.storage import written
 
 _DIGIT = re.compile(r"\d")
-_WITH_DIGIT = re.compile(r"(?<!\S)(?=\S*\d)\S+")
+_WITH_DIGIT = re.compile(r"(?<!\S)(?=\S*\d)(\S+)\s?")
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = " \t\n\v\f\r"
 #: First code point of a script's main block, in order.
@@ -43,6 +46,9 @@ MIN_DOCUMENTS = 50
 LOW_DEVIATIONS, LOW_SHARE = 3.5, 0.04
 #: Rejected: byte-fallback share this far above the language's median share.
 BYTE_MARGIN = 0.25
+#: Rejected: words with a digit that hold this much more of the text's letters and signs than the median
+#: share, plus one over the root of the word count, since short texts scatter more.
+DIGIT_MARGIN = 0.5
 #: Rejected: entropy below this share of the largest possible for the count.
 LOW_ENTROPY = 0.25
 _BIN = 1e-3
@@ -99,22 +105,39 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     )
 
 
-def token_measures(codec: Codec, text: str) -> tuple[int, float, float, float]:
-    """Token count, characters per token, byte-fallback share, relative entropy."""
-    kept = _WITH_DIGIT.sub("", text) if _DIGIT.search(text) else text
-    ids = np.frombuffer(codec.body(kept), "<u4")
-    if not len(ids):
-        return 0, 0.0, 0.0, 0.0
-    counts = np.bincount(ids, minlength=len(codec.raw))
+def _of_tokens(codec: Codec, counts: np.ndarray) -> tuple[int, float, float]:
+    """Token count, byte-fallback share and relative entropy from counts per piece."""
+    total = int(counts.sum())
+    if not total:
+        return 0, 0.0, 0.0
     fallback = int(counts[codec.byte_index].sum() - counts[codec.byte_ids[10]])  # line ends are no fallback
-    share = counts[np.flatnonzero(counts)] / len(ids)
-    entropy = float(-(share * np.log2(share)).sum()) / math.log2(max(2, len(ids)))
-    return len(ids), len(kept) / len(ids), fallback / len(ids), entropy
+    share = counts[np.flatnonzero(counts)] / total
+    return total, fallback / total, float(-(share * np.log2(share)).sum()) / math.log2(max(2, total))
+
+
+def token_measures(codec: Codec, text: str) -> tuple:
+    """Measures of the whole text, its plain words and its words with a digit.
+
+    Each part has token count, byte-fallback share and relative entropy, the
+    last two also characters per token; at the end stands the digit words'
+    share of the characters that are not blank.
+    """
+    digits = _WITH_DIGIT.findall(text) if _DIGIT.search(text) else []
+    parts = [_WITH_DIGIT.sub("", text), " ".join(digits)] if digits else [text]
+    counts = [np.bincount(np.frombuffer(codec.body(part), "<u4"), minlength=len(codec.raw)) for part in parts]
+    found = [_of_tokens(codec, c) for c in counts]
+    each = [v for part, f in zip(parts, found) for v in (*f, len(part) / f[0] if f[0] else 0.0)]
+    if not digits:
+        return (*found[0], *each, 0, 0.0, 0.0, 0.0, 0.0)
+    of_digits = sum(map(len, digits))
+    return (*_of_tokens(codec, counts[0] + counts[1]), *each, of_digits / (of_digits + len("".join(parts[0].split()))))
 
 
 _MEASURES = (
-    "text_script string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
-    "n_repeat_words bigint, n_tokens bigint, chars_per_token double, byte_share double, entropy double"
+    "text_script string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "n_tokens bigint, byte_share double, entropy double, "
+    "plain_tokens bigint, plain_byte_share double, plain_entropy double, chars_per_token double, "
+    "digit_tokens bigint, digit_byte_share double, digit_entropy double, digit_chars_per_token double, digit_share double"
 )
 
 
@@ -137,7 +160,7 @@ def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "tex
                 value = value.as_py() or ""
                 rows.append((script_of(value), *base_measures(value), *token_measures(codec, value)))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
-            types = [pa.string()] + [pa.int64()] * 6 + [pa.float64()] * 3
+            types = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[f.split()[1]] for f in _MEASURES.split(", ")]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*batch.schema.names, *fields])
 
     return source.mapInArrow(run, f"{kept}, {_MEASURES}")
@@ -161,8 +184,10 @@ def _medians(counts: DataFrame) -> DataFrame:
 
 
 #: Measures with a band and the tokens they are taken over; a spread is kept of the first ones.
-_SPREAD = (("chars_per_token", "n_tokens"),)
-_BANDED = (*_SPREAD, ("byte_share", "n_tokens"))
+_SPREAD = (("chars_per_token", "plain_tokens"), ("digit_chars_per_token", "digit_tokens"))
+_BYTES = (("byte_share", "n_tokens"), ("plain_byte_share", "plain_tokens"), ("digit_byte_share", "digit_tokens"))
+_ENTROPY = (("entropy", "n_tokens"), ("plain_entropy", "plain_tokens"), ("digit_entropy", "digit_tokens"))
+_BANDED = (*_SPREAD, *_BYTES, ("digit_share", "n_tokens"))
 _LEVELS = ("__language", "__script", "__all")
 
 
@@ -223,17 +248,24 @@ def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text"
     """
     every = measures(docs, model_path, text=text, lang=lang)
     measured = written(every if keep_text else every.drop(text), "fertility")
-    middle, spread = F.col("__middle_chars_per_token"), F.col("__spread_chars_per_token")
-    deviation = (F.col("chars_per_token") - middle) * F.sqrt("n_tokens")
-    low = (deviation < -LOW_DEVIATIONS * 1.4826 * spread) & (F.col("chars_per_token") < (1 - LOW_SHARE) * middle)
-    judged_by_tokens = F.col("n_tokens") >= MIN_TOKENS
+
+    def low(measure: str, tokens: str) -> Column:
+        middle, spread = F.col(f"__middle_{measure}"), F.col(f"__spread_{measure}")
+        deviation = (F.col(measure) - middle) * F.sqrt(tokens)
+        return (F.col(tokens) >= MIN_TOKENS) & (deviation < -LOW_DEVIATIONS * 1.4826 * spread) & (F.col(measure) < (1 - LOW_SHARE) * middle)
+
+    def above(measure: str, tokens: str, margin: Column) -> Column:
+        return (F.col(tokens) >= MIN_TOKENS) & (F.col(measure) > F.col(f"__middle_{measure}") + margin)
+
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    reason = (
-        F.when(base, "base")
-        .when(judged_by_tokens & low, "chars_per_token")
-        .when(judged_by_tokens & (F.col("byte_share") > F.col("__middle_byte_share") + BYTE_MARGIN), "byte_share")
-        .when(judged_by_tokens & (F.col("entropy") < LOW_ENTROPY), "entropy")
-    )
+    reason = F.when(base, "base")
+    for measure, tokens in _SPREAD:
+        reason = reason.when(low(measure, tokens), measure)
+    for measure, tokens in _BYTES:
+        reason = reason.when(above(measure, tokens, F.lit(BYTE_MARGIN)), measure)
+    for measure, tokens in _ENTROPY:
+        reason = reason.when((F.col(tokens) >= MIN_TOKENS) & (F.col(measure) < LOW_ENTROPY), measure)
+    reason = reason.when(above("digit_share", "n_tokens", DIGIT_MARGIN + 1 / F.sqrt("n_words")), "digit_share")
     joined = _with_bands(measured, lang)
     added = joined.withColumns({"base_failed": base, "reason": reason}).withColumn("kept", F.col("reason").isNull())
     return added.drop(*(c for c in joined.columns if c.startswith(("__middle_", "__spread_"))))

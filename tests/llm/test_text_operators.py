@@ -343,6 +343,24 @@ def test_rare_languages_and_small_tables_have_bands(spark):
     assert [r["doc_id"] for r in out.where("not kept").collect()] == [9000]
 
 
+def test_words_with_digits_are_judged(spark):
+    rnd = random.Random(7)
+    plain = ["the", "river", "was", "seen", "from", "every", "window", "of", "that", "house", "and", "again", "people", "walked", "under", "trees", "garden", "slowly"]
+    clean = lambda n: [rnd.choice(plain) for _ in range(n)]
+    key = lambda: "".join(rnd.choice("0123456789abcdef") for _ in range(16)) + "7"
+    leet = lambda: "".join(rnd.choice("bcdfgh0134$") for _ in range(6)) + "3"
+    rows = [(i, " ".join(clean(150) + (["in", "1987", "12,5"] if i % 2 else [])), "en") for i in range(120)]
+    rows += [
+        (900, " ".join(key() for _ in range(60)), "en"),
+        (901, " ".join(str(rnd.randint(100, 10**6)) for _ in range(200)), "en"),
+        (902, " ".join(w for x in clean(100) for w in (x, leet())), "en"),
+        (903, " ".join(clean(30) + [key() for _ in range(20)]), None),
+    ]
+    out = {r["doc_id"]: r["reason"] for r in fertility.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(out[i] for i in range(900, 904))
+    assert all(out[i] is None for i in range(120))
+
+
 def test_scripts():
     assert [fertility.script_of(t) for t in ("abc", "привет", "日本語です", "123", "")] == ["Latin", "Cyrillic", "Japanese", "None", "None"]
 
