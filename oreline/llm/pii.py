@@ -4,7 +4,8 @@ The base patterns find e-mail and IP addresses, card and phone numbers in their
 usual spellings. A linear-chain field over word shapes, trained from a small
 labelled table, adds spans in unusual spellings (``name [at] host [dot] com``,
 ``(555) 123-4567``, ``10[.]0[.]0[.]1``, dotted card numbers). What it marks must
-pass the kind's own check (Luhn, number ranges, digit counts) and may not touch
+pass the kind's own check (Luhn, number ranges, digit counts; any ending of an
+e-mail host, but a listed one where at or dot are bare words) and may not touch
 a base span; base spans always stay.
 """
 
@@ -73,12 +74,17 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 # Words that announce or spell out personal data.
 _CUES = frozenset("at dot tel tel: phone phone: call fax mobile email e-mail mail mail: email: write contact reach card card: visa ip ip: host server arobase arroba punto point punkt telefon teléfono téléphone [at] (at) {at} [dot] (dot) {dot} . [.]".split())
 _TLDS = frozenset("com org net edu gov io info de fr es uk eu".split())
+_OTHER_TLDS = tuple("ch at ca mx it nl dev be se pl jp app museum".split())  # in the labelled table only
 _COMMON = frozenset("the a an this that it is was look he she we they and or of le la les un une der die das el los una".split())
 _OUTER = ",;:!?\"'<>|"
 _SPLIT_AT = re.compile(r"\s*(?:[\[({]\s*(?:at|arroba|arobase)\s*[\])}]|\s(?:at|arroba|arobase)\s|@)\s*", re.I)
 _SPLIT_DOT = re.compile(r"\s*(?:[\[({]\s*(?:dot|punto|point|punkt|\.)\s*[\])}]|\s(?:dot|punto|point|punkt)\s|\.)\s*", re.I)
 
 
+_BARE_AT = re.compile(r"\s(?:at|arroba|arobase)\s", re.I)
+_BARE_DOT = re.compile(r"\s(?:dot|punto|point|punkt)\s", re.I)
+
+
 def shape(word: str) -> str:
     """Letters as x or X and digits as d, runs shortened, signs kept."""
     out: list[str] = []
@@ -135,6 +141,9 @@ _OTHER = (
 )
 
 
+_ENDINGS = (*sorted(_TLDS), *_OTHER_TLDS)
+
+
 def labelled_table(rows: int = 420, seed: int = 1) -> list[list[tuple[str, str]]]:
     """Sentences of (word, label); one in two holds no personal data."""
     rng = np.random.default_rng(seed)
@@ -144,7 +153,7 @@ def labelled_table(rows: int = 420, seed: int = 1) -> list[list[tuple[str, str]]
 
     def fill(form: str) -> str:
         def slot(m: re.Match) -> str:
-            return {"d": lambda: digit(int(m[2] or 1)), "o": lambda: str(rng.integers(0, 256)), "n": lambda: letters(3, 9), "h": lambda: letters(3, 9), "t": lambda: pick(sorted(_TLDS)),
+            return {"d": lambda: digit(int(m[2] or 1)), "o": lambda: str(rng.integers(0, 256)), "n": lambda: letters(3, 9), "h": lambda: letters(3, 9), "t": lambda: pick(_ENDINGS),
                     "x": lambda: "".join(pick("0123456789abcdef") for _ in range(20)), "f": lambda: pick(("the", "and", "Of", "tion", letters(2, 10), letters(4, 8).title(), letters(3, 9) + "."))}[m[1]]()
 
         return re.sub(r"\{([a-z])(\d?)\}", slot, form)
@@ -174,7 +183,10 @@ def passes(kind: str, text: str) -> bool:
         host = [p for p in _SPLIT_DOT.split(parts[-1])] if len(parts) == 2 else []
         clean = all(re.fullmatch(r"[A-Za-z0-9-]+", p) for p in host) and re.fullmatch(r"[A-Za-z0-9._%+-]+", parts[0])
         named = parts[0].lower() not in _COMMON and len(host) >= 2 and host[0].lower() not in _COMMON
-        return named and bool(clean) and host[-1].lower() in _TLDS
+        if not (named and clean):
+            return False
+        bare = _BARE_AT.search(text) or _BARE_DOT.search(text)  # "at" and "dot" may be words of the sentence
+        return host[-1].lower() in _TLDS or (not bare and re.fullmatch(r"[A-Za-z]{2,}", host[-1]) is not None)
     runs = re.findall(r"[0-9]+", text)
     digits = "".join(runs)
     if kind == "ip":

@@ -283,6 +283,15 @@ def test_field_adds_spans_and_keeps_base(spark):
     assert out[4]["spans"] == [] and out[5]["spans"] == []
 
 
+def test_marked_addresses_under_any_ending():
+    finder = pii.Finder(pii.fitted())
+    for address in ("anna [at] firma [dot] ch", "anna (at) firma (dot) at", "bob [at] host.it", "bob(at)example.nl", "joe [at] corp [dot] dev", "lea [at] uni-bern [dot] online"):
+        text = f"write to {address} please"
+        assert [(k, text[s:e]) for s, k, e, _ in finder.spans([text])[0]] == [("email", address)]
+    for text in ("he is [at] home . He was", "meet anna at noon dot ch", "look at home dot now"):
+        assert finder.spans([text])[0] == []
+
+
 def test_redaction(spark):
     rows = [(1, "x a@b.cd +1 (555) 123-4567 y", "en", 5), (2, None, None, None), (3, "plain", "en", 5)]
     out = {r["doc_id"]: r for r in pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")).collect()}
