@@ -129,9 +129,9 @@ def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-_SUFFIX = "token bigint, print bigint, span bigint, doc bigint, part int, place int, a int, b int"
-_FOUND = "doc bigint, part int, place int, a int, b int, kind int, bucket int, edge int, token bigint, print bigint, span bigint"
-_FOUND_TYPES = [pa.int64(), *[pa.int32()] * 7, *[pa.int64()] * 3]
+_SUFFIX = "token bigint, print bigint, span bigint, doc bigint, part bigint, place int, a int, b int"
+_FOUND = "doc bigint, part bigint, place int, a int, b int, kind int, bucket int, edge int, token bigint, print bigint, span bigint"
+_FOUND_TYPES = [*[pa.int64()] * 2, *[pa.int32()] * 6, *[pa.int64()] * 3]
 SAME, MIXED, GHOST, ALONE = 0, 1, 2, -1
 
 
@@ -232,7 +232,7 @@ def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole. Repeated rows repeat each other's strings. Ids may be null or occur
-    twice. An empty table gives an empty one; other columns are ignored. The
+    twice: rows are told apart by 128 bits of hashes of id and text. An empty table gives an empty one; other columns are ignored. The
     text is shuffled once, and once more where a text holds the edge of a
     repeated passage; nothing is broadcast.
     """
@@ -240,7 +240,8 @@ def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         raise ValueError(f"length must be at least {4 * BLOCK}")
     spark = docs.sparkSession
     half = length // 2
-    key = [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("doc"), F.hash(F.coalesce(F.col(text), F.lit(""))).alias("part")]
+    # two hashes of the text with different seeds, one of which the id gives: 128 bits between rows of one id
+    key = [F.xxhash64(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.lit("part"), F.col(text)).alias("part")]
     source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"), F.col(doc_id).cast("long").alias("doc_id"))
     total = source.agg(F.sum(F.length("data"))).first()[0] or 0
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -269,7 +270,7 @@ def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     by_doc = marks.groupBy("doc", "part").agg(F.collect_set(F.struct("kind", "place", "a", "b")).alias("marks"))
 
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if emit_text else "")
-    open_ddl = f"{result}, doc bigint, part int, packed binary, known array<struct<a:int,b:int>>, runs {_TABLE}"
+    open_ddl = f"{result}, doc bigint, part bigint, packed binary, known array<struct<a:int,b:int>>, runs {_TABLE}"
 
     def finish(doc_ids: list, texts: list[bytes], covered: list) -> list[pa.Array]:
         rows = [_result(d, r) for d, r in zip(texts, covered)]
@@ -297,7 +298,7 @@ def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
                 known.append([{"a": a, "b": b} for a, b in same] if rest else None)
                 runs.append(rest or None)
             cols = finish(ids, datas, covered)
-            extra = [pa.array(docs_, pa.int64()), pa.array(parts_, pa.int32()), pa.array(packed, pa.binary()), pa.array(known, struct_known), pa.array(runs, struct_runs)]
+            extra = [pa.array(docs_, pa.int64()), pa.array(parts_, pa.int64()), pa.array(packed, pa.binary()), pa.array(known, struct_known), pa.array(runs, struct_runs)]
             yield pa.RecordBatch.from_arrays(cols + extra, [*result_names, "doc", "part", "packed", "known", "runs"])
 
     joined = source.join(by_doc, ["doc", "part"], "left").select("doc", "part", "data", "doc_id", "marks")

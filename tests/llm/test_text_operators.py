@@ -219,6 +219,15 @@ def test_removed_repeats(spark, length, seed, monkeypatch):
     assert rows_of(got) == sorted(map(repr, want))
 
 
+def test_texts_of_one_id_with_equal_short_hashes_stay_apart(spark):
+    texts = spark.range(0, 200_000, 1, 8).select(F.concat(*(F.sha2((F.col("id") * 17 + i).cast("string"), 256) for i in range(9))).alias("text"))
+    pair = texts.groupBy(F.hash("text")).agg(F.collect_list("text").alias("t")).where("size(t) > 1").first()["t"][:2]
+    rows = [(None, pair[0]), (None, pair[1]), (1, pair[0][:450]), (2, pair[1][100:])]
+    want = [(d, *r) for (d, _), r in zip(rows, naive_removal([t for _, t in rows], 400))]
+    got = suffix_dedup.removed_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert rows_of(got) == sorted(map(repr, want))
+
+
 def test_removed_repeats_of_an_empty_table(spark):
     assert suffix_dedup.removed_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
