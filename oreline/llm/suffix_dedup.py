@@ -1,46 +1,47 @@
 """Exact removal of repeated byte strings with a distributed, sparse suffix array.
 
 A full suffix array of a corpus is many times its size, so suffixes are kept
-only where they are needed, in three passes of the same sort:
-
-1. *Anchors.* Every 400-byte window has a minimiser, the start of its least
-   hashed 8-gram among its first 200 positions; equal windows have it at equal
-   offsets. The suffixes at these anchors (one per 100 bytes) are sorted by
-   their first token and the fingerprint of their first 200 bytes. A suffix that
-   equals no neighbour has no repeated window; one whose neighbour also agrees
-   in the whole run of text that its windows span has only repeated windows.
-2. *Blocks.* Anchors in between, at the edges of repeated passages, are split
-   into blocks of 16 windows. If the text common to a block's windows is not
-   repeated none of them is; if all the text they span is repeated all are.
-3. *Windows* of the blocks that remain are sorted themselves.
-
-A pass range-partitions the suffixes by leading token, fingerprint and place
-(Spark samples the splitters), sorts each bucket by multikey quicksort, and
-compares across bucket borders. Places are part of the key, so a string that a
-third of all documents hold is cut over many buckets.
-
-Fingerprints are 64-bit polynomial hashes next to eight literal bytes.
+only at anchors. Every 400-byte window has a minimiser, the start of its least
+hashed 8-gram among its first 200 positions; equal windows have it at equal
+offsets, so two equal windows always meet at an anchor each.
+
+1. *Leading tokens.* The suffixes at all anchors are range-partitioned and
+   sorted by their leading token and a hash of their first 200 bytes. A suffix
+   that shares neither with another one has no repeated window. A hash can only
+   add candidates here, never lose one.
+2. *Suffix array.* The candidates come back with their bytes: up to 400 from
+   the anchor on and up to 199 before it. They are range-partitioned by three
+   leading tokens (Spark samples the splitters) and sorted in each bucket by
+   multikey quicksort on their bytes. A window is repeated inside the bucket if
+   another suffix shares its right part (a run of the suffix array) and its left
+   part (a run of the same suffixes sorted by the bytes before the anchor).
+3. *Borders.* Suffixes that share the leading tokens of a bucket's first or
+   last one may have partners in other buckets: their distinct windows are
+   compared across buckets, by 128-bit BLAKE2 digests, as a Spark aggregate.
+
+Rows are part of the partition key, so a string that a third of all documents
+hold is cut over many buckets. Copies that one task sees are combined before
+they are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oreline.storage import written
+from oreline.storage import Passes
 
-BLOCK = 16
 _GRAM = 8
-#: Suffixes of one bucket, about.
-BUCKET_ROWS = 400_000
+#: Suffixes of one bucket, about: without and with their bytes.
+BUCKET_ROWS, BUCKET_SUFFIXES = 400_000, 40_000
+#: Digests that a task remembers to combine copies.
+_MEMO = 200_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -129,97 +130,124 @@ def multikey_order(tokens: list[np.ndarray]) -> np.ndarray:
     return order
 
 
-_SUFFIX = "token bigint, print bigint, span bigint, doc bigint, part bigint, place int, a int, b int"
-_FOUND = "doc bigint, part bigint, place int, a int, b int, kind int, bucket int, edge int, token bigint, print bigint, span bigint"
-_FOUND_TYPES = [*[pa.int64()] * 2, *[pa.int32()] * 6, *[pa.int64()] * 3]
-SAME, MIXED, GHOST, ALONE = 0, 1, 2, -1
-
-
-def _judge_bucket(cols: dict[str, np.ndarray], bucket: int) -> pa.RecordBatch:
-    """Kinds of a sorted bucket's suffixes, and its first and last one for the borders."""
-    order = multikey_order([cols["token"], cols["print"], cols["span"]])
-    c = {k: v[order] for k, v in cols.items()}
-    n = len(order)
-    group = np.concatenate([[False], (c["token"][1:] == c["token"][:-1]) & (c["print"][1:] == c["print"][:-1]), [False]])
-    same = np.concatenate([[False], group[1:-1] & (c["span"][1:] == c["span"][:-1]), [False]])
-    repeated, grouped = same[:-1] | same[1:], group[:-1] | group[1:]
-    kind = np.where(repeated, SAME, np.where(grouped, MIXED, ALONE))
-    # one copy of each repeated run stands for it where its group is mixed or reaches a border
-    group_no = np.cumsum(~group[:-1]) - 1
-    class_first = ~same[:-1]
-    mixed = np.bincount(group_no, class_first) > 1
-    mixed[[0, -1]] = True
-    ghost = np.flatnonzero(class_first & repeated & mixed[group_no])
-    keep = np.flatnonzero(kind >= 0)
-    take = np.concatenate([keep, ghost, [0, n - 1]])
-    kinds = np.concatenate([kind[keep], np.full(len(ghost), GHOST), kind[[0, n - 1]]])
-    edge = np.concatenate([np.zeros(len(keep) + len(ghost), int), [1, 2]])
-    values = [c[k][take] for k in ("doc", "part", "place", "a", "b")]
-    values += [kinds, np.full(len(take), bucket), edge, *(c[k][take] for k in ("token", "print", "span"))]
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, _FOUND_TYPES)], [f.split()[0] for f in _FOUND.split(", ")])
-
-
-def repeated_suffixes(suffixes: DataFrame, buckets: int, tag: str) -> DataFrame:
-    """One pass of the suffix sort: ``doc, part, place, a, b, kind`` of repeated suffixes.
-
-    ``kind`` is SAME where another suffix has the same token, fingerprint and
-    span, MIXED where only the span differs, GHOST for one copy of a repeated
-    run that MIXED suffixes may match. The driver sees two rows per bucket.
-    """
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            cols = {name: table[name].to_numpy() for name in table.schema.names}
-            yield _judge_bucket(cols, TaskContext.get().partitionId())
-
-    ranged = suffixes.repartitionByRange(buckets, "token", "print", "span", "doc", "part", "place")
-    found = written(ranged.mapInArrow(run, _FOUND), tag)
-    edges = sorted(found.where("edge > 0").collect(), key=lambda r: (r["bucket"], r["edge"]))
-    fixes = []
-    for last, first in zip(edges[1::2], edges[2::2]):
-        if (last["token"], last["print"]) == (first["token"], first["print"]):
-            same = last["span"] == first["span"]
-            fixes += [(*r[:5], SAME if same else MIXED) for r in (last, first) if same or r["kind"] == ALONE]
-    rows = found.where("edge = 0").select("doc", "part", "place", "a", "b", "kind")
-    if not fixes:
-        return rows
-    return rows.union(suffixes.sparkSession.createDataFrame(fixes, rows.schema))
-
-
-def _ranges(mask_starts: list[tuple[int, int]], n: int) -> list[tuple[int, int]]:
+
+def _batch(ddl: str, columns: list) -> pa.RecordBatch:
+    fields = [f.split() for f in ddl.split(", ")]
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "string": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+_LEAD = "token bigint, print bigint, doc bigint, part bigint, salt bigint, twice boolean"
+_SEEN = "token bigint, print bigint, doc bigint, part bigint, found boolean, edge boolean"
+_SUFFIX = "t0 bigint, t1 bigint, t2 bigint, print bigint, salt bigint, doc bigint, part bigint, place int, first int, last int, bytes binary, before binary"
+_MARK = "doc bigint, part bigint, a int, b int, digest binary, alone boolean"
+_WINDOWS = ", ".join(_MARK.split(", ")[:4])
+
+
+_TOLD = "told_doc bigint, told_part bigint, a int, b int"
+
+
+def _both(rows: list[tuple], told: list[tuple], ddl: str) -> pa.RecordBatch:
+    """Suffix rows and rows of windows already known to be repeated, in one batch."""
+    suffix, known = len(_SUFFIX.split(", ")), len(_TOLD.split(", "))
+    return _batch(ddl, list(zip(*[(*r, *[None] * known) for r in rows], *[(*[None] * suffix, *t) for t in told])) or [()] * (suffix + known))
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks() if held else None
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffixes of one bucket that share token and hash, and one row of each key at its borders."""
+    table = _whole(batches)
+    if table is None:
+        return
+    c = {name: table[name].to_numpy() for name in table.schema.names}
+    order = multikey_order([c["token"], c["print"]])
+    c = {k: v[order] for k, v in c.items()}
+    same = np.concatenate([[False], (c["token"][1:] == c["token"][:-1]) & (c["print"][1:] == c["print"][:-1]), [False]])
+    found = same[:-1] | same[1:] | c["twice"].astype(bool)
+    edge = np.zeros(len(order), bool)
+    edge[[0, np.flatnonzero(~same[:-1])[-1]]] = True  # the first of the first and of the last key
+    keep = found | edge
+    yield _batch(_SEEN, [c[k][keep] for k in ("token", "print", "doc", "part")] + [found[keep], edge[keep]])
+
+
+def _rows_of_bytes(values: list[bytes], width: int) -> np.ndarray:
+    """Byte strings as rows of a matrix, filled up with zeros."""
+    return np.frombuffer(b"".join(v.ljust(width, b"\0") for v in values), np.uint8).reshape(len(values), width)
+
+
+def _tokens(matrix: np.ndarray) -> list[np.ndarray]:
+    """Columns of eight bytes as numbers that sort as the bytes do."""
+    return list(np.ascontiguousarray(matrix).view(">u8").astype(np.uint64).T)
+
+
+def _shared(matrix: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Length of the common start of each row and the next one in an order."""
+    out = np.empty(max(0, len(order) - 1), np.int64)
+    for at in range(0, len(out), 4096):
+        rows = matrix[order[at : at + 4097]]
+        differ = rows[1:] != rows[:-1]
+        out[at : at + 4096] = np.where(differ.any(axis=1), differ.argmax(axis=1), matrix.shape[1])
+    return out
+
+
+def _judge_bucket(c: dict, length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows of a bucket of suffixes, and what its borders must tell each other."""
+    n, half = len(c["doc"]), length // 2
+    right = _rows_of_bytes(c["bytes"], -(-length // 8) * 8)
+    left = _rows_of_bytes([b[::-1] for b in c["before"]], -(-half // 8) * 8)
+    place, least, most = c["place"], c["place"] - c["last"], c["place"] - c["first"]  # of a window's anchor in it
+    order = multikey_order(_tokens(right))
+    depth = _shared(right, order)
+    group = np.empty(n, np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(depth < half)])
+    left_order = multikey_order([group, *_tokens(left)])
+    left_depth = np.where(np.diff(group[left_order]) == 0, _shared(left, left_order), -1)
+
+    lead = [c[k] for k in ("t0", "t1", "t2", "print")]
+    ranged = np.lexsort(lead[::-1])
+    border = np.zeros(n, bool)
+    for end in ranged[[0, -1]]:
+        border |= np.logical_and.reduce([k == k[end] for k in lead])
+
+    repeated = np.zeros((n, half + 1), bool)  # one column more than offsets, so that runs end inside
+    told: list[tuple[int, np.ndarray, np.ndarray]] = []
+    run_right, run_left = np.empty(n, np.int64), np.empty(n, np.int64)
+    for offset in range(int(least.min()), int(most.max()) + 1):
+        rows = np.flatnonzero((least <= offset) & (offset <= most))
+        # rows that hold a window at this offset have all of its bytes, so the filling never counts
+        run_right[order] = np.concatenate([[0], np.cumsum(depth < length - offset)])
+        run_left[left_order] = np.concatenate([[0], np.cumsum(left_depth < offset)])
+        _, first, of, count = np.unique(run_right[rows] * (n + 1) + run_left[rows], return_index=True, return_inverse=True, return_counts=True)
+        repeated[rows, offset] = count[of] > 1
+        at_border = border[rows[first]]
+        told.append((offset, rows[first][at_border], count[at_border] == 1))
+
+    step = np.diff(np.concatenate([np.zeros((n, 1), np.int8), repeated.astype(np.int8)], axis=1), axis=1)
+    row, start = np.nonzero(step == 1)
+    end = np.nonzero(step == -1)[1] - 1
+    none = np.full(len(row), None)
+    yield _batch(_MARK, [c["doc"][row], c["part"][row], place[row] - end, place[row] - start, none, none])
+    for offset, r, alone in told:
+        digests = [_digest(c["before"][i][len(c["before"][i]) - offset :] + c["bytes"][i][: length - offset]) for i in r.tolist()]
+        yield _batch(_MARK, [c["doc"][r], c["part"][r], place[r] - offset, place[r] - offset, digests, alone])
+
+
+def _ranges(stretches: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs covered by ``[start, end)`` stretches."""
     out: list[list[int]] = []
-    for start, end in sorted(mask_starts):
+    for start, end in sorted(stretches):
         if out and start <= out[-1][1]:
             out[-1][1] = max(out[-1][1], end)
         else:
             out.append([start, end])
-    return [(s, min(e, n)) for s, e in out]
-
-
-def _result(data: bytes, runs: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-    digest, at = hashlib.sha256(), 0
-    for s, e in runs:
-        digest.update(data[at:s])
-        at = e
-    digest.update(data[at:])
-    return len(data), sum(e - s for s, e in runs), len(runs), digest.hexdigest()
-
-
-def _blocks(place: int, first: int, last: int) -> range:
-    """Last window start of each block of an anchor's windows, leftmost block last."""
-    return range(place - (place - last) // BLOCK * BLOCK, first - 1, -BLOCK)
-
-
-def _rows(name_types: str, columns: list) -> pa.RecordBatch:
-    fields = [f.split() for f in name_types.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
-
-
-_TABLE = "array<struct<kind:int,place:int,a:int,b:int>>"
+    return [(s, e) for s, e in out]
 
 
 def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = 400, emit_text: bool = False) -> DataFrame:
@@ -232,135 +260,119 @@ def removed_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     Null and empty texts have no bytes; texts shorter than ``length`` stay
     whole. Repeated rows repeat each other's strings. Ids may be null or occur
-    twice: rows are told apart by 128 bits of hashes of id and text. An empty table gives an empty one; other columns are ignored. The
-    text is shuffled once, and once more where a text holds the edge of a
-    repeated passage; nothing is broadcast.
+    twice: rows are told apart by 128 bits of hashes of id and text. An empty
+    table gives an empty one; other columns are ignored. Texts are shuffled
+    once, and those with a candidate once more; nothing is broadcast, and the
+    driver sees two counts. Long texts are read whole, and in a text that
+    repeats itself (a line of one sign, a table of zeros) each distinct suffix
+    is sorted once.
     """
-    if length < 4 * BLOCK:
-        raise ValueError(f"length must be at least {4 * BLOCK}")
+    if length < 8 * _GRAM:  # the leading tokens must lie in the half that equal windows share
+        raise ValueError(f"length must be at least {8 * _GRAM}")
     spark = docs.sparkSession
     half = length // 2
     # two hashes of the text with different seeds, one of which the id gives: 128 bits between rows of one id
     key = [F.xxhash64(F.col(doc_id), F.col(text)).alias("doc"), F.xxhash64(F.lit("part"), F.col(text)).alias("part")]
     source = docs.select(*key, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("data"), F.col(doc_id).cast("long").alias("doc_id"))
-    total = source.agg(F.sum(F.length("data"))).first()[0] or 0
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parallel, math.ceil(total / half / BUCKET_ROWS))
+    passes = Passes(spark, "suffix-dedup")
 
-    def anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def lead_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct token and hash of the suffixes of each text, and whether it has them twice."""
+        salt, held, size = 0, [], 0
         for batch in batches:
-            parts: list[list[np.ndarray]] = []
-            size = 0
             for doc, part, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if len(data) < length:
                     continue
                 t = Bytes(data)
-                place, first, last = anchors(t, length)
-                span = t.prints(first, last - first + length) ^ ((place - first) << 40 | (last - first) << 8)
-                parts.append([t.leading(place), t.prints(place, half), span, np.full(len(place), doc), np.full(len(place), part), place, first, last])
-                size += len(place)
+                place = anchors(t, length)[0]
+                hashed = t.prints(place, half)
+                _, first, count = np.unique(hashed, return_index=True, return_counts=True)
+                k, salt = len(first), salt + 1
+                held.append([t.leading(place[first]), hashed[first], np.full(k, doc), np.full(k, part), np.full(k, salt), count > 1])
+                size += k
                 if size > 200_000:
-                    yield _rows(_SUFFIX, [np.concatenate(c) for c in zip(*parts)])
-                    parts, size = [], 0
-            if parts:
-                yield _rows(_SUFFIX, [np.concatenate(c) for c in zip(*parts)])
-
-    suffixes = source.select("doc", "part", "data").mapInArrow(anchor_rows, _SUFFIX)
-    marks = repeated_suffixes(suffixes, buckets, "anchor-suffixes")
-    by_doc = marks.groupBy("doc", "part").agg(F.collect_set(F.struct("kind", "place", "a", "b")).alias("marks"))
-
-    result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if emit_text else "")
-    open_ddl = f"{result}, doc bigint, part bigint, packed binary, known array<struct<a:int,b:int>>, runs {_TABLE}"
-
-    def finish(doc_ids: list, texts: list[bytes], covered: list) -> list[pa.Array]:
-        rows = [_result(d, r) for d, r in zip(texts, covered)]
-        cols = [pa.array(doc_ids, pa.int64()), *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3] for r in rows], pa.string())]
-        if emit_text:
-            kept = [b"".join([d[a:b] for a, b in zip([0, *(e for _, e in r)], [*(s for s, _ in r), len(d)])]) for d, r in zip(texts, covered)]
-            cols.append(pa.array(kept, pa.binary()))
-        return cols
-
-    result_names = [f.split()[0] for f in result.split(", ")]
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of texts that the anchors settle; the rest is kept, packed."""
-        struct_known = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        struct_runs = pa.list_(pa.struct([(n, pa.int32()) for n in ("kind", "place", "a", "b")]))
-        for batch in batches:
-            docs_, parts_, datas, ids = (batch.column(i).to_pylist() for i in range(4))
-            covered, packed, known, runs = [], [], [], []
-            for data, found in zip(datas, batch.column(4).to_pylist()):
-                found = found or []
-                same = _ranges([(m["a"], m["b"] + length) for m in found if m["kind"] == SAME], len(data))
-                rest = [m for m in found if m["kind"] != SAME]
-                covered.append(same)
-                packed.append(zlib.compress(data, 1) if rest else None)
-                known.append([{"a": a, "b": b} for a, b in same] if rest else None)
-                runs.append(rest or None)
-            cols = finish(ids, datas, covered)
-            extra = [pa.array(docs_, pa.int64()), pa.array(parts_, pa.int64()), pa.array(packed, pa.binary()), pa.array(known, struct_known), pa.array(runs, struct_runs)]
-            yield pa.RecordBatch.from_arrays(cols + extra, [*result_names, "doc", "part", "packed", "known", "runs"])
-
-    joined = source.join(by_doc, ["doc", "part"], "left").select("doc", "part", "data", "doc_id", "marks")
-    settled = written(joined.mapInArrow(settle, open_ddl), "settled-texts")
-    closed = settled.where("packed is null").select(*result_names)
-    pending = settled.where("packed is not null").select("doc", "part", "packed", "doc_id", "known", "runs")
-    core = length - BLOCK + 1
-
-    def block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, part, packed, runs in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5))):
-                t = Bytes(zlib.decompress(packed))
-                end = np.unique(np.array([x for m in runs for x in _blocks(m["place"], m["a"], m["b"])], np.int64))
-                end = end[end + core <= t.n]
-                low, high = np.maximum(0, end - BLOCK + 1), np.minimum(t.n, end + length)
-                if len(end):
-                    span = t.prints(low, high - low) ^ ((end - low) << 40 | (high - end) << 8)
-                    zero = np.zeros(len(end), int)
-                    yield _rows(_SUFFIX, [t.leading(end), t.prints(end, core), span, np.full(len(end), doc), np.full(len(end), part), end, zero, zero])
-
-    def by_text(found: DataFrame, name: str) -> DataFrame:
-        return found.groupBy("doc", "part").agg(F.collect_set(F.struct("kind", "place")).alias(name))
-
-    n_runs = pending.agg(F.sum(F.size("runs"))).first()[0] or 0
-    finer = max(parallel, math.ceil(n_runs * BLOCK / BUCKET_ROWS))
-    blocks = repeated_suffixes(pending.mapInArrow(block_rows, _SUFFIX), finer, "block-suffixes")
-    with_blocks = pending.join(by_text(blocks, "blocks"), ["doc", "part"], "left").select("doc", "part", "packed", "doc_id", "known", "runs", "blocks")
-
-    def open_windows(runs: list, found: list) -> tuple[list[tuple[int, int]], np.ndarray]:
-        """Stretches covered by repeated blocks, and the windows still to be told or to tell by."""
-        kinds = {(m["kind"], m["place"]) for m in found or []}
-        covered, left = [], []
-        for m in runs:
-            for end in _blocks(m["place"], m["a"], m["b"]):
-                first, last = max(end - BLOCK + 1, m["a"]), min(end, m["b"])
-                if (SAME, end) in kinds:
-                    covered.append((first, last + length))
-                if (MIXED, end) in kinds or (GHOST, end) in kinds:
-                    left += range(first, last + 1)
-        return covered, np.unique(np.array(left, np.int64))
-
-    def window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                    yield _batch(_LEAD, [np.concatenate(x) for x in zip(*held)])
+                    held, size = [], 0
+        if held:
+            yield _batch(_LEAD, [np.concatenate(x) for x in zip(*held)])
+
+    leads = passes.write(source.select("doc", "part", "data").where(F.length("data") >= length).mapInArrow(lead_rows, _LEAD), "leads")
+    buckets = max(parallel, math.ceil(leads.count() / BUCKET_ROWS))
+    seen = passes.write(leads.repartitionByRange(buckets, "token", "print", "doc", "part", "salt").mapInArrow(_candidates, _SEEN), "candidates")
+    passes.drop("leads")
+    across = seen.where("edge").groupBy("token", "print").agg(F.count("*").alias("n")).where("n > 1")
+    candidates = seen.where("found").select("doc", "part", "print").union(seen.where("NOT found").join(across, ["token", "print"], "left_semi").select("doc", "part", "print"))
+    by_text = candidates.groupBy("doc", "part").agg(F.collect_set("print").alias("prints"))
+
+    n_bytes = F.length("data").cast("long").alias("n_bytes")
+    kept = [F.when(F.col("prints").isNull(), F.sha2("data", 256)).alias("kept_sha256"), *([F.when(F.col("prints").isNull(), F.col("data")).alias("kept")] if emit_text else [])]
+    texts = passes.write(
+        source.join(by_text, ["doc", "part"], "left").select("doc_id", n_bytes, *kept, "doc", "part", "prints", F.when(F.col("prints").isNotNull(), F.col("data")).alias("data")),
+        "texts",
+    )
+    passes.drop("candidates")
+    pending = texts.where("prints IS NOT NULL")
+
+    def suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Candidates with their bytes, once per task; what the task saw twice is told as well."""
+        memo: dict[bytes, tuple | None] = {}
+        salt, rows, told = 0, [], []
+        ddl = f"{_SUFFIX}, {_TOLD}"
         for batch in batches:
-            for doc, part, packed, runs, found in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 5, 6))):
-                t = Bytes(zlib.decompress(packed))
-                x = open_windows(runs, found)[1]
-                if len(x):
-                    zero = np.zeros(len(x), int)
-                    yield _rows(_SUFFIX, [t.leading(x), t.prints(x, length), zero, np.full(len(x), doc), np.full(len(x), part), x, zero, zero])
+            for doc, part, data, prints in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                t = Bytes(data)
+                place, first, last = anchors(t, length)
+                hashed = t.prints(place, half)
+                at = np.flatnonzero(np.isin(hashed, prints))
+                lead = [t.leading(place[at] + _GRAM * i).tolist() for i in range(3)]
+                for i, (x, a, b, h, *tokens) in enumerate(zip(place[at].tolist(), first[at].tolist(), last[at].tolist(), hashed[at].tolist(), *lead)):
+                    before, behind = data[a:x], data[x : b + length]
+                    name = _digest(before + behind + (x - a).to_bytes(4, "big"))
+                    if name in memo:
+                        if memo[name]:
+                            told.append(memo[name])
+                            memo[name] = None
+                        told.append((doc, part, a, b))
+                        continue
+                    memo[name] = (doc, part, a, b)
+                    rows.append((*tokens, h, salt, doc, part, x, a, b, behind, before))
+                    salt += 1
+                if len(memo) > _MEMO:
+                    memo.clear()
+                if len(rows) + len(told) > 5000:
+                    yield _both(rows, told, ddl)
+                    rows, told = [], []
+        yield _both(rows, told, ddl)
+
+    suffixes = passes.write(pending.select("doc", "part", "data", "prints").mapInArrow(suffix_rows, f"{_SUFFIX}, {_TOLD}"), "suffixes")
+    own = suffixes.where("bytes IS NULL").select(F.col("told_doc").alias("doc"), F.col("told_part").alias("part"), "a", "b")
+    sorted_rows = suffixes.where("bytes IS NOT NULL").select(*(f.split()[0] for f in _SUFFIX.split(", ")))
+    buckets = max(parallel, math.ceil(sorted_rows.count() / BUCKET_SUFFIXES))
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _whole(batches)
+        if table is not None:
+            yield from _judge_bucket({n: table[n].to_pylist() if n in ("bytes", "before") else table[n].to_numpy() for n in table.schema.names}, length)
+
+    ranged = sorted_rows.repartitionByRange(buckets, "t0", "t1", "t2", "print", "doc", "part", "place", "salt")
+    marks = passes.write(ranged.mapInArrow(judge, _MARK), "marks")
+    shared = marks.where("digest IS NOT NULL").groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    border = marks.where("alone").join(shared, "digest", "left_semi").select("doc", "part", "a", "b")
+    windows = own.union(marks.where("digest IS NULL").select("doc", "part", "a", "b")).union(border)
+    stretches = windows.groupBy("doc", "part").agg(F.collect_set(F.struct("a", "b")).alias("windows"))
 
-    windows = repeated_suffixes(with_blocks.mapInArrow(window_rows, _SUFFIX), finer, "window-suffixes")
-    last = with_blocks.join(by_text(windows.where(f"kind = {SAME}"), "windows"), ["doc", "part"], "left").select("packed", "doc_id", "known", "runs", "blocks", "windows")
+    result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if emit_text else "")
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, covered = [], []
-            for packed, known, runs, found, single in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4, 5))):
-                data = zlib.decompress(packed)
-                stretches = [(k["a"], k["b"]) for k in known] + open_windows(runs, found)[0]
-                stretches += [(w["place"], w["place"] + length) for w in single or []]
-                texts.append(data)
-                covered.append(_ranges(stretches, len(data)))
-            yield pa.RecordBatch.from_arrays(finish(batch.column(1).to_pylist(), texts, covered), result_names)
-
-    return closed.union(last.mapInArrow(close, result))
+            rows = []
+            for doc, data, found in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                cut = _ranges([(w["a"], w["b"] + length) for w in found or []])
+                left = b"".join(data[s:e] for s, e in zip([0, *(e for _, e in cut)], [*(s for s, _ in cut), len(data)]))
+                rows.append((doc, len(data), len(data) - len(left), len(cut), hashlib.sha256(left).hexdigest(), left)[: 5 + emit_text])
+            yield _batch(result, list(zip(*rows)) or [()] * (5 + emit_text))
+
+    zero = F.lit(0).cast("long")
+    closed = texts.where("prints IS NULL").select("doc_id", "n_bytes", zero.alias("n_removed"), zero.alias("n_spans"), "kept_sha256", *(["kept"] if emit_text else []))
+    return closed.union(pending.join(stretches, ["doc", "part"], "left").select("doc_id", "data", "windows").mapInArrow(close, result))
