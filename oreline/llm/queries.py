@@ -99,8 +99,60 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mixing.mixed(_table(spark, sf_dir, "documents"))
-    return mix.select("doc_id", "size", "source_size", "target", "taken")
+    mix = mixing.mixed(_table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return mix.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+#: The mix as set operations: levels, quotients and blocks are all enumerated.
+OP8_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+    md5(concat('8:', coalesce(doc_id::VARCHAR, ''), ':', coalesce(text, ''))) AS key FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source
+), w AS (
+  SELECT *, [5, 2, 1][1 + place % 3] AS weight FROM (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place FROM s)
+), levels AS (
+  SELECT *, min(weight * (total - spent) > 3 * z * (weights - used)) OVER (ORDER BY 3 * z / weight, place) AS capped FROM (
+    SELECT *, sum(z) OVER () AS total, sum(weight) OVER () AS weights,
+      coalesce(sum(3 * z) OVER before, 0) AS spent, coalesce(sum(weight) OVER before, 0) AS used
+    FROM w WINDOW before AS (ORDER BY 3 * z / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+), goals AS (
+  SELECT source, place, z, weight, capped, total - coalesce(sum(3 * z) FILTER (capped) OVER (), 0) AS rest, sum(weight) FILTER (NOT capped) OVER () AS of_rest FROM levels
+), seats AS (
+  SELECT place, count(*) FILTER (line <= rest // 64) AS won, bool_or(line = rest // 64 + 1) AS next FROM (
+    SELECT place, rest, row_number() OVER (ORDER BY weight / (2 * k + 1) DESC, place, k) AS line
+    FROM (SELECT place, weight, rest, unnest(range(0, (rest // 64 + 1)::BIGINT)) AS k FROM goals WHERE NOT capped))
+  GROUP BY place
+), quota AS (
+  SELECT source, z, CASE WHEN capped THEN (3 * z)::DOUBLE ELSE (weight * rest)::DOUBLE / of_rest::DOUBLE END AS target,
+    least(3 * z, CASE WHEN capped THEN 3 * z ELSE coalesce(won, 0) * 64 + CASE WHEN next THEN rest % 64 ELSE 0 END END)::BIGINT AS q
+  FROM goals LEFT JOIN seats USING (place)
+), pass AS (
+  SELECT *, q // greatest(z, 1) AS passes, q % greatest(z, 1) AS left_over FROM quota
+), blocks AS (
+  SELECT source, left_over, z, j, j // 4096 AS shard, least(64, z - 64 * j) AS n, least(262144, z - 262144 * (j // 4096)) AS shard_words
+  FROM (SELECT *, unnest(range(0, (z + 63) // 64)) AS j FROM pass)
+), shard_line AS (
+  SELECT source, shard, line, left_over FROM (
+    SELECT source, shard, left_over, row_number() OVER (PARTITION BY source ORDER BY n < 64, shard_words / (2 * k + 1) DESC, shard) AS line
+    FROM (SELECT *, row_number() OVER (PARTITION BY source, shard ORDER BY j) - 1 AS k FROM blocks))
+), shard_seats AS (
+  SELECT source, shard, count(*) FILTER (line <= left_over // 64) AS won, bool_or(line = left_over // 64 + 1) AS next FROM shard_line GROUP BY source, shard
+), chosen AS (
+  SELECT source, j, CASE WHEN rank < won THEN 64 WHEN rank = won AND next THEN left_over % 64 ELSE 0 END AS cut FROM (
+    SELECT b.*, won, next, CASE WHEN n = 64 THEN (j % 4096 + b.shard * 7919 + 8) % (shard_words // 64) ELSE shard_words // 64 END AS rank
+    FROM blocks b JOIN shard_seats t ON b.source IS NOT DISTINCT FROM t.source AND b.shard = t.shard)
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM d
+), of_rest AS (
+  SELECT r, sum(greatest(0, least(start + size, 64 * c.j + c.cut) - greatest(start, 64 * c.j))) AS words
+  FROM (SELECT r, source, start, size, unnest(range(start // 64, (start + size + 63) // 64)) AS j FROM placed WHERE size > 0) p
+  JOIN chosen c ON p.source IS NOT DISTINCT FROM c.source AND p.j = c.j GROUP BY r
+)
+SELECT doc_id, size, z AS source_size, target, (passes * size + coalesce(words, 0))::BIGINT AS taken
+FROM d LEFT JOIN of_rest USING (r) JOIN pass ON d.source IS NOT DISTINCT FROM pass.source
+"""
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,4 +180,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op5_suffix_dedup": OP5_SQL}
+    return {"op2_topk": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}

@@ -1,6 +1,5 @@
 """The pipeline against its stages done plainly in Python."""
 
-import collections
 import hashlib
 import random
 
@@ -8,8 +7,8 @@ import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from oreline.llm import fertility, mixing, pii, sentencepiece_bpe, simhash
-from tests.llm.test_text_operators import naive_base, naive_components, naive_fingerprint, words
+from oreline.llm import fertility, pii, sentencepiece_bpe, simhash
+from tests.llm.test_text_operators import WORD, naive_base, naive_components, naive_fingerprint, naive_mix, words
 
 
 def _documents(spark):
@@ -53,33 +52,21 @@ def test_stages_against_brute_force(spark, tmp_path):
             if s >= at:
                 out += r[1][at:s] + f"<{k.upper()}>"
             at = max(at, e)
-        masked.append((r[0], out + r[1][at:], r[3]))
+        masked.append((r[0], out + r[1][at:], r[3]))  # id, text, source
 
-    sizes = collections.Counter()
-    for _, text, source in masked:
-        sizes[source] += len(text.split())
-    goals = dict(zip(sorted(sizes), mixing.targets([sizes[s] for s in sorted(sizes)])))
-
-    result = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    result = [tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "source", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
     library = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_model())
-    by_id = {d: (t, s) for d, t, s in masked}
-    taken = collections.Counter()
-    whole = {}
-    for d, (t, s) in by_id.items():
-        ids = library.encode(t, add_bos=True, add_eos=True)
-        whole[d] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
-    parts = 0
-    for r in result:
-        assert by_id[r["doc_id"]][1] == r["source"]
-        if (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == whole[r["doc_id"]]:
-            taken[r["source"]] += len(by_id[r["doc_id"]][0].split())
-        else:
-            parts += 1
-    shards = 3 * len(goals) + 6
-    assert parts <= 2 * shards  # only texts at the ends of a shard's chosen blocks are cut
-    longest = max(len(t.split()) for _, t, _ in masked)
-    for s, goal in goals.items():
-        assert abs(taken[s] - float(goal)) <= parts * longest
+    want = []
+    for source, found in naive_mix(masked).items():
+        for doc_id, text, n, _, _, _, passes, chosen in found:
+            copies = [text] * (passes + (n > 0 and all(chosen)))
+            if any(chosen) and not all(chosen):
+                copies.append(" ".join(w for w, hit in zip(WORD.findall(text), chosen) if hit))
+            for copy in copies:
+                ids = library.encode(copy, add_bos=True, add_eos=True)
+                decoded = library.decode(ids)
+                want.append((doc_id, source, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+    assert sorted(map(repr, result)) == sorted(map(repr, want))
 
 
 def test_stages_of_an_empty_table(spark, tmp_path):

@@ -5,14 +5,16 @@ import hashlib
 import os
 import random
 import re
+from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from oreline.llm import fertility, mixing, pii, sentencepiece_bpe, simhash, suffix_dedup, topk
+from oreline.llm import fertility, mixing, pii, queries, sentencepiece_bpe, simhash, suffix_dedup, topk
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -388,43 +390,102 @@ def test_scripts():
 # Mixing
 
 
-def test_targets_share_everything_and_stop_at_three_times():
-    got = mixing.targets([10, 1000, 500, 5])
-    assert sum(got) == 1515 and got[0] == 30 and got[3] == 15
-    assert abs(got[1] / got[2] - 2) < 1e-9
-    assert mixing.targets([]) == [] and mixing.targets([0, 0]) == [0, 0]
-
-
-def test_sainte_lague_is_the_highest_quotients():
-    rnd = random.Random(1)
-    for _ in range(200):
-        weights = [rnd.randint(0, 50) for _ in range(rnd.randint(1, 6))]
-        limits = [rnd.randint(0, 40) for _ in weights]
-        seats = rnd.randint(0, 60)
-        order = sorted(((-w / (2 * k + 1), i) for i, w in enumerate(weights) if w for k in range(limits[i])))
-        want = collections.Counter(i for _, i in order[:seats])
-        assert mixing.sainte_lague(seats, weights, limits) == [want[i] for i in range(len(weights))]
-
-
-def test_mixed_rows(spark):
-    rnd = random.Random(6)
-    sources = ["a", "b", "c", None, "Z", "é"]
-    rows = [(i, words(rnd, rnd.randint(0, 80)), rnd.choice(sources), "x") for i in range(900)] + [(1, None, "a", "x"), (1, "w " * 5000, "b", "x"), (None, "q r", "c", "x"), (5, "s t", "c", None), (5, "s t", "c", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, taken string")
-    mix = mixing.mixed(df)
-    first, again = rows_of(mix), rows_of(mixing.mixed(df.repartition(7)))
-    assert first == again
-    per = {r["source"]: r for r in mix.groupBy("source").agg(F.sum("size").alias("size"), F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("source_size").alias("ss"), F.max("block").alias("block")).collect()}
-    names = sorted(per, key=lambda s: (s is None, s or ""))
-    goals = mixing.targets([per[s]["size"] for s in names])
-    for s, goal in zip(names, goals):
-        assert per[s]["ss"] == per[s]["size"] and abs(per[s]["target"] - float(goal)) < 1e-6
-        assert abs(per[s]["taken"] - float(goal)) <= 2 * per[s]["block"]
+def naive_mix(rows, weights=(5, 2, 1), cap=3, block=64, shard=4096, seed=8):
+    """Targets by resharing, seats one by one, words one by one; ``rows`` are id, text, source."""
+    names = sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(len(WORD.findall(t or "")) for _, t, x in rows if x == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    goal, free, left = {}, list(names), Fraction(sum(size.values()))
+    while True:
+        share = left / sum(weight[s] for s in free)
+        over = [s for s in free if share * weight[s] > cap * size[s]]
+        if not over:
+            break
+        for s in over:
+            goal[s] = Fraction(cap * size[s])
+        left -= sum(goal[s] for s in over)
+        free = [s for s in free if s not in over]
+    goal |= {s: share * weight[s] for s in free}
+    held = dict.fromkeys(free, 0)
+    line = lambda: max(free, key=lambda s: (Fraction(weight[s], 2 * held[s] + 1), -names.index(s)))
+    for _ in range(int(left) // block):
+        held[line()] += 1
+    quota = {s: held[s] * block for s in free}
+    quota[line()] += int(left) % block
+    quota = {s: min(quota.get(s, cap * size[s]), cap * size[s]) for s in names}
+    out = {}
+    for s in names:
+        mine = sorted(((hashlib.md5(f"{seed}:{'' if i is None else i}:{t or ''}".encode()).hexdigest(), i, t) for i, t, x in rows if x == s), key=lambda r: r[0])
+        passes, rest = divmod(quota[s], max(1, size[s]))
+        lengths = [min(shard * block, size[s] - at) for at in range(0, size[s], shard * block)]
+        seats = [0] * len(lengths)
+        for turn in range(rest // block + 1):
+            open_ = [k for k in range(len(lengths)) if seats[k] < lengths[k] // block] or [len(lengths) - 1]
+            best = max(open_, key=lambda k: (Fraction(lengths[k], 2 * seats[k] + 1), -k)) if lengths else None
+            if turn < rest // block:
+                seats[best] += 1
+        taken_word = []
+        for k, n in enumerate(lengths):
+            full = n // block
+            for at in range(-(-n // block)):
+                rank = (at + k * 7919 + seed) % full if at < full else full
+                words_here = min(block, n - at * block)
+                some = block if rank < seats[k] else rest % block if rank == seats[k] and k == best else 0
+                taken_word += [w < some for w in range(words_here)]
+        at = 0
+        for _, i, t in mine:
+            n = len(WORD.findall(t or ""))
+            out.setdefault(s, []).append((i, t, n, size[s], float(goal[s]), passes * n + sum(taken_word[at : at + n]), passes, taken_word[at : at + n]))
+            at += n
+    return out
+
+
+def mix_tables(rnd, long=4000):
+    mixed_up = [(i, words(rnd, rnd.randint(0, 80)), rnd.choice(["a", "b", "c", None, "Z", "é"])) for i in range(500)]
+    mixed_up += [(1, None, "a"), (1, "w " * 3000, "b"), (None, "q r", "c"), (None, "q s", "c"), (5, "s t", "c"), (5, "s t", "c")]
+    one_word = [(i, "w", "short") for i in range(2000)] + [(5000 + i, "x " * long, "long") for i in range(50)] + [(9000, "y " * 20, "tiny"), (9001, "", "none")]
+    hot = [(i, words(rnd, rnd.randint(1, 40)), "hot" if i % 3 else f"s{i % 60}") for i in range(600)]
+    return [mixed_up, one_word, hot]
+
+
+@pytest.mark.parametrize("block,shard", [(64, 4096), (3, 7), (16, 5)])
+@pytest.mark.parametrize("table", [0, 1, 2])
+def test_mix_is_the_naive_one(spark, table, block, shard):
+    rows = mix_tables(random.Random(table), 4000 if block == 64 else 30)[table]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, taken string")
+    mix = mixing.mixed(df.repartition(3), block=block, shard=shard)
+    got = mix.select("row.doc_id", "row.text", "row.source", "size", "source_size", "target", "taken").collect()
+    want = naive_mix(rows, block=block, shard=shard)
+    assert sorted(map(repr, (tuple(r) for r in got))) == sorted(repr((i, t, s, *rest)) for s, found in want.items() for i, t, *rest, _, _ in found)
+    per = mix.groupBy("row.source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= 2 * block for r in per)
+    texts = mixing.taken_texts(mix, n_chars=None)
+    assert texts.columns == df.columns
+    assert texts.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0] == sum(r["taken"] for r in per)
+
+
+def test_every_source_comes_within_a_block_of_its_target(spark):
+    rows = mix_tables(random.Random(1))[1]
+    mix = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    per = {r["source"]: r for r in mix.groupBy("row.source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()}
+    assert per["tiny"]["taken"] == 60 == per["tiny"]["target"] and per["short"]["taken"] == 6000
+    assert abs(per["long"]["taken"] - per["long"]["target"]) <= 64 and per["none"]["taken"] == 0
     assert mix.where("taken > 3 * size").count() == 0
-    texts = mixing.taken_texts(mix, ["doc_id", "text", "source"])
-    n = texts.agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).first()[0]
-    assert n == sum(r["taken"] for r in per.values())
-    assert mixing.mixed(df.limit(0)).count() == 0
+
+
+def test_mix_of_an_empty_table_and_of_texts_without_words(spark):
+    schema = "doc_id long, text string, source string, size string, n_chars long"
+    assert mixing.mixed(spark.createDataFrame([], schema)).count() == 0
+    blank = mixing.mixed(spark.createDataFrame([(1, "", "a", "x", 0), (2, None, None, "y", None)], schema))
+    assert [tuple(r) for r in blank.select("size", "target", "taken").collect()] == [(0, 0.0, 0)] * 2
+    kept = mixing.taken_texts(mixing.mixed(spark.createDataFrame([(1, "a  b", "a", "mine", 9)], schema)))
+    assert [tuple(r) for r in kept.collect()] == [(1, "a  b", "a", "mine", 4)]
+
+
+def test_mix_query_equals_its_sql(spark, sf_dir):
+    got = queries.op8_mixing(spark, sf_dir)
+    want = duckdb.sql(queries.OP8_SQL.replace("FROM documents", f"FROM '{sf_dir}/documents.parquet'"))
+    assert sorted(tuple(r) for r in got.select(*sorted(got.columns)).collect()) == sorted(want.project(", ".join(sorted(want.columns))).fetchall())
 
 
 @pytest.mark.parametrize("length", [400])
