@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreline.llm.sentencepiece_bpe import Codec, Vocabulary, codec_of, default_model
+from oreline.llm.rows import column, packed, schema_with, unpacked
 from oreline.storage import written
 
 _DIGIT = re.compile(r"\d")
@@ -148,22 +149,20 @@ def measures(docs: DataFrame, model_path: str | None = None, *, text: str = "tex
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model_path or default_model()))
     fields = [f.split()[0] for f in _MEASURES.split(", ")]
-    source = docs.drop(*(c for c in fields if c in docs.columns and c not in (text, lang)))
-    at_text = source.columns.index(text)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    source = packed(docs.drop(*(c for c in fields if c in docs.columns and c not in (text, lang))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(shared.value)
         for batch in batches:
             rows = []
-            for value in batch.column(at_text):
+            for value in batch.column(0).field(text):
                 value = value.as_py() or ""
                 rows.append((script_of(value), *base_measures(value), *token_measures(codec, value)))
             columns = list(zip(*rows)) if rows else [()] * len(fields)
             types = [{"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}[f.split()[1]] for f in _MEASURES.split(", ")]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(columns, types))], [*batch.schema.names, *fields])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], ["row", *fields])
 
-    return source.mapInArrow(run, f"{kept}, {_MEASURES}")
+    return unpacked(source.mapInArrow(run, schema_with(source, _MEASURES)), **{f: F.col(f) for f in fields})
 
 
 def _medians(counts: DataFrame) -> DataFrame:
@@ -226,7 +225,7 @@ def _with_bands(measured: DataFrame, lang: str) -> DataFrame:
     """Every row with the bands of its language, else its script, else of all documents."""
     band = written(bands(measured, lang), "fertility-bands")
     names = [c for c in band.columns if c != "key"]
-    out = _with_keys(measured, lang)
+    out = _with_keys(measured.drop(*_LEVELS, *names, *(level + c for level in _LEVELS for c in names)), lang)
     for level in _LEVELS:
         out = out.join(band.select(F.col("key").alias(level), *(F.col(c).alias(level + c) for c in names)), level, "left")
     return out.withColumns({c: F.coalesce(*(F.col(level + c) for level in _LEVELS)) for c in names}).drop(*_LEVELS, *(level + c for level in _LEVELS for c in names))
@@ -241,7 +240,8 @@ def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text"
     takes the band of the text's script, and a script as rare the band of all
     documents. Repeated rows are judged alike, very
     long texts whole; an empty table gives an empty one; added columns replace
-    input columns of the same names, others pass through. The bands table has
+    input columns of the same names, as do names in ``__middle_``, ``__spread_`` and of
+    the band levels; others pass through. The bands table has
     one row per language and script; only the vocabulary is broadcast by this
     module, the bands where Spark sees fit. Without ``keep_text`` the text is left
     out of the result and of the table written between the two passes.
@@ -272,5 +272,5 @@ def judged(docs: DataFrame, model_path: str | None = None, *, text: str = "text"
 
 
 def accepted(docs: DataFrame, model_path: str | None = None, *, text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows that the rules keep, with their own columns."""
-    return judged(docs, model_path, text=text, lang=lang).where("kept").select(*docs.columns)
+    """The rows that the rules keep, with their own columns, whatever their names."""
+    return unpacked(judged(packed(docs, text=column(text), lang=column(lang)), model_path, keep_text=False).where("kept"))

@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oreline.llm.labelled import fold_of
+from oreline.storage import written
 
 WINDOW = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 16
-#: Labelled documents per language, about, and windows of each, at most.
-DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 500, 8
-MAX_LANGUAGES = 2000
+#: Labelled documents per language and of all languages, about, and windows of each, at most.
+DOCS_PER_LANGUAGE, TRAINING_DOCS, WINDOWS_PER_DOC = 500, 20_000, 8
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _BATCH = 512
@@ -143,18 +143,19 @@ def fitted(docs: DataFrame) -> Network | None:
     """Train on windows of documents with a language outside fold 0.
 
     About ``DOCS_PER_LANGUAGE`` documents of each language, those with the
-    smallest id hashes, give up to ``WINDOWS_PER_DOC`` windows from anywhere in
-    the text. ``docs`` has ``doc_id, text, lang``.
+    smallest hashes of id and text, give up to ``WINDOWS_PER_DOC`` windows from
+    anywhere in the text; with many languages each gives fewer, so that about
+    ``TRAINING_DOCS`` are drawn (20 MB of windows). Repeated rows are drawn once.
+    ``docs`` has ``doc_id, text, lang``.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id") != 0))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
-    if not counts:
+    counts = written(known.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+    languages = counts.count()
+    if not languages:
         return None
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"over {MAX_LANGUAGES} languages")
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, DOCS_PER_LANGUAGE / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) / 1e6
-    chosen = known.where(draw <= share[F.col("lang")])
+    share = F.lit(min(DOCS_PER_LANGUAGE, TRAINING_DOCS / languages)) / F.col("n")
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), F.lit(1_000_000_000)) / 1e9
+    chosen = known.join(counts, "lang").where(draw <= share).dropDuplicates(["doc_id", "text", "lang"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

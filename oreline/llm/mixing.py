@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreline.llm.rows import column
 from oreline.storage import written
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -180,7 +181,7 @@ def mixed(
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
     rows = docs.select(
-        F.struct(*(keep or docs.columns)).alias("row"),
+        F.struct(*map(column, keep or docs.columns)).alias("row"),
         F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit("")).alias("of"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -219,20 +220,20 @@ def taken_texts(mix: DataFrame, *, text: str = "text", n_chars: str | None = "n_
     those of ``row`` as they were, but for the text and ``n_chars``, which
     follows it where the input has it.
     """
-    words = F.regexp_extract_all(F.col(f"row.{text}"), F.lit(f"({WORD})"), F.lit(1))
+    words = F.regexp_extract_all(F.col("row").getField(text), F.lit(f"({WORD})"), F.lit(1))
     pieces = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(w, (c["at"] + 1).cast("int"), c["n"].cast("int")))), " "))
-    whole = F.col(f"row.{text}")
+    whole = F.col("row").getField(text)
     extra = F.col("taken") - F.col("passes") * F.col("size")
     last = F.when(extra == F.col("size"), F.array(whole)).when(extra > 0, pieces).otherwise(F.array().cast("array<string>"))
     copies = F.concat(F.array_repeat(whole, F.col("passes").cast("int")), last)
     rows = mix.where("taken > 0").select("row", F.explode(copies).alias("copy"))
     columns = mix.schema["row"].dataType.names
 
-    def column(name: str) -> Column:
+    def value(name: str) -> Column:
         if name == text:
             return F.col("copy").alias(name)
         if name == n_chars:
             return F.char_length("copy").cast("long").alias(name)
         return F.col("row").getField(name).alias(name)
 
-    return rows.select(*map(column, columns))
+    return rows.select(*map(value, columns))

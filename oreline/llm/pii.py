@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreline.llm import crf
+from oreline.llm.rows import column, fresh, packed, schema_with, unpacked
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{place}-{kind}" for kind in KINDS for place in "BI")]
@@ -85,17 +87,17 @@ _BARE_AT = re.compile(r"\s(?:at|arroba|arobase)\s", re.I)
 _BARE_DOT = re.compile(r"\s(?:dot|punto|point|punkt)\s", re.I)
 
 
+_LONG_RUN = re.compile("d{5,}")
+
+
 def shape(word: str) -> str:
     """Letters as x or X and digits as d, runs shortened, signs kept."""
     out: list[str] = []
-    for ch in word[:40]:
+    for ch in word:
         kind = "d" if ch.isdigit() else "X" if ch.isupper() else "x" if ch.isalpha() else ch
         if kind == "d" or not out or out[-1] != kind:
             out.append(kind)
-    text = "".join(out)
-    for n in range(40, 4, -1):
-        text = text.replace("d" * n, "d+")
-    return text[:16]
+    return _LONG_RUN.sub("d+", "".join(out))
 
 
 _RUN = re.compile(r"d\+?d*")
@@ -172,7 +174,9 @@ def labelled_table(rows: int = 420, seed: int = 1) -> list[list[tuple[str, str]]
     return table
 
 
+@lru_cache(maxsize=1)
 def fitted() -> crf.Model:
+    """The model of the built-in table; it depends on nothing else, so once per process."""
     return crf.fit(labelled_table(), describe, LABELS)
 
 
@@ -275,18 +279,17 @@ def with_spans(docs: DataFrame, *, text: str = "text", spans: str = "spans") ->
     shuffle; the field's weights (some 100 KB) are broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fitted())
-    source = docs.drop(spans)
-    at = source.columns.index(text)
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields) + f", `{spans}` {_SPAN_DDL}"
+    source = packed(docs.drop(spans))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(shared.value)
         for batch in batches:
-            found = finder.spans(t.as_py() or "" for t in batch.column(at))
+            found = finder.spans(t.as_py() or "" for t in batch.column(0).field(text))
             rows = [[{"kind": k, "start": s, "end": e, "base": b} for s, k, e, b in spans_] for spans_ in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _SPAN)], [*batch.schema.names, spans])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPAN)], ["row", "found"])
 
-    return source.mapInArrow(run, ddl)
+    found = source.mapInArrow(run, schema_with(source, f"found {_SPAN_DDL}"))
+    return unpacked(found, **{spans: F.col("found")})
 
 
 def written_spans(spans: Column) -> Column:
@@ -300,18 +303,19 @@ def redacted(docs: DataFrame, *, text: str = "text", n_chars: str = "n_chars") -
     Spans that overlap are replaced together, under the first one's kind. Null
     texts stay null; columns and rows stay as they are.
     """
-    found = with_spans(docs, spans="__spans")
+    spans = fresh("spans", docs.columns)
+    found = with_spans(docs, text=text, spans=spans)
     start = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
         piece = F.when(
             s["start"] >= acc["at"],
-            F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
+            F.concat(acc["done"], F.substring(column(text), (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">")),
         ).otherwise(acc["done"])
         return F.struct(piece.alias("done"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    masked = F.aggregate("__spans", start, step, lambda acc: F.concat(acc["done"], F.substring(F.col(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
-    out = found.withColumn(text, F.when(F.size("__spans") > 0, masked).otherwise(F.col(text)))
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["done"], F.substring(column(text), (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+    out = found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(column(text)))
     if n_chars in docs.columns:
         out = out.withColumn(n_chars, F.char_length(text).cast("long"))
-    return out.select(*docs.columns)
+    return out.drop(spans)

@@ -23,6 +23,8 @@ _TOKEN = re.compile(r"[^\W_]+|(?:[^\w\s]|_)+")
 BITS = 18
 #: Labelled documents that a model is fitted on, at most.
 TRAINING_BOUND = 6000
+#: N-grams that one document is learned from, at most: a seeded draw from the whole text.
+TRAINING_GRAMS = 4096
 _SAME = np.uint64(0x9E3779B1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,11 +82,21 @@ def dot(weights: np.ndarray, row: np.ndarray) -> float:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int = TRAINING_BOUND) -> np.ndarray:
-    """Fit on at most ``bound`` labelled documents; n-grams come from the executors."""
+    """Fit on at most ``bound`` labelled documents; n-grams come from the executors.
+
+    The driver gets ``bound`` times ``TRAINING_GRAMS`` numbers of four bytes at
+    most (98 MB), however long the texts are.
+    """
+
+    def drawn(doc_id: int, text: str | None) -> np.ndarray:
+        found = ngrams(text)
+        if len(found) <= TRAINING_GRAMS:
+            return found
+        return np.random.default_rng(doc_id & 0xFFFFFFFF).choice(found, TRAINING_GRAMS, replace=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = pa.array([ngrams(t) for t in batch.column(1).to_pylist()], pa.list_(pa.int32()))
+            grams = pa.array([drawn(*r) for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), grams, batch.column(2)], ["doc_id", "grams", "label"])
 
     texts = training_texts(docs, labels, label, bound).select("doc_id", "text", "label")

@@ -26,7 +26,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     digest = F.sha2(pii.written_spans(base).cast("binary"), 256)
-    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, pii.KINDS), digest.alias("base_sha256"), pii.written_spans(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

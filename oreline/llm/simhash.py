@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreline.llm.rows import column, packed, schema_with, unpacked
 from oreline.operators.graph import connected_components
 from oreline.storage import written
 
@@ -171,22 +172,23 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     """One document of each near-duplicate group: the one with the smallest id.
 
     Between rows of that id and fingerprint the one with the smallest text hash
-    stays. A group without any id keeps one row. Columns stay as they are.
+    stays. A group without any id keeps one row. Columns stay as they are,
+    whatever their names. Rows are written once, with their fingerprint.
     """
-    prints = written(fingerprints(docs, text=text, doc_id=doc_id, shingle=shingle), "fingerprints")
-    first = F.struct(F.col("first_id").isNull(), "first_id", "fp")
-    stay = _labelled(prints, threshold).groupBy("component").agg(F.min(first).alias("first")).select("first.first_id", "first.fp")
+    source = packed(docs, id=column(doc_id).cast("long"), by_text=F.xxhash64(column(text)), text=column(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = [text_fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.array(fps, "<u8").view("<i8"))], [*batch.schema.names[:-1], "__fp"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    marked = docs.withColumn("__text", F.col(text)).mapInArrow(run, f"{kept}, __fp bigint")
-    chosen = marked.join(stay, (marked["__fp"] == stay["fp"]) & marked[doc_id].eqNullSafe(stay["first_id"]), "left_semi")
-    place = F.row_number().over(Window.partitionBy("__fp", doc_id).orderBy(F.xxhash64(text), F.xxhash64(*docs.columns)))
-    return chosen.withColumn("__place", place).where("__place = 1").select(*docs.columns)
+            fps = [text_fingerprint(t.as_py(), shingle) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.array(fps, "<u8").view("<i8"))], ["row", "id", "by_text", "fp"])
+
+    rows = written(source.mapInArrow(run, schema_with(source.drop("text"), "fp bigint")), "rows-with-fingerprints")
+    first = F.struct(F.col("first_id").isNull(), "first_id", "fp")
+    labelled = _labelled(rows.select(F.col("id").alias("doc_id"), "fp"), threshold)
+    stay = labelled.groupBy("component").agg(F.min(first).alias("first")).select(F.col("first.first_id").alias("stays"), F.col("first.fp").alias("stays_fp"))
+    chosen = rows.join(stay, (F.col("fp") == F.col("stays_fp")) & F.col("id").eqNullSafe(F.col("stays")), "left_semi")
+    place = F.row_number().over(Window.partitionBy("fp", "id").orderBy("by_text", F.xxhash64("row")))
+    return unpacked(chosen.withColumn("place", place).where("place = 1"))
 
 
 def fingerprint_hex(fp: str = "fp"):

@@ -10,17 +10,18 @@ level, a fixed number of lists at a time.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.storage import written
 
 #: Rows of a query tile and of a candidate shard, on average.
-TILE_ROWS, SHARD_ROWS = 2048, 4096
+TILE_ROWS, SHARD_ROWS = 16_384, 4096
 #: Queries multiplied at once: bounds the score block to 512 x a shard.
 BLOCK_ROWS = 512
 #: Lists merged into one per level.
@@ -31,28 +32,37 @@ _EXACT = float(1 << 53)
 def quantised(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 256) -> DataFrame:
     """``vec_id, v``: floor(scale * x) of every component, x as double.
 
-    Rows whose id or vector is null, or that hold a null or non-finite
+    A product beyond the range of a double counts as its largest number. Rows whose id or vector is null, or that hold a null or non-finite
     component, take no part.
     """
     x = F.col(embedding).cast("array<double>")
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = vectors.where(F.col(vec_id).isNotNull() & F.col(embedding).isNotNull() & finite)
-    return usable.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("double")).alias("v"))
+    largest = F.lit(sys.float_info.max)
+
+    def whole(c: Column) -> Column:
+        y = F.least(largest, F.greatest(-largest, c * F.lit(float(scale))))
+        return F.when(F.abs(y) >= _EXACT, y).otherwise(F.floor(y).cast("double"))  # doubles that large are whole
+
+    return usable.select(F.col(vec_id).cast("long").alias("vec_id"), F.transform(x, whole).alias("v"))
 
 
 def block_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Integer inner products of two blocks of whole numbers held as doubles.
 
     Double products are exact while every partial sum stays below 2^53; larger
-    vectors are multiplied as Python integers.
+    vectors are multiplied as Python integers. Scores outside 64 bits become the
+    largest or smallest 64-bit number, and rank and tie as such.
     """
     if q.shape[1] == 0:
         return np.zeros((len(q), len(c)), np.int64)
-    largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
+    with np.errstate(over="ignore"):
+        largest = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * q.shape[1]
     if largest < _EXACT:
         return (q @ c.T).astype(np.int64)
     whole = [[int(x) for x in row] for row in q], [[int(x) for x in row] for row in c]
-    return np.array([[sum(map(int.__mul__, a, b)) for b in whole[1]] for a in whole[0]], dtype=np.int64)
+    bounds = np.iinfo(np.int64)
+    return np.array([[min(bounds.max, max(bounds.min + 1, sum(map(int.__mul__, a, b)))) for b in whole[1]] for a in whole[0]], dtype=np.int64)
 
 
 def select_block(q_ids: np.ndarray, scores: np.ndarray, c_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -91,7 +101,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
 
     Both inputs are ``vec_id, v`` as ``quantised`` gives them. Returns
     ``query_id, rank, vec_id, score``; all candidates where there are fewer
-    than k. Ties go to the smaller vec_id. Candidates with the query's own id
+    than k. Ties go to the smaller vec_id; scores stay within 64 bits (see ``block_scores``). Candidates with the query's own id
     are left out; a repeated candidate row is a candidate of its own and a
     query id that occurs twice is answered once. Vectors are compared with
     vectors of the same length only. Empty tables give an empty result.

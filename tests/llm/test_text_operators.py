@@ -513,3 +513,11 @@ def test_removed_repeats_of_the_whole_largest_table(spark, length):
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.removed_repeats(spark.read.parquet(path)).collect()}
     assert got == want
     assert got[6199][1] == 488  # a block of windows over two runs once lost three bytes here
+
+
+def test_scores_beyond_64_bits_are_the_largest_and_rank_as_such(spark):
+    big = float(1 << 40)
+    rows = [(0, [big, 0.0]), (1, [big, 1.0]), (2, [-big, 1.0]), (3, [1e308, 1.0]), (4, [1.0, 1.0])]
+    vectors = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {r["vec_id"]: r["score"] for r in topk.exact_top_k(vectors, vectors.where("vec_id = 0")).collect()}
+    assert got == {1: 2**63 - 1, 3: 2**63 - 1, 4: (1 << 48) * 256, 2: -(2**63 - 1)}
