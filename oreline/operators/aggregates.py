@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.functions.scalar import ADMITTED, months_apart
+from oreline.storage import written
 
 
 def restricted(df: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
@@ -107,17 +109,44 @@ def banded(df: DataFrame, value: str, bands: list[tuple[str, int, int | None]])
     return df.withColumn("band", name).where("band is not null").groupBy("band").agg(F.count("*").alias("n"))
 
 
+def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct values with running ranks ``__upto`` of ``__n``, for any number of rows per key.
+
+    The counts per value are range-partitioned by key and value and written;
+    running sums are taken per slice, and the totals of the slices before are
+    added. So a key with a third of all rows, or a table without keys, is spread
+    over all tasks; the one window per key sees a row per slice.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    sliced = written(counts.repartitionByRange(*keys, value).withColumn("__slice", F.spark_partition_id()), "value-counts")
+    per_slice = sliced.groupBy(*keys, "__slice").agg(F.sum("__c").alias("__in"))
+    by_key = Window.partitionBy(*(keys or [F.lit(0)]))
+    earlier = F.coalesce(F.sum("__in").over(by_key.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per_slice.select("__slice", *(F.col(k).alias(f"__of_{k}") for k in keys), earlier.alias("__before"), F.sum("__in").over(by_key).alias("__n"))
+    same = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in keys]
+    inside = Window.partitionBy(*keys, "__slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = sliced.withColumn("__inside", F.sum("__c").over(inside)).withColumnRenamed("__slice", "__at")
+    joined = placed.join(offsets, reduce(operator.and_, same, F.col("__at") == F.col("__slice")))
+    return joined.withColumn("__upto", F.col("__before") + F.col("__inside")).select(*keys, value, "__c", "__upto", "__n")
+
+
+def _at_rank(place: Column, value: str) -> Column:
+    """The value at a rank from one on: the least that this many rows don't exceed."""
+    return F.min(F.when(F.col("__upto") >= place, F.col(value)))
+
+
 def continuous_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.groupBy(*keys).agg(*[F.percentile(value, f).alias(n) for n, f in fractions.items()], F.count(value).alias("n"))
+    """Exact percentiles with linear interpolation, without a key in one task."""
+    counted = _counted(df, keys, value)
+    at = {n: (F.col("__n") - 1) * F.lit(float(f)) for n, f in fractions.items()}
+    ends = [x for n, p in at.items() for x in (_at_rank(F.floor(p) + 1, value).alias(f"__low_{n}"), _at_rank(F.ceil(p) + 1, value).alias(f"__high_{n}"))]
+    found = counted.groupBy(*keys).agg(*ends, F.max("__n").alias("__n"))
 
+    def between(n: str, p: Column) -> Column:
+        low, high = F.col(f"__low_{n}"), F.col(f"__high_{n}")
+        return F.when(low == high, low.cast("double")).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
 
-def _counted(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with running ranks: the sort works on distinct values only."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys)
-    upto = F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return counts.withColumns({"__upto": upto, "__n": F.sum("__c").over(w)})
+    return found.select(*keys, *(between(n, p).alias(n) for n, p in at.items()), F.col("__n").alias("n"))
 
 
 def ranked_percentiles(df: DataFrame, keys: list[str], value: str, fractions: dict[str, tuple[int, int]], rule: str = "nearest") -> DataFrame:
@@ -140,8 +169,8 @@ def ranked_percentiles(df: DataFrame, keys: list[str], value: str, fractions: di
 def bin_edges(df: DataFrame, value: str, fractions: tuple[float, ...] = (0.02, 0.2, 0.4, 0.6, 0.8, 0.98)) -> DataFrame:
     """One row: least, percentile and largest values of the positive cells."""
     positive = df.where(F.col(value) > 0)
-    middle = F.percentile(value, F.array(*map(F.lit, fractions)))
-    return positive.agg(F.concat(F.array(F.min(value)), middle, F.array(F.max(value))).alias("edges"))
+    names = {f"p{i}": f for i, f in enumerate((0.0, *fractions, 1.0))}
+    return continuous_percentiles(positive, [], value, names).select(F.array(*names).alias("edges"))
 
 
 def binned(df: DataFrame, value: str, edges: DataFrame, name: str = "bin") -> DataFrame:

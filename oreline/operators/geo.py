@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from oreline.operators.aggregates import ranked_percentiles
 from oreline.operators.graph import connected_components
+from oreline.operators.windows import joined_back
 
 EARTH_M = 6371008.8
 # Fixed values of the ellipsoid WGS 84.
@@ -154,6 +157,38 @@ def simplified(points: list[tuple[float, float]], tolerance: float) -> list[tupl
     return [points[i] for i in sorted(keep)]
 
 
+def simplify(points: str | Column, tolerance: float) -> Column:
+    """``simplified`` over a column of lines; a batch of lines at a time, null lines stay null."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def lines(column: pd.Series) -> pd.Series:
+        def one(line):
+            if line is None or len(line) < 3:
+                return line
+            return [{"x": x, "y": y} for x, y in simplified([(p["x"], p["y"]) for p in line], tolerance)]
+
+        return column.map(one)
+
+    return lines(F.col(points) if isinstance(points, str) else points)
+
+
+def datum_residuals(df: DataFrame, keys: list[str], moved: tuple[str, str], published: tuple[str, str], *, unmoved: tuple[str, str], same_m: float = 0.001) -> DataFrame:
+    """Residuals of transformed against published coordinates: median, p99, largest, share within a metre.
+
+    Pairs whose published point equals the unmoved one within ``same_m`` were
+    never converted and are counted apart. NAD83 and WGS84 are taken as equal.
+    """
+    apart = ellipsoidal_m(*(F.col(c) for c in (*moved, *published)))
+    still = ellipsoidal_m(*(F.col(c) for c in (*unmoved, *published))) <= same_m
+    marked = df.select(*keys, apart.alias("__m"), F.coalesce(still, F.lit(False)).alias("__still"))
+    counts = marked.groupBy(*keys).agg(
+        F.count_if("__still").alias("unconverted"), F.max(F.when(~F.col("__still"), F.col("__m"))).alias("largest"),
+        F.avg(F.when(~F.col("__still"), (F.col("__m") <= 1.0).cast("double"))).alias("within_1m"),
+    )
+    ranks = ranked_percentiles(marked.where("NOT __still"), keys, "__m", {"median": (1, 2), "p99": (99, 100)}, "floor")
+    return joined_back(counts, ranks, keys)
+
+
 def near_pairs(df: DataFrame, key: str, x: str, y: str, radius: float, *, extra: list[str] | None = None) -> DataFrame:
     """Pairs ``a < b`` of points within a planar radius, each once.
 
@@ -233,10 +268,15 @@ def outside_domain(df: DataFrame, group: str, points: str, box: tuple[float, flo
 
 
 def duplicate_geometry(df: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
-    """Later geometries of a key with their distance from the one that stays."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    first = df.withColumns({"__x": F.first(x).over(w), "__y": F.first(y).over(w), "__r": F.row_number().over(w)})
-    return first.withColumn("metres_from_survivor", haversine_m(F.col(x), F.col(y), F.col("__x"), F.col("__y"))).withColumn("survives", F.col("__r") == 1).drop("__x", "__y", "__r")
+    """All geometries of a key with their distance from the one that stays, the first by ``order``.
+
+    ``order`` is a full order of a key's rows; the survivor is an aggregate joined
+    back, so a key with many geometries is spread.
+    """
+    first = df.groupBy(*keys).agg(F.min(F.struct(F.col(order).alias("at"), F.col(x).alias("x"), F.col(y).alias("y"))).alias("__first"))
+    both = joined_back(df, first, keys)
+    apart = haversine_m(F.col(x), F.col(y), F.col("__first.x"), F.col("__first.y"))
+    return both.withColumns({"metres_from_survivor": apart, "survives": F.col(order).eqNullSafe(F.col("__first.at"))}).drop("__first")
 
 
 def ring_fault(ring: str | Column) -> Column:

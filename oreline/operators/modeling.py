@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oreline.functions.scalar import WITHHELD, half_year, month_number
+from oreline.operators.aggregates import continuous_percentiles
 
 HORIZONS = (12, 24)
 
@@ -52,11 +53,12 @@ def cumulative_labels(rows: DataFrame, key: str, month: str, streams: list[str],
     return out.select(key, "horizon", "stream", status.alias("status"), F.when(status == "complete", F.col("value")).alias("value"))
 
 
-def median_day(day: str | Column) -> Column:
-    """Median date; between two days the earlier whole day."""
-    d = F.col(day) if isinstance(day, str) else day
-    ordinal = F.datediff(d, F.lit("1970-01-01").cast("date"))
-    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.percentile(ordinal, 0.5)).cast("int"))
+def median_days(df: DataFrame, keys: list[str], day: str) -> DataFrame:
+    """``keys, median_day, n``: median date per key; between two days the earlier whole day."""
+    epoch = F.lit("1970-01-01").cast("date")
+    ordinals = df.select(*keys, F.datediff(day, epoch).alias("__day"))
+    middle = continuous_percentiles(ordinals, keys, "__day", {"__middle": 0.5})
+    return middle.select(*keys, F.date_add(epoch, F.floor("__middle").cast("int")).alias("median_day"), "n")
 
 
 def temporal_split(df: DataFrame, key: str, group: str, day: str, boundary: Column, *, calibration_months: int = 12, most_share: float | None = 0.02) -> DataFrame:
@@ -64,7 +66,8 @@ def temporal_split(df: DataFrame, key: str, group: str, day: str, boundary: Colu
 
     A group that holds more than ``most_share`` of the keys is refused.
     """
-    groups = df.groupBy(group).agg(median_day(day).alias("median_day"), F.count("*").alias("__n"))
+    sizes = df.groupBy(F.col(group).alias("__group")).agg(F.count("*").alias("__n"))
+    groups = sizes.join(median_days(df, [group], day), F.col("__group").eqNullSafe(F.col(group)), "left").drop(group, "n").withColumnRenamed("__group", group)
     if most_share is not None:
         top = groups.agg(F.max("__n").alias("top"), F.sum("__n").alias("all")).first()
         if top["all"] and top["top"] > most_share * top["all"]:

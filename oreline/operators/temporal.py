@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,20 +60,25 @@ def rules_in_force(rules: DataFrame, knowledge: Column, valid: Column) -> DataFr
     return live.join(gone, "rule_id", "left_anti")
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, effective: str, prefer: list[Column] | None = None, *, row_key: list[str]) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], at: str, effective: str, prefer: list[str] | None = None) -> DataFrame:
     """Each left row with the right row in force at its time, or nulls.
 
-    The match is an equi join on ``keys`` with a range condition; among several
-    the preferred one (``prefer``, then the latest) stays. Right columns other
-    than the keys are added.
+    Both sides are laid in one sequence per key, by time, and the best right row
+    so far is carried forward: the largest by ``prefer`` (columns of the right
+    side), then the latest. A key's history is read once, not joined with each
+    of its left rows. Right columns other than the keys are added. Null keys and
+    null times match nothing; every left row stays, repeated ones too.
     """
-    r = right.withColumnRenamed(effective, f"__{effective}")
-    condition = [left[k] == r[k] for k in keys] + [r[f"__{effective}"] <= left[at]]
-    joined = left.join(r, condition, "left")
-    for k in keys:
-        joined = joined.drop(r[k])
-    order = [*(prefer or []), F.desc_nulls_last(f"__{effective}")]
-    return first_per_key(joined, row_key, order).withColumnRenamed(f"__{effective}", effective)
+    ahead = [*(prefer or []), effective]
+    added = [c for c in right.columns if c not in keys]
+    carried = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate([*ahead, *(c for c in added if c not in ahead)])])
+    order = [*ahead, *(c for c in added if c not in ahead)]
+    known = reduce(operator.and_, [F.col(k).isNotNull() for k in keys], F.col(effective).isNotNull())
+    rows = right.where(known).select(*keys, F.col(effective).alias("__at"), F.lit(0).alias("__asks"), carried.alias("__right"))
+    asked = left.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__asks"), F.struct(*left.columns).alias("__left"))
+    sequence = Window.partitionBy(*keys).orderBy("__at", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(asked, allowMissingColumns=True).withColumn("__best", F.max("__right").over(sequence)).where("__asks = 1")
+    return both.select(*(F.col("__left").getField(c).alias(c) for c in left.columns), *(F.col("__best").getField(f"_{order.index(c)}").alias(c) for c in added))
 
 
 def membership_as_of(members: DataFrame, group: str, effective: str, as_of: Column, *, per_group: bool = True) -> DataFrame:

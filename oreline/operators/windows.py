@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +34,10 @@ def complete_prefix(df: DataFrame, keys: list[str], index: str, value: str) -> D
 def trailing_count(df: DataFrame, keys: list[str], month: str, months: int) -> DataFrame:
     """Other rows of the key within the trailing months, the row's own month included."""
     numbered = df.withColumn("__m", month_number(month))
+    per_month = numbered.groupBy(*keys, "__m").agg(F.count("*").alias("__n"))  # the frame runs over months, not rows
     w = Window.partitionBy(*keys).orderBy("__m").rangeBetween(-months, 0)
-    return numbered.withColumn("trailing", F.count("*").over(w) - 1).drop("__m")
+    counts = per_month.withColumn("trailing", F.sum("__n").over(w) - 1).drop("__n")
+    return joined_back(numbered, counts, [*keys, "__m"]).drop("__m")
 
 
 def percent_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
@@ -41,8 +46,16 @@ def percent_of_total(counts: DataFrame, n: str = "n") -> DataFrame:
     return counts.crossJoin(F.broadcast(whole)).withColumn("percent", 100.0 * F.col(n) / F.col("__all")).drop("__all")
 
 
+def joined_back(df: DataFrame, per_key: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their key's row; null keys meet. Spark splits or broadcasts hot keys."""
+    right = per_key.withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    same = reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(right, same, "left").drop(*(f"__key_{k}" for k in keys))
+
+
 def overlap_count(df: DataFrame, keys: list[str], name: str = "overlaps") -> DataFrame:
-    return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+    """Rows with the number of rows of their key, counted before they meet."""
+    return joined_back(df, df.groupBy(*keys).agg(F.count("*").alias(name)), keys)
 
 
 def thinned(df: DataFrame, x: str, y: str, cell: float, key: str) -> DataFrame:

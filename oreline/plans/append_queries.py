@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from oreline.functions import scalar as S
-from oreline.operators import append, rules, serving
+from oreline.operators import aggregates, append, rules, serving
 from oreline.plans.registry import Tables, cents, day, query, text_day
 
 # Batches: line items first shipped by September are on record (A); a later run reads those from April on (B).
@@ -347,3 +347,46 @@ SELECT CASE WHEN last IS NULL THEN 'never_fetched' WHEN DATE '1998-09-01' - last
 def scl16_freshness(t: Tables):
     last = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(F.max(day("o_orderdate")).alias("last"))
     return last.groupBy(S.freshness(F.col("last"), F.lit("1998-09-01").cast("date"), F.lit(180)).alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("prj28_trimmed_right", "SELECT o_orderkey, nullif(rtrim('  ' || o_orderpriority || repeat(' ', (o_orderkey % 4)::INTEGER), ' '), '') AS t FROM orders")
+def prj28_trimmed_right(t: Tables):
+    padded = F.concat(F.lit("  "), "o_orderpriority", F.repeat(F.lit(" "), (F.col("o_orderkey") % 4).cast("int")))
+    return t.orders.select("o_orderkey", S.trimmed_right(padded).alias("t"))
+
+
+@query("prj26_point_facts", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'multi_pool_pending' WHEN o_orderkey % 5 = 0 THEN 'lease_reported' WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN 'reported' ELSE 'reported_zero' END AS fact
+FROM orders WHERE o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'multi_pool_pending' WHEN o_orderkey % 5 = 0 THEN 'lease_reported' ELSE 'no_report' END FROM orders WHERE o_orderkey % 3 = 0""")
+def prj26_point_facts(t: Tables):
+    k = F.col("o_orderkey")
+    has = k % 3 != 0
+    fact = F.when(has, F.when(k % 2 == 0, "reported").otherwise("reported_zero"))
+    return t.orders.select("o_orderkey", serving.point_fact(has, fact, k % 7 == 0, k % 5 == 0).alias("fact"))
+
+
+@query("prj08_header_policy", "SELECT 'contains' AS policy, count(*) AS kept, 0::BIGINT AS rejected FROM nation UNION ALL SELECT 'declared', 0, count(*) FROM nation")
+def prj08_header_policy(t: Tables):
+    """The nation file has more columns than are declared: enough for one policy, too many for the other."""
+    out = []
+    for policy in ("contains", "declared"):
+        kept, rejected = rules.header_policy(t.nation, rules.Rule("h", "parse_directive", {"columns": ["n_nationkey", "n_name"], "policy": policy}))
+        both = kept.select(F.lit(1).alias("k")).unionByName(rejected.select(F.lit(0).alias("k")))
+        out.append(both.agg(F.lit(policy).alias("policy"), F.count_if(F.col("k") == 1).alias("kept"), F.count_if(F.col("k") == 0).alias("rejected")))
+    return out[0].unionByName(out[1])
+
+
+@query("prj10_policy_rule_passes", "SELECT r_regionkey, r_name FROM region WHERE r_regionkey > 0")
+def prj10_policy_rule_passes(t: Tables):
+    test = {"op": "cmp", "cmp": "gt", "left": {"col": "r_regionkey"}, "right": {"lit": 0}}
+    kept, _ = rules.apply_rules(t.region, [rules.Rule("p", "code_ref", {}), rules.Rule("v", "validity_filter", {"where": test})])
+    return kept.select("r_regionkey", "r_name")
+
+
+@query("dom22_replayed_build", "SELECT count(*) AS n, count(*) AS n_again, true AS same FROM (SELECT l_orderkey, sum(l_linenumber) FROM lineitem GROUP BY 1)")
+def dom22_replayed_build(t: Tables):
+    """Two builds of one mart, laid out differently, have the same logical digest."""
+    build = lambda df: df.groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("s"))
+    digests = [aggregates.content_digest(build(df), ["l_orderkey", "s"]) for df in (t.lineitem, t.lineitem.repartition(5, "l_partkey"))]
+    return digests[0].crossJoin(F.broadcast(digests[1].withColumnsRenamed({"n": "n_again", "digest": "again"}))).select("n", "n_again", (F.col("digest") == F.col("again")).alias("same"))  # one row each

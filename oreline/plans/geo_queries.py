@@ -156,3 +156,29 @@ def geo10_ring_faults(t: Tables):
     ring = F.when(k == 0, F.array(p(0, 0), p(1, 0))).when(k == 1, F.array(p(0, 0), p(1, 0), p(1, 1), p(0, 1))).when(k == 2, F.array(p(0, 0), p(1, 0), p(2, 0), p(0, 0))).otherwise(good)
     rows = t.region.select(ring.alias("ring"))
     return rows.select(geo.ring_fault("ring").alias("fault"), F.when(F.size("ring") > 2, geo.ring_fault(geo.repaired_ring("ring"))).otherwise(geo.ring_fault("ring")).alias("after"))
+
+
+#: Three-point lines: the middle point stays where it lies off the line of the ends.
+_LINES = f"SELECT c_custkey, lon AS x0, lat AS y0, lon + 1.0 AS x1, lat + (c_custkey % 7) / 8.0 AS y1, lon + 2.0 AS x2, lat + 0.25 AS y2 FROM ({_LONLAT})"
+
+
+@query("geo12_simplified", f"""
+SELECT c_custkey, CASE WHEN abs((x2 - x0) * (y0 - y1) - (x0 - x1) * (y2 - y0)) / sqrt((x2 - x0) * (x2 - x0) + (y2 - y0) * (y2 - y0)) > 0.15 THEN 3 ELSE 2 END AS n_points FROM ({_LINES})""")
+def geo12_simplified(t: Tables):
+    p = lambda dx, dy: F.struct((F.col("lon") + dx).alias("x"), (F.col("lat") + dy).alias("y"))
+    line = F.array(p(0.0, F.lit(0.0)), p(1.0, (F.col("c_custkey") % 7) / 8.0), p(2.0, F.lit(0.25)))
+    return _lonlat(t).select("c_custkey", F.size(geo.simplify(line, 0.15)).alias("n_points"))
+
+
+@query("geo15_datum_residuals", f"""
+WITH p AS (SELECT c_nationkey, c_custkey % 5 AS k FROM ({_LONLAT}))
+SELECT c_nationkey, count(*) FILTER (k = 0) AS unconverted, count(*) FILTER (k > 0) AS n, (avg(CASE WHEN k > 0 THEN CASE WHEN k < 3 THEN 1.0 ELSE 0.0 END END) * 1000)::INTEGER AS within FROM p GROUP BY 1""")
+def geo15_datum_residuals(t: Tables):
+    k = F.col("c_custkey") % 5
+    # one degree of latitude is some 111 km: k = 1, 2 lie within a metre, 3 and 4 do not, 0 was never moved
+    rows = _lonlat(t).select(
+        "c_nationkey", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.col("lon").alias("x1"), (F.col("lat") + 0.001 + k * 4e-6).alias("y1"),
+        F.col("lon").alias("x2"), F.when(k == 0, F.col("lat")).otherwise(F.col("lat") + 0.001).alias("y2"),
+    )
+    found = geo.datum_residuals(rows, ["c_nationkey"], ("x1", "y1"), ("x2", "y2"), unmoved=("x0", "y0"))
+    return found.select("c_nationkey", "unconverted", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.round(F.col("within_1m") * 1000).cast("int").alias("within"))

@@ -47,7 +47,7 @@ def temporal_split(t: Tables):
 
 @query("scl05_median_day", "SELECT o_orderpriority, strftime(DATE '1970-01-01' + floor(quantile_cont((CAST(o_orderdate AS DATE) - DATE '1970-01-01')::DOUBLE, 0.5))::INTEGER, '%Y-%m-%d') AS d FROM orders GROUP BY 1")
 def scl05_median_day(t: Tables):
-    return t.orders.groupBy("o_orderpriority").agg(M.median_day(day("o_orderdate")).cast("string").alias("d"))
+    return M.median_days(t.orders.select("o_orderpriority", day("o_orderdate").alias("d")), ["o_orderpriority"], "d").select("o_orderpriority", F.col("median_day").cast("string").alias("d"))
 
 
 @query("peer_ladder", """

@@ -100,7 +100,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, cents, strftime(eff, '%Y-%m-%d') AS
 def alias_asof_join(t: Tables):
     price = t.lineitem.groupBy("l_partkey", F.trunc(day("l_shipdate"), "MM").alias("eff")).agg(F.max(cents("l_extendedprice")).alias("cents"))
     asked = t.lineitem.groupBy("l_orderkey", "l_linenumber", "l_partkey").agg(F.max(day("l_shipdate")).alias("at"))
-    found = temporal.as_of_join(asked, price, ["l_partkey"], "at", "eff", row_key=["l_orderkey", "l_linenumber", "l_partkey"])
+    found = temporal.as_of_join(asked, price, ["l_partkey"], "at", "eff")
     return found.select("l_orderkey", "l_linenumber", "l_partkey", "cents", text_day("eff").alias("eff"))
 
 

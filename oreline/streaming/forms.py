@@ -48,6 +48,7 @@ def append_changes(stream: DataFrame, store_path: str, keys: list[str], vintage:
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         store = spark.read.schema(batch.schema).parquet(store_path)
+        store = store.join(batch.select(*keys).distinct(), keys, "left_semi")  # only the batch's keys can change
         added = bitemporal_append(store, batch.dropDuplicates([*keys, vintage]), keys, vintage, value)
         added.write.mode("append").parquet(store_path)
 

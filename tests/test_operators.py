@@ -10,6 +10,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from oreline import storage
 from oreline.functions import scalar as S
 from oreline.operators import aggregates, allocation, append, geo, graph, lineage, modeling, paging, rules, scheduling, serving, temporal
 from oreline.sources import files, sinks
@@ -168,6 +169,62 @@ def test_percentile_conventions_differ_on_whole_ranks(spark):
     assert (near, floor) == (99, 100)
 
 
+@pytest.mark.parametrize("keys", [[], ["g"]])
+def test_percentiles_over_slices(spark, keys):
+    rnd = random.Random(5)
+    rows = [(None if i % 9 == 0 else "hot" if i % 3 else f"k{i % 4}", rnd.choice([None, 1, 2, 2, 5, rnd.randint(0, 400)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v int")
+    got = {r["g"] if keys else None: r for r in aggregates.continuous_percentiles(df, keys, "v", {"p": 0.3, "q": 1.0}).collect()}
+    for key in {g for g, _ in rows} if keys else [None]:
+        values = sorted(v for g, v in rows if v is not None and (not keys or g == key))
+        at = 0.3 * (len(values) - 1)
+        low = values[int(at)]
+        assert abs(got[key]["p"] - (low + (values[min(len(values) - 1, int(at) + 1)] - low) * (at - int(at)))) < 1e-9
+        assert got[key]["q"] == values[-1] and got[key]["n"] == len(values)
+    assert aggregates.continuous_percentiles(df.limit(0), ["g"], "v", {"p": 0.5}).count() == 0
+
+
+def test_as_of_join_carries_the_best_row_forward(spark):
+    left = spark.createDataFrame([("a", 5, "x"), ("a", 5, "x"), ("a", 0, "y"), (None, 9, "z"), ("b", None, "w")], "k string, at int, tag string")
+    right = spark.createDataFrame([("a", 1, 2, "old"), ("a", 4, 1, "new"), ("a", 6, 9, "late"), (None, 1, 1, "none"), ("b", 1, 1, "b")], "k string, eff int, trust int, v string")
+    plain = temporal.as_of_join(left, right, ["k"], "at", "eff")
+    assert sorted((r["tag"], r["v"]) for r in plain.collect() if r["v"]) == [("x", "new"), ("x", "new")] and plain.count() == 5
+    trusted = temporal.as_of_join(left, right, ["k"], "at", "eff", ["trust"])
+    assert sorted((r["tag"], r["v"]) for r in trusted.collect() if r["v"]) == [("x", "old"), ("x", "old")]
+
+
+def test_lines_of_a_table_are_simplified(spark):
+    p = lambda *xy: [{"x": float(x), "y": float(y)} for x, y in xy]
+    df = spark.createDataFrame([(1, p((0, 0), (1, 0.01), (2, 0), (2, 4))), (2, None), (3, p((1, 1))), (4, [])], "id int, line array<struct<x:double,y:double>>")
+    got = {r["id"]: r["s"] and [(q["x"], q["y"]) for q in r["s"]] for r in df.select("id", geo.simplify("line", 0.1).alias("s")).collect()}
+    assert got == {1: [(0, 0), (2, 0), (2, 4)], 2: None, 3: [(1, 1)], 4: []}
+
+
+def test_a_hub_is_split_over_tasks(spark):
+    from oreline.operators.graph import _with_least
+
+    star = spark.range(1, 2000).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    dealt = _with_least(star, 4)
+    assert dealt.where("low <> 1").count() == 0 and dealt.count() == 1999
+    found = graph.connected_components(star, "u", "v")
+    assert found.where("component <> 0").count() == 0 and found.count() == 2000
+
+
+def test_shared_folder_is_refused_off_one_machine(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})()
+        sparkContext = Elsewhere()
+
+    with pytest.raises(ValueError, match="share"):
+        storage.shared_root(Session())
+
+
 def test_digest_ignores_order(spark):
     df = spark.range(100).withColumn("x", F.col("id") % 7)
     assert sinks.replayed_equal(df, df.orderBy(F.desc("id")).repartition(3), ["id", "x"])
