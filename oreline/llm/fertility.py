@@ -17,6 +17,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -55,65 +57,96 @@ LOW_ENTROPY = 0.25
 _BIN = 1e-3
 
 
+@lru_cache(maxsize=1)
+def _script_table() -> np.ndarray:
+    """Number of the block of each letter of the basic plane; one more for what is no letter."""
+    points = np.arange(1 << 16)
+    block = np.searchsorted([s for s, _ in _SCRIPTS], points, side="right") - 1
+    letters = np.fromiter((chr(p).isalpha() for p in points), bool, len(points))
+    return np.where(letters, block, len(_SCRIPTS)).astype(np.int8)
+
+
 def script_of(text: str) -> str:
     """The script of most letters of a text; ``None`` if it has none."""
     if text.isascii():
         return "Latin" if any(map(str.isalpha, text)) else "None"
-    letters = "".join(filter(str.isalpha, text))
-    if not letters:
-        return "None"
-    points = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), "<u4")
-    block = np.searchsorted([s for s, _ in _SCRIPTS], points, side="right") - 1
-    names = [_SCRIPTS[b][1] for b in range(len(_SCRIPTS))]
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    if int(points.max()) >> 16:
+        return script_of_rare(text)
+    return _most(np.bincount(_script_table()[points], minlength=len(_SCRIPTS) + 1)[:-1])
+
+
+def script_of_rare(text: str) -> str:
+    """The same for texts with characters beyond the basic plane."""
+    points = np.frombuffer("".join(filter(str.isalpha, text)).encode("utf-32-le", "surrogatepass"), "<u4")
+    return _most(np.bincount(np.searchsorted([s for s, _ in _SCRIPTS], points, side="right") - 1, minlength=len(_SCRIPTS)))
+
+
+def _most(of_block: np.ndarray) -> str:
     counts: dict[str, int] = {}
-    for b, n in enumerate(np.bincount(block, minlength=len(_SCRIPTS)).tolist()):
-        counts[names[b]] = counts.get(names[b], 0) + n
+    for (_, name), n in zip(_SCRIPTS, of_block.tolist()):
+        counts[name] = counts.get(name, 0) + n
     if counts["Japanese"]:  # Japanese text is Han characters among its own
         counts["Japanese"] += counts.pop("Han")
-    return max(counts, key=lambda k: (counts[k], k))
+    return max(counts, key=lambda k: (counts[k], k)) if any(counts.values()) else "None"
+
 
+def repeated_words(ids: np.ndarray, n_ids: int, window: int = 5) -> int:
+    """Words inside windows that occur twice or more; exact, by one number per window.
 
-def repeated_words(ids: np.ndarray, window: int = 5) -> int:
-    """Words inside windows that occur twice or more; exact, by ranking pairs."""
+    ``ids`` are below ``n_ids``. Where the windows have no place in 63 bits, ever
+    wider ones are ranked by (left part, right part).
+    """
     if len(ids) <= window:
         return 0
-    rank = ids.astype(np.int64)
-    width = 1
-    while width < window:  # rank windows of growing width by (left part, right part)
-        step = min(width, window - width)
-        left, right = rank[: len(rank) - step], rank[step:] if step == width else rank[step : step + len(rank) - step]
-        rank = np.unique(left * (int(rank.max()) + 1) + right, return_inverse=True)[1]
-        width += step
-    hits = np.flatnonzero(np.bincount(rank)[rank] > 1)
-    marks = np.zeros(len(ids) + 1, np.int64)
-    np.add.at(marks, hits, 1)
-    np.add.at(marks, hits + window, -1)
-    return int((np.cumsum(marks)[:-1] > 0).sum())
+    if n_ids**window < 1 << 63:
+        key = ids[: len(ids) - window + 1].copy()
+        for step in range(1, window):
+            key *= n_ids
+            key += ids[step : len(ids) - window + 1 + step]
+    else:
+        key, width = ids, 1
+        while width < window:
+            step = min(width, window - width)
+            key = np.unique(key[: len(key) - step] * (int(key.max()) + 1) + key[step:], return_inverse=True)[1]
+            width += step
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    if not same.any():
+        return 0
+    hits = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+    inside = np.zeros(len(ids), bool)
+    for step in range(window):
+        inside[hits + step] = True
+    return int(inside.sum())
 
 
 def base_measures(text: str) -> tuple[int, int, int, int, int]:
     """Words, their characters, symbols, repeated lines and repeated words."""
     words = text.encode("utf-8", "surrogatepass").split()
-    index: dict[bytes, int] = {}
-    ids = np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))
+    index = dict(zip(dict.fromkeys(words), count()))
+    ids = np.array(list(map(index.__getitem__, words)), np.int64)
     lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
     return (
         len(words),
         len(text) - sum(map(text.count, _BLANKS)),
         sum(map(text.count, _SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated_words(ids),
+        repeated_words(ids, len(index)),
     )
 
 
-def _of_tokens(codec: Codec, counts: np.ndarray) -> tuple[int, float, float]:
-    """Token count, byte-fallback share and relative entropy from counts per piece."""
-    total = int(counts.sum())
+def _of_tokens(codec: Codec, ids: np.ndarray) -> tuple[int, float, float]:
+    """Token count, byte-fallback share and relative entropy of the ids of a text."""
+    total = len(ids)
     if not total:
         return 0, 0.0, 0.0
-    fallback = int(counts[codec.byte_index].sum() - counts[codec.byte_ids[10]])  # line ends are no fallback
-    share = counts[np.flatnonzero(counts)] / total
-    return total, fallback / total, float(-(share * np.log2(share)).sum()) / math.log2(max(2, total))
+    ids = np.sort(ids)
+    ends = np.concatenate([np.flatnonzero(ids[1:] != ids[:-1]), [total - 1]])
+    counts = np.diff(ends, prepend=-1)
+    is_byte = codec.is_fallback[ids[ends]]  # line ends are no fallback
+    share = counts / total
+    return total, int(counts[is_byte].sum()) / total, float(-(share * np.log2(share)).sum()) / math.log2(max(2, total))
 
 
 def token_measures(codec: Codec, text: str) -> tuple:
@@ -125,13 +158,13 @@ def token_measures(codec: Codec, text: str) -> tuple:
     """
     digits = _WITH_DIGIT.findall(text) if _DIGIT.search(text) else []
     parts = [_WITH_DIGIT.sub("", text), " ".join(digits)] if digits else [text]
-    counts = [np.bincount(np.frombuffer(codec.body(part), "<u4"), minlength=len(codec.raw)) for part in parts]
-    found = [_of_tokens(codec, c) for c in counts]
+    ids = [np.frombuffer(codec.body(part), "<u4") for part in parts]
+    found = [_of_tokens(codec, x) for x in ids]
     each = [v for part, f in zip(parts, found) for v in (*f, len(part) / f[0] if f[0] else 0.0)]
     if not digits:
         return (*found[0], *each, 0, 0.0, 0.0, 0.0, 0.0)
     of_digits = sum(map(len, digits))
-    return (*_of_tokens(codec, counts[0] + counts[1]), *each, of_digits / (of_digits + len("".join(parts[0].split()))))
+    return (*_of_tokens(codec, np.concatenate(ids)), *each, of_digits / (of_digits + len("".join(parts[0].split()))))
 
 
 _MEASURES = (

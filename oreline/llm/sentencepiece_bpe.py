@@ -79,7 +79,6 @@ class Codec:
         self.score = {p: s for p, _, s in vocabulary.pieces}
         self.text_of = {i: p for p, i, _ in vocabulary.pieces}
         self.byte_ids = vocabulary.byte_ids
-        self.byte_index = np.array(vocabulary.byte_ids)
         self.alphabet = frozenset(p for p in self.id_of if len(p) == 1)
         #: The longest piece that is a proper prefix of a piece, or "".
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), "") for p in self.id_of}
@@ -89,6 +88,8 @@ class Codec:
         self.matcher.make_automaton()
         #: Bytes by id; control ids have none.
         size = 1 + max(*self.byte_ids, *self.text_of)
+        self.is_fallback = np.zeros(size, bool)  # pieces of single bytes but the line end
+        self.is_fallback[[i for b, i in enumerate(self.byte_ids) if b != 10]] = True
         self.raw = [self.text_of.get(i, "").replace(SPACE, " ").encode() for i in range(size)]
         for b, i in enumerate(self.byte_ids):
             self.raw[i] = bytes([b])
