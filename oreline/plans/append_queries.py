@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from oreline.functions import scalar as S
 from oreline.operators import aggregates, append, rules, serving
 from oreline.plans.registry import Tables, cents, day, query, text_day
+from oreline.sources import sinks
+from oreline.storage import shared_root
 
 # Batches: line items first shipped by September are on record (A); a later run reads those from April on (B).
 _BATCHES = """
@@ -390,3 +394,24 @@ def dom22_replayed_build(t: Tables):
     build = lambda df: df.groupBy("l_orderkey").agg(F.sum("l_linenumber").alias("s"))
     digests = [aggregates.content_digest(build(df), ["l_orderkey", "s"]) for df in (t.lineitem, t.lineitem.repartition(5, "l_partkey"))]
     return digests[0].crossJoin(F.broadcast(digests[1].withColumnsRenamed({"n": "n_again", "digest": "again"}))).select("n", "n_again", (F.col("digest") == F.col("again")).alias("same"))  # one row each
+
+
+@query("dom31_profile_mart", """
+SELECT 'open' AS profile, o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT 'filled', o_orderkey, -CAST(round(o_totalprice * 100) AS BIGINT) FROM orders WHERE o_orderstatus = 'F'""")
+def dom31_profile_mart(t: Tables):
+    price = "CAST(round(o_totalprice * 100) AS BIGINT)"
+    profiles = [
+        sinks.Profile("open", "o_orderstatus = 'O'", {"key": "o_orderkey", "cents": price}),
+        sinks.Profile("filled", "o_orderstatus = 'F'", {"key": "o_orderkey", "cents": f"-{price}"}),
+    ]
+    mart = sinks.rebuild_profiles(t.orders, profiles, f"{shared_root(t.spark)}/mart-{uuid.uuid4().hex}")
+    return mart.select(F.col("profile").cast("string"), "key", "cents")
+
+
+@query("dom32_reference_mart", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+def dom32_reference_mart(t: Tables):
+    path = f"{shared_root(t.spark)}/mart-{uuid.uuid4().hex}"
+    for _ in range(2):  # a rebuild replaces the mart as a whole
+        sinks.rebuild(t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select("n_nationkey", "n_name", "r_name"), path)
+    return t.spark.read.parquet(path)

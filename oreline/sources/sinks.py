@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +50,39 @@ def rebuild(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+@dataclass(frozen=True)
+class Profile:
+    """How one jurisdiction's rows become mart rows: which rows, and an expression per mart column."""
+
+    name: str
+    where: str
+    columns: dict[str, str]
+
+
+def projected(df: DataFrame, profiles: list[Profile]) -> DataFrame:
+    """The mart rows of all profiles in one frame; profiles must name the same columns."""
+    columns = list(profiles[0].columns)
+    if any(list(p.columns) != columns for p in profiles):
+        raise ValueError("profiles differ in their columns")
+    arms = [df.where(p.where).select(F.lit(p.name).alias("profile"), *(F.expr(p.columns[c]).alias(c) for c in columns)) for p in profiles]
+    return reduce(DataFrame.unionByName, arms)
+
+
+def rebuild_profiles(df: DataFrame, profiles: list[Profile], path: str) -> DataFrame:
+    """Replace the partitions of these profiles, and no others; returns the mart.
+
+    Every row carries the digest of its profile's content, so equal builds are
+    told from changed ones; a profile without rows keeps its old partition.
+    """
+    rows = projected(df, profiles)
+    measured = [c for c in rows.columns if c != "profile"]
+    hashed = F.xxhash64(*measured).cast("decimal(38,0)")
+    digests = rows.groupBy("profile").agg(F.sha2(F.concat_ws(":", F.count("*"), F.sum(hashed)), 256).alias("derivation"))
+    out = rows.join(digests, "profile")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("profile").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def coverage_document(df: DataFrame) -> DataFrame:
     """One-row aggregates as one JSON text with fields in name order."""
     return df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("document"))
