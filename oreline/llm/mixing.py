@@ -190,8 +190,16 @@ def mixed(
     dealt = written(rows.groupBy("of", "source", "deal").agg(F.sum("size").alias("words")), "mix-words")
     sources = dealt.groupBy("of", "source").agg(F.sum("words").alias("source_size"))
     spending = plan(sources.select("source", "source_size"), weights, cap, block, shard).withColumn("of", F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))).drop("source")
-    earlier = Window.partitionBy("of").orderBy("deal").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.drop("source").withColumn("offset", F.coalesce(F.sum("words").over(earlier), F.lit(0))).drop("words")
+    # running sums over the digits in two steps, so that a source's rows here do not meet in one task
+    tops = dealt.groupBy("of", F.substring("deal", 1, _DEAL // 2).alias("top")).agg(F.sum("words").alias("words"))
+
+    def earlier(by: list[str], order: str) -> Column:
+        return F.coalesce(F.sum("words").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    tops = tops.withColumn("above", earlier(["of"], "top")).drop("words")
+    steps = dealt.drop("source").withColumn("top", F.substring("deal", 1, _DEAL // 2))
+    steps = steps.withColumn("within", earlier(["of", "top"], "deal")).drop("words")
+    offsets = steps.join(tops, ["of", "top"]).select("of", "deal", (F.col("above") + F.col("within")).alias("offset"))
     placed = rows.join(offsets.join(spending, "of"), ["of", "deal"])
     inside = Window.partitionBy("of", "deal").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
