@@ -213,16 +213,68 @@ def neighbour_edges(df: DataFrame, key: str, x: str, y: str, radius: float) -> D
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
 
 
+#: Sub-cells on each side of a cell.
+_FINER = 4
+
+
+def near_links(df: DataFrame, key: str, x: str, y: str, radius: float, *, day: str | None = None, days: int = 0) -> DataFrame:
+    """Links ``a, b`` with the components of all pairs within a radius (and a day gap).
+
+    Cells are so narrow that all points of one are near each other, so a point is
+    linked to its sub-cell and a sub-cell to its cell, by their least keys,
+    instead of to every neighbour. Two cells are linked where the boxes of two of
+    their sub-cells lie wholly within the radius. Only between cells that no such
+    pair links are points compared, and only those of sub-cells whose boxes are
+    neither wholly near nor wholly far. So a dense cell costs its points, not
+    their pairs.
+    """
+    side, span = radius / math.sqrt(2) * (1 - 1e-9), days + 1
+    number = F.datediff(day, F.lit("1970-01-01").cast("date")) if day else F.lit(0)
+    points = df.select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), number.alias("d")).dropna()
+    fine = [F.floor(F.col("x") / side * _FINER).alias("fx"), F.floor(F.col("y") / side * _FINER).alias("fy"), F.floor(F.col("d") / span * _FINER).alias("fd")]
+    points = points.select("*", *fine)
+    coarse = [F.floor(F.col(f"f{c}") / _FINER).alias(f"c{c}") for c in "xyd"]
+    ends = [f(c).alias(f"{n}_{c}") for c in "xyd" for n, f in (("low", F.min), ("high", F.max))]
+    subs = points.groupBy("fx", "fy", "fd").agg(F.min("key").alias("least"), *ends).select("*", *coarse)
+    cells = subs.groupBy("cx", "cy", "cd").agg(F.min("least").alias("cell"))
+    inside = points.join(subs.select("fx", "fy", "fd", "least"), ["fx", "fy", "fd"]).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    inside = inside.union(subs.join(cells, ["cx", "cy", "cd"]).select(F.col("least").alias("a"), F.col("cell").alias("b"))).where("a <> b")
+
+    steps = [(i, j, k) for i in range(-2, 3) for j in range(-2, 3) for k in ((-1, 0, 1) if day else (0,)) if (i, j, k) > (0, 0, 0)]
+    step = F.explode(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(t, "ijk"))) for t in steps)))
+    one = subs.select(*(F.col(c).alias(f"a_{c}") for c in subs.columns), step.alias("s"))
+    one = one.select("*", (F.col("a_cx") + F.col("s.i")).alias("cx"), (F.col("a_cy") + F.col("s.j")).alias("cy"), (F.col("a_cd") + F.col("s.k")).alias("cd")).drop("s")
+    boxes = one.join(subs, ["cx", "cy", "cd"])
+
+    def farthest(c: str) -> Column:
+        return F.greatest(F.abs(F.col(f"high_{c}") - F.col(f"a_low_{c}")), F.abs(F.col(f"a_high_{c}") - F.col(f"low_{c}")))
+
+    def nearest(c: str) -> Column:
+        return F.greatest(F.lit(0.0), F.col(f"low_{c}") - F.col(f"a_high_{c}"), F.col(f"a_low_{c}") - F.col(f"high_{c}"))
+
+    far = farthest("x") * farthest("x") + farthest("y") * farthest("y")
+    near = nearest("x") * nearest("x") + nearest("y") * nearest("y")
+    whole = (far <= radius * radius * (1 - 1e-9)) & (farthest("d") <= days)
+    maybe = (near <= radius * radius * (1 + 1e-9)) & (nearest("d") <= days)
+    boxes = boxes.withColumn("whole", whole).where(F.col("whole") | maybe)
+    pair = ["a_cx", "a_cy", "a_cd", "cx", "cy", "cd"]
+    across = boxes.where("whole").groupBy(*pair).agg(F.min(F.struct("a_least", "least")).alias("l")).select(*pair, F.col("l.a_least").alias("a"), F.col("l.least").alias("b"))
+    unsure = boxes.where("NOT whole").join(across.select(*pair), pair, "left_anti").select("a_fx", "a_fy", "a_fd", "fx", "fy", "fd")
+    left = points.select(F.col("key").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("d").alias("ad"), *(F.col(f"f{c}").alias(f"a_f{c}") for c in "xyd"))
+    both = unsure.join(left, ["a_fx", "a_fy", "a_fd"]).join(points, ["fx", "fy", "fd"])
+    close = (planar(F.col("ax"), F.col("ay"), F.col("x"), F.col("y")) <= radius) & (F.abs(F.col("ad") - F.col("d")) <= days)
+    return inside.union(across.select("a", "b")).union(both.where(close).select("a", F.col("key").alias("b")))
+
+
 def pad_groups(df: DataFrame, key: str, x: str, y: str, day: str, radius: float, days: int) -> DataFrame:
     """Single-linkage groups by distance and day gap: ``key, group`` with the least key as group."""
-    pairs = near_pairs(df, key, x, y, radius, extra=[day]).where(F.abs(F.datediff(f"a_{day}", f"b_{day}")) <= days)
-    groups = connected_components(pairs, "a", "b")
+    groups = connected_components(near_links(df, key, x, y, radius, day=day, days=days), "a", "b")
     return df.select(key).join(groups, F.col(key) == F.col("node"), "left").select(key, F.coalesce("component", F.col(key)).alias("group"))
 
 
 def dbscan_pairs(df: DataFrame, key: str, x: str, y: str, eps: float) -> DataFrame:
     """Density clusters with two points at least: single linkage, lone points without a cluster."""
-    return connected_components(near_pairs(df, key, x, y, eps), "a", "b").select(F.col("node").alias(key), F.col("component").alias("cluster"))
+    return connected_components(near_links(df, key, x, y, eps), "a", "b").select(F.col("node").alias(key), F.col("component").alias("cluster"))
 
 
 def inside_ring(x: Column, y: Column, ring: str | Column) -> Column:

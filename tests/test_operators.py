@@ -169,6 +169,28 @@ def test_percentile_conventions_differ_on_whole_ranks(spark):
     assert (near, floor) == (99, 100)
 
 
+@pytest.mark.parametrize("seed,days", [(1, None), (2, None), (3, 5)])
+def test_near_links_have_the_components_of_all_pairs(spark, seed, days):
+    rnd = random.Random(seed)
+    points = [(i, rnd.choice([0.0, 1.3, 2.2, 5.0]) + rnd.random() ** 3 * (0.2 if i % 2 else 2.0), rnd.random() * (0.1 if i % 3 else 3), rnd.randint(0, 30)) for i in range(260)]
+    df = spark.createDataFrame([(i, x, y, dt.date(2024, 1, 1) + dt.timedelta(d)) for i, x, y, d in points] + [(999, None, 1.0, None)], "k long, x double, y double, d date")
+    parent = {i: i for i, *_ in points}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x, y, d in points:
+        for j, u, v, e in points[:i]:
+            if math.hypot(x - u, y - v) <= 0.25 and (days is None or abs(d - e) <= days):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    links = geo.near_links(df, "k", "x", "y", 0.25, **({"day": "d", "days": days} if days else {}))
+    found = {r["node"]: r["component"] for r in graph.connected_components(links, "a", "b").collect()}
+    assert {i: found.get(i, i) for i, *_ in points} == {i: root(i) for i, *_ in points}
+
+
 @pytest.mark.parametrize("keys", [[], ["g"]])
 def test_percentiles_over_slices(spark, keys):
     rnd = random.Random(5)
