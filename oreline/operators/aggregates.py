@@ -75,22 +75,29 @@ def pool_rollup(df: DataFrame, keys: list[str], pool: str, value: str, days: str
 def facets(df: DataFrame, value: str, count_of: str | None = None, *, top: int = 5, search: Column | None = None) -> DataFrame:
     """Counts per value with the remainder, the null bucket and the totals in one pass.
 
-    Rows are ``kind`` (``value, remainder, null, matched, scope``), ``value``
-    and ``n``; ties of the ranking go to the smaller value. The facet is counted
-    once; the top rows come from a bounded top-N of the counts and the remainder
-    is what they leave of the total, so many distinct values meet in no one task.
+    Rows are ``kind`` (``value, remainder, null, matched, scope``), ``value`` (as
+    text) and ``n``; ties of the ranking go to the smaller value. The facet is counted
+    once, in one scan. The counts are ranked in as many parts as Spark shuffles
+    to, and the first rows of each part meet in one row with the totals, so many
+    distinct values meet in no one task; the remainder is what the top rows leave.
     """
     n = F.count_distinct(count_of) if count_of else F.count("*")
     hit = F.coalesce(search, F.lit(False)) if search is not None else F.col(value).isNotNull()
-    counts = df.groupBy(value).agg(n.alias("n")).withColumn("__hit", hit)
-    first = counts.where("__hit").orderBy(F.desc("n"), F.asc(value)).limit(top).select(F.lit("value").alias("kind"), F.col(value).alias("value"), "n")
-    shown = first.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shown"))
-    empty = F.when(F.col(value).isNull() & ~F.col("__hit"), F.col("n")).otherwise(0)
-    totals = counts.agg(F.coalesce(F.sum(F.when(F.col("__hit"), F.col("n"))), F.lit(0)).alias("matched"), F.sum("n").alias("scope"), F.sum(empty).alias("empty"))
-    both = totals.crossJoin(F.broadcast(shown))  # one row and one row
-    named = "stack(4, 'remainder', string(null), matched - shown, 'null', string(null), empty, 'matched', string(null), matched, 'scope', string(null), scope) AS (kind, value, n)"
-    rest = both.select(F.expr(named)).where("n > 0 OR kind IN ('matched', 'scope')")
-    return first.unionByName(rest)
+    counts = df.groupBy(value).agg(n.alias("n")).select(F.col(value).cast("string").alias("value"), "n", hit.alias("hit"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_part = Window.partitionBy(F.pmod(F.xxhash64("value"), F.lit(parts))).orderBy(F.desc("hit"), F.desc("n"), F.asc("value"))
+    leads = F.when(F.col("hit") & (F.row_number().over(in_part) <= top), F.struct((-F.col("n")).alias("m"), "value"))
+    whole = counts.withColumn("leads", leads).agg(
+        F.coalesce(F.sum(F.when(F.col("hit"), F.col("n"))), F.lit(0)).alias("matched"),
+        F.sum("n").alias("scope"),
+        F.sum(F.when(F.col("value").isNull() & ~F.col("hit"), F.col("n")).otherwise(0)).alias("empty"),
+        F.slice(F.array_sort(F.collect_list("leads")), 1, top).alias("first"),
+    )
+    row = lambda kind, v, n: F.struct(F.lit(kind).alias("kind"), v.alias("value"), n.alias("n"))
+    none, shown = F.lit(None).cast("string"), F.aggregate("first", F.lit(0).cast("long"), lambda acc, s: acc - s["m"])
+    rest = F.array(row("remainder", none, F.col("matched") - shown), row("null", none, F.col("empty")), row("matched", none, F.col("matched")), row("scope", none, F.col("scope")))
+    rest = F.filter(rest, lambda r: (r["n"] > 0) | r["kind"].isin("matched", "scope"))
+    return whole.select(F.inline(F.concat(F.transform("first", lambda s: row("value", s["value"], -s["m"])), rest)))
 
 
 def dense_counts(df: DataFrame, keys: list[str], label: str, vocabulary: list[str]) -> DataFrame:
