@@ -6,6 +6,7 @@ then costs a re-read of files, not a recomputation of every pass so far.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -47,11 +48,11 @@ class Passes:
     """Tables between the passes of one run, deleted once a later pass has read them."""
 
     def __init__(self, spark: SparkSession, tag: str):
-        self._spark, self._paths = spark, {}
+        self._spark, self._paths, self._number = spark, {}, itertools.count()
         self._root = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        self._paths[name] = f"{self._root}/{name}-{len(self._paths)}"
+        self._paths[name] = f"{self._root}/{name}-{next(self._number)}"
         return _write(df, self._paths[name])
 
     def drop(self, *names: str) -> None:
