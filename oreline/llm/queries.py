@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import fertility, langid, mixing, pii, quality, sentencepiece_bpe, simhash, suffix_dedup, topk, toxicity
+from oreline.llm import fertility, langid, mixing, pii, quality, sentencepiece_bpe, simhash, structure_queries, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -176,8 +176,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_simhash": op9_simhash,
         "op10_quality": op10_quality,
+        **structure_queries.queries(),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op5_suffix_dedup": OP5_SQL, "op8_mixing": OP8_SQL, **structure_queries.oracle_sql()}
