@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import merkle
+from oreline.llm import merkle, secrets
 from oreline.llm.crc_sql import crc32_sql
 
 
@@ -65,8 +65,19 @@ FROM placed JOIN subroots USING (grp) JOIN ends USING (r) CROSS JOIN (SELECT h A
 """
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.with_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep=("doc_id",))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    digest = F.sha2(secrets.written_spans(base).cast("binary"), 256)
+    return found.select("doc_id", *map(count, secrets.KINDS), digest.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"), "n_unread")
+
+
 def queries() -> dict:
-    return {"op11_merkle": op11_merkle}
+    return {"op11_merkle": op11_merkle, "op12_secrets": op12_secrets}
 
 
 def oracle_sql() -> dict[str, str]:
