@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oreline.llm import merkle, secrets
+from oreline.llm import merkle, prefix_trie, secrets
 from oreline.llm.crc_sql import crc32_sql
 
 
@@ -76,9 +76,46 @@ def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, secrets.KINDS), digest.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"), "n_unread")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: Every prefix of every conversation as a row, and every node met with all its ancestors.
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS token, strlen(coalesce(text, '')) AS bytes, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, token) - 1 AS i FROM t
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)
+), r AS (
+  SELECT c.conv_id, 0 AS part, i, token, bytes FROM c JOIN o ON o.conv_id = c.base AND i < h
+  UNION ALL SELECT c.conv_id, 1, i, token, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND i >= h
+), s AS (
+  SELECT conv_id, coalesce(list(token ORDER BY part, i) FILTER (token IS NOT NULL), []) AS tokens, list(bytes ORDER BY part, i) AS sizes FROM c LEFT JOIN r USING (conv_id) GROUP BY conv_id
+), p AS (
+  SELECT conv_id, len(tokens) AS n, d AS depth, tokens[1:d] AS path, coalesce(sizes[d], 0) AS bytes FROM (SELECT *, unnest(range(0, len(tokens) + 1)) AS d FROM s)
+), nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY path, depth
+), children AS (
+  SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+), full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON n.path = c.path
+), subtrees AS (
+  SELECT path[1:d] AS path, sum((n_children = 0)::INTEGER)::BIGINT AS n_leaves, sum((n_convs - 1) * CASE WHEN depth = 0 THEN 0 ELSE bytes END)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM full_nodes) GROUP BY 1
+)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_nodes n JOIN subtrees s ON n.path = s.path LEFT JOIN nodes u ON n.depth > 0 AND u.path = n.path[1:n.depth - 1]
+"""
+
+
 def queries() -> dict:
-    return {"op11_merkle": op11_merkle, "op12_secrets": op12_secrets}
+    return {"op11_merkle": op11_merkle, "op12_secrets": op12_secrets, "op13_trie": op13_trie}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_merkle": OP11_SQL}
+    return {"op11_merkle": OP11_SQL, "op13_trie": OP13_SQL}
