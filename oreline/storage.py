@@ -60,3 +60,7 @@ class Passes:
         for name in names:
             path = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(name))
             path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_all(self) -> None:
+        """Delete all tables written so far."""
+        self.drop(*list(self._paths))
