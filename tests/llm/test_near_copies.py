@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
 from oreline.llm import near_copies
 from tests.llm.test_text_operators import words
@@ -54,6 +56,27 @@ def test_groups_are_those_of_all_pairs(spark):
     assert near_copies.one_of_each_group(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 1, 4])
+def test_families_truncated_and_shared_edits(spark, monkeypatch, rounds):
+    """Groups whose members are not near their centre, but near each other in many ways."""
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    rnd = random.Random(21)
+    base = words(rnd, 150, "abcdefgh").split()
+    rows = [(i, " ".join(base)) for i in range(2)]
+    edit = lambda w, places: [f"e{rnd.randrange(10**6)}" if i in places else x for i, x in enumerate(w)]
+    for family in range(6):  # far from the base, with a family of its own
+        start = edit(base, set(rnd.sample(range(150), 5)))
+        for i in range(8):
+            rows.append((100 + 10 * family + i, " ".join(edit(start, set(rnd.sample(range(150), rnd.choice([1, 2, 4])))))))
+    for i in range(30):  # pieces of the base, sizes from a third on
+        n = rnd.randint(50, 149)
+        at = rnd.choice([0, 150 - n, rnd.randint(0, 150 - n)])
+        rows.append((300 + i, " ".join(base[at : at + n])))
+    rows += [(400 + i, " ".join(edit(base, set(rnd.sample(range(150), 6))))) for i in range(25)]
+    got = near_copies.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == naive_kept(rows)
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (5, "x y"), (5, "x y"), (5, "y x")]
     out = near_copies.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
