@@ -19,6 +19,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from oreline.llm.ordering import numbered
 from oreline.llm.rows import column
@@ -102,7 +103,7 @@ def _common(a: Column, b: Column) -> Column:
     return differs.cast("long") - 1
 
 
-@F.pandas_udf("array<bigint>")
+@F.pandas_udf(T.ArrayType(T.LongType()))
 def _bytes_before(bytes_: pd.Series) -> pd.Series:
     """For each depth from 0: the bytes of all turns before the node's last."""
     return bytes_.map(lambda b: np.concatenate([[0, 0], np.cumsum(np.asarray(b, np.int64))])[: len(b) + 1])
