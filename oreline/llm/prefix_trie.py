@@ -29,6 +29,7 @@ from oreline.storage import Passes
 #: Most turns that a conversation takes from the one its id is rounded down to.
 SHARED_TURNS = 8
 _IDS_AT_ONCE = 1 << 15
+CHILDREN_AT_ONCE = 64
 _NO_TURNS = "array<struct<token:binary,bytes:int>>"
 
 
@@ -184,8 +185,8 @@ def trie(convs: DataFrame) -> DataFrame:
         F.when(F.col("next_lcp") > F.col("lcp"), F.col("lo")).otherwise(F.col("left")).alias("above_lo"),
         F.lit(0).cast("long").alias("children"),
     ).where("depth > above")
-    paths = branching.union(ending).withColumn("block", F.expr(f"lo div {BLOCK}"))
-    # A node's least member comes to its children by blocks, never to all of them at once.
+    paths = branching.union(ending).withColumn("block", F.expr(f"lo div {CHILDREN_AT_ONCE}"))
+    # A node's least member comes to its children by short stretches, never to all of them at once.
     asked = paths.select("block", "above_lo", "above").distinct()
     parents = asked.join(nodes.select(F.col("lo").alias("above_lo"), F.col("value").alias("above"), F.col("least").alias("above_least")), ["above_lo", "above"])
     known = paths.join(parents, ["block", "above_lo", "above"], "left")
