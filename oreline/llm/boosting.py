@@ -72,11 +72,14 @@ def fit_trees(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 3,
 
 
 def fit_isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pooled adjacent violators: knots of a rising step function, interpolated."""
-    order = np.argsort(margin, kind="stable")
+    """Pooled adjacent violators: knots of a rising step function, interpolated.
+
+    Equal margins are one block from the start, so their order does not matter.
+    """
     blocks: list[list[float]] = []  # sum of labels, count, first margin, last margin
-    for m, label in zip(margin[order], y[order]):
-        blocks.append([float(label), 1.0, m, m])
+    levels, level = np.unique(margin, return_inverse=True)
+    for m, total, count in zip(levels, np.bincount(level, y, len(levels)), np.bincount(level, minlength=len(levels))):
+        blocks.append([float(total), float(count), m, m])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2], last[3]]

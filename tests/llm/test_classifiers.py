@@ -107,3 +107,20 @@ def test_batched_viterbi_equals_one_by_one():
             value = lambda p: model.start[p[0]] + sum(score[t, p[t]] for t in range(len(p))) + sum(model.steps[a, b] for a, b in zip(p, p[1:]))
             best = max(itertools.product(range(3), repeat=len(i)), key=value)
             assert np.isclose(value(best), value(batch[s : s + len(i)].tolist()), atol=1e-4)
+
+
+def test_isotonic_steps_with_tied_margins():
+    """Against the min-max form of isotonic regression, whatever the order of equal margins."""
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        n = int(rng.integers(1, 40))
+        margin, y = rng.integers(0, 6, n).astype(float), rng.integers(0, 2, n).astype(float)
+        at = np.unique(margin)
+        want = []
+        for v in at:
+            low = [max(min(y[(margin >= a) & (margin <= b)].mean() for b in at[at >= v]) for a in at[at <= v])]
+            want.append(low[0])
+        for order in (np.arange(n), rng.permutation(n)):
+            knots, values = boosting.fit_isotonic(margin[order], y[order])
+            assert np.allclose(np.interp(at, knots, values), want)
+    assert np.interp(0.0, *boosting.fit_isotonic(np.zeros(4), np.array([0.0, 0, 1, 1]))) == 0.5
