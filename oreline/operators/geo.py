@@ -72,7 +72,8 @@ def midpoint(points: str | Column) -> Column:
 
 
 def utm_zone_epsg(lon: Column) -> Column:
-    return (F.lit(32600) + F.floor((lon + 180) / 6) + 1).cast("int")
+    """Northern zone of a longitude; 180 degrees belong to the last zone."""
+    return (F.lit(32600) + F.least(F.floor((lon + 180) / 6) + 1, F.lit(60))).cast("int")
 
 
 def web_mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -95,8 +96,8 @@ def utm(lon: Column, lat: Column) -> tuple[Column, Column]:
     return east, north
 
 
-def albers(lon: Column, lat: Column, *, lon0: float = -96.0, lat0: float = 23.0, lat1: float = 29.5, lat2: float = 45.5) -> tuple[Column, Column]:
-    """Equal-area conic of the ellipsoid with two standard parallels."""
+def _conic(lat0: float, lat1: float, lat2: float) -> tuple[float, float, float]:
+    """Cone constant, c and radius at the origin of an equal-area conic."""
     e = math.sqrt(_E2)
 
     def q_at(s: float) -> float:
@@ -110,13 +111,26 @@ def albers(lon: Column, lat: Column, *, lon0: float = -96.0, lat0: float = 23.0,
     m1, m2 = m_at(lat1), m_at(lat2)
     n = (m1 * m1 - m2 * m2) / (q2 - q1)
     c = m1 * m1 + n * q1
+    return n, c, _A * math.sqrt(c - n * q0) / n
+
+
+def albers(lon: Column, lat: Column, *, lon0: float = -96.0, lat0: float = 23.0, lat1: float = 29.5, lat2: float = 45.5) -> tuple[Column, Column]:
+    """Equal-area conic of the ellipsoid with two standard parallels."""
+    e = math.sqrt(_E2)
+    n, c, rho0 = _conic(lat0, lat1, lat2)
     s = F.sin(F.radians(lat))
     q = (1 - _E2) * (s / (1 - _E2 * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    rho, rho0 = _A * F.sqrt(c - n * q) / n, _A * math.sqrt(c - n * q0) / n
+    rho = _A * F.sqrt(c - n * q) / n
     theta = n * F.radians(lon - lon0)
     return rho * F.sin(theta), rho0 - rho * F.cos(theta)
 
 
+def albers_longitude(x: Column, y: Column, *, lon0: float = -96.0, lat0: float = 23.0, lat1: float = 29.5, lat2: float = 45.5) -> Column:
+    """Longitude of a point of ``albers``."""
+    n, _, rho0 = _conic(lat0, lat1, lat2)
+    return F.degrees(F.atan2(x, F.lit(rho0) - y)) / n + lon0
+
+
 def in_box(x: Column, y: Column, box: tuple[float, float, float, float], *, widest: float = 4.0) -> Column:
     """Bounding-box filter as plain ranges (pushed to the scan); wider boxes are refused."""
     x0, y0, x1, y1 = box
