@@ -146,9 +146,10 @@ def slug(c: str | Column) -> Column:
 
 
 def selector_terms(c: str | Column) -> Column:
-    """``k=v&k=v`` as a map; null where the text is not of that form."""
+    """``k=v&k=v`` as a map; null where the text is not of that form or names a key twice."""
     t = _col(c)
-    return F.when(t.rlike("^[a-z_]+=[^=&]*(&[a-z_]+=[^=&]*)*$"), F.str_to_map(t, F.lit("&"), F.lit("=")))
+    again = "(^|.*&)([a-z_]+)=[^=&]*&(.*&)?\\2=.*"
+    return F.when(t.rlike("^[a-z_]+=[^=&]*(&[a-z_]+=[^=&]*)*$") & ~t.rlike("^(?s:" + again + ")$"), F.str_to_map(t, F.lit("&"), F.lit("=")))
 
 
 def canonical_digest(*columns: str) -> Column:

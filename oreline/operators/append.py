@@ -46,12 +46,30 @@ def refuse_any(df: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {row[0].asDict()}")
 
 
+def self_diverged(batch: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Keys that a batch files with several values, nulls counted as one: ``keys, low, high``."""
+    values = F.struct(F.col(value).alias("value"))
+    both = batch.groupBy(*keys).agg(F.min(values).alias("low"), F.max(values).alias("high")).where(~F.col("low").eqNullSafe(F.col("high")))
+    return both.select(*keys, "low.value", F.col("high.value").alias("other"))
+
+
 def bitemporal_append(store: DataFrame, batch: DataFrame, keys: list[str], vintage: str, value: str) -> DataFrame:
-    """Rows to append: same-vintage divergence is refused, unchanged values are left out."""
+    """Rows to append: same-vintage divergence is refused, unchanged values are left out.
+
+    A key and vintage may neither differ from what is stored nor be filed with
+    two values in the batch itself; rows that are filed again with the same
+    value count once (one of them stays). Only the store's rows of the batch's
+    keys are ranked for heads, so a small batch reads a store that is bucketed
+    or partitioned by key without sorting it.
+    """
     at = [*keys, vintage]
-    refuse_any(diverged(batch, store, at, [value]), "same vintage, different value")
-    heads = latest(store, keys, vintage, [value])
-    return changed_only(unseen_only(batch, store, at), heads, keys, value)
+    refuse_any(self_diverged(batch, at, value), "one vintage filed with two values")
+    once = batch.dropDuplicates([*at, value])
+    refuse_any(diverged(once, store, at, [value]), "same vintage, different value")
+    asked = once.select(*keys).distinct()
+    known = store.join(asked, _same(store, asked, keys), "left_semi")
+    heads = latest(known, keys, vintage, [value])
+    return changed_only(unseen_only(once, known, at), heads, keys, value)
 
 
 def route_collisions(df: DataFrame, keys: list[str], value: str, order: list[Column]) -> DataFrame:

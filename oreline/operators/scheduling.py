@@ -6,16 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _day_of_month(month: Column, number: Column) -> Column:
+    """That day of a month, or its last one where it is shorter."""
+    return F.date_add(F.trunc(month, "MM"), F.least(number, F.dayofmonth(F.last_day(month))) - 1)
+
+
 def next_due(jobs: DataFrame, now: Column) -> DataFrame:
-    """Cadence and monthly jobs with their next due day and whether they are due now.
+    """Jobs with their next due time and whether they are due now.
 
     ``jobs`` has ``job, kind (cadence, monthly, after), every_days, month_day,
-    last_success``; a job that never ran is due at once.
+    last_success`` and, for jobs that follow another, ``after_job``. A cadence or
+    monthly job that never ran is due at once; monthly days beyond a month's end
+    fall on its last day. A job that follows another is due since that one's
+    last success, if its own is older or missing, and has no due time otherwise.
     """
-    this_month = F.date_add(F.trunc(now, "MM"), F.least(F.col("month_day"), F.dayofmonth(F.last_day(now))) - 1)
-    monthly = F.when(F.col("last_success") >= this_month, F.date_add(F.trunc(F.add_months(now, 1), "MM"), F.col("month_day") - 1)).otherwise(this_month)
-    due = F.when(F.col("last_success").isNull(), now).when(F.col("kind") == "cadence", F.date_add("last_success", F.col("every_days"))).when(F.col("kind") == "monthly", monthly)
-    return jobs.withColumn("next_due", due).withColumn("due", F.coalesce(F.col("next_due") <= now, F.lit(False)))
+    this_month = _day_of_month(now, F.col("month_day"))
+    monthly = F.when(F.col("last_success") >= this_month, _day_of_month(F.add_months(now, 1), F.col("month_day"))).otherwise(this_month)
+    timed = F.when(F.col("last_success").isNull(), now).when(F.col("kind") == "cadence", F.date_add("last_success", F.col("every_days"))).when(F.col("kind") == "monthly", monthly)
+    if "after_job" in jobs.columns:
+        parents = jobs.select(F.col("job").alias("__parent"), F.col("last_success").alias("__ran"))
+        rows = jobs.join(parents, F.col("after_job") == F.col("__parent"), "left")
+        followed = F.when(F.col("last_success").isNull() | (F.col("__ran") > F.col("last_success")), F.col("__ran"))
+    else:
+        rows, followed = jobs.withColumns({"__parent": F.lit(None), "__ran": F.lit(None)}), F.lit(None).cast("date")
+    due = F.when(F.col("kind") == "after", followed).otherwise(timed)
+    return rows.withColumn("next_due", due).withColumn("due", F.coalesce(F.col("next_due") <= now, F.lit(False))).drop("__parent", "__ran")
 
 
 def plan_key(job: Column, now: Column) -> Column:

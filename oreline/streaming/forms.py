@@ -41,15 +41,16 @@ def completeness(df: DataFrame, month: str, months: int = 6) -> DataFrame:
 def append_changes(stream: DataFrame, store_path: str, keys: list[str], vintage: str, value: str, checkpoint: str) -> StreamingQuery:
     """Change-only bitemporal append of a stream of filings to a Parquet store.
 
-    Each micro-batch is compared with the heads on record; a batch that runs
-    again after a failure appends nothing new, as its rows are then known.
+    Each micro-batch is compared with itself and with the heads on record: two
+    values of one key and vintage stop the stream, equal filings count once. A
+    batch that runs again after a failure appends nothing new, as its rows are
+    then known.
     """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         store = spark.read.schema(batch.schema).parquet(store_path)
-        store = store.join(batch.select(*keys).distinct(), keys, "left_semi")  # only the batch's keys can change
-        added = bitemporal_append(store, batch.dropDuplicates([*keys, vintage]), keys, vintage, value)
+        added = bitemporal_append(store, batch, keys, vintage, value)
         added.write.mode("append").parquet(store_path)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

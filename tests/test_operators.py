@@ -48,6 +48,7 @@ def test_composite_key_never_cuts(spark):
 def test_selector_and_wildcards(spark):
     assert one(spark, S.selector_terms(F.lit("a=1&b=2"))) == {"a": "1", "b": "2"}
     assert one(spark, S.selector_terms(F.lit("a=1&&b"))) is None
+    assert one(spark, S.selector_terms(F.lit("a=1&b=3&a=2"))) is None and one(spark, S.selector_terms(F.lit("a=1&aa=2"))) == {"a": "1", "aa": "2"}
     assert one(spark, S.contains_text(F.lit("50% off"), "0%")) and not one(spark, S.contains_text(F.lit("500"), "0%"))
 
 
@@ -514,6 +515,34 @@ def test_monthly_jobs_fall_due(spark):
     jobs = spark.createDataFrame([("m", "monthly", None, 31, D(2024, 1, 31)), ("n", "monthly", None, 5, D(2024, 2, 6)), ("o", "cadence", 7, None, None)], "job string, kind string, every_days int, month_day int, last_success date")
     got = {r["job"]: (r["next_due"], r["due"]) for r in scheduling.next_due(jobs, F.lit("2024-02-29").cast("date")).collect()}
     assert got == {"m": (D(2024, 2, 29), True), "n": (D(2024, 3, 5), False), "o": (D(2024, 2, 29), True)}
+    january = scheduling.next_due(jobs, F.lit("2024-01-31").cast("date")).collect()
+    assert {r["job"]: r["next_due"] for r in january}["m"] == D(2024, 2, 29)  # the 31st, clamped
+
+
+def test_jobs_that_follow_another(spark):
+    rows = [("load", "cadence", 7, None, D(2024, 2, 10), None), ("mart", "after", None, None, D(2024, 2, 9), "load"), ("map", "after", None, None, D(2024, 2, 10), "load"), ("new", "after", None, None, None, "load"), ("lost", "after", None, None, None, "nothing")]
+    jobs = spark.createDataFrame(rows, "job string, kind string, every_days int, month_day int, last_success date, after_job string")
+    out = scheduling.next_due(jobs, F.lit("2024-02-11").cast("date"))
+    assert out.columns == [*jobs.columns, "next_due", "due"]
+    got = {r["job"]: (r["next_due"], r["due"]) for r in out.collect()}
+    assert got == {"load": (D(2024, 2, 17), False), "mart": (D(2024, 2, 10), True), "map": (None, False), "new": (D(2024, 2, 10), True), "lost": (None, False)}
+
+
+def test_a_batch_may_not_contradict_itself(spark, tmp_path):
+    schema = "k string, v date, x int"
+    store = spark.createDataFrame([("a", D(2024, 1, 1), 1), ("c", D(2024, 1, 1), 9)], schema)
+    frame = lambda *rows: spark.createDataFrame([(k, D(2024, 2, 1), x) for k, x in rows], schema)
+    for bad in (frame(("b", 5), ("b", 6)), frame(("b", None), ("b", 6))):
+        with pytest.raises(ValueError, match="two values"):
+            append.bitemporal_append(store, bad, ["k"], "v", "x")
+    again = append.bitemporal_append(store, frame(("b", 5), ("b", 5), (None, None), (None, None), ("a", 1)), ["k"], "v", "x")
+    assert sorted(map(repr, map(tuple, again.collect()))) == sorted(map(repr, [("b", D(2024, 2, 1), 5), (None, D(2024, 2, 1), None)]))
+    store.write.parquet(str(tmp_path / "store"))
+    frame(("b", 5), ("b", 6)).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = forms.append_changes(forms.events(spark, str(tmp_path / "in"), store.schema), str(tmp_path / "store"), ["k"], "v", "x", str(tmp_path / "check"))
+    with pytest.raises(Exception, match="two values"):
+        stream.awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 2
 
 
 def test_landed_files_have_content_addresses(spark, tmp_path):
