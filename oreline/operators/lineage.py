@@ -12,7 +12,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oreline.storage import written
+from oreline.operators.append import refuse_any
+from oreline.operators.windows import joined_back
+from oreline.storage import Passes, written
 
 
 def canonical_json(value: object) -> str:
@@ -119,6 +121,45 @@ def register_manifests(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     return new.join(heads, ["source_id", "source_key"], "left")
 
 
+def supersession_chain(manifests: DataFrame, *, key: str = "manifest_id", supersedes: str = "supersedes_manifest_id") -> DataFrame:
+    """``key, head, place``: each manifest's newest successor and its place behind it, 0 for the newest.
+
+    Pointers are doubled: after r rounds every manifest knows who stands 2^r
+    places ahead, so a chain of n takes log n rounds, each one join and one
+    written table. A manifest that two others supersede is refused, and so is a
+    cycle. Pointers to manifests that are not in the table end the chain.
+    """
+    spark = manifests.sparkSession
+    rounds = Passes(spark, "supersession")
+    ahead = manifests.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("node"), F.col(key).alias("ahead"))
+    refuse_any(ahead.groupBy("node").agg(F.count_distinct("ahead").alias("n")).where("n > 1"), "superseded twice")
+    nodes = manifests.select(F.col(key).alias("node")).distinct()
+    first = nodes.join(ahead.distinct(), "node", "left").withColumn("place", F.col("ahead").isNotNull().cast("long"))
+    now = rounds.write(first.select("node", "ahead", F.coalesce("ahead", "node").alias("head"), "place"), "round-0")
+    longest, number = now.count(), 0
+    while now.where("ahead IS NOT NULL").limit(1).count():
+        if 1 << number > longest:
+            raise ValueError("manifests supersede each other in a cycle")
+        jump = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("__ahead"), F.col("head").alias("__head"), F.col("place").alias("__place"))
+        met = now.join(jump, "ahead", "left")
+        moved = met.select("node", F.col("__ahead").alias("ahead"), F.coalesce("__head", "head").alias("head"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"))
+        number += 1
+        now = rounds.write(moved, f"round-{number}")
+        rounds.drop(f"round-{number - 1}")
+    return now.select(F.col("node").alias(key), "head", "place")
+
+
+def selector_matches(selectors: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``selectors`` with ``n``, the stored rows that each names, ``exactly_one`` and ``any_row``.
+
+    The many-selector form of ``one_row_selector``: rows are counted per key
+    before they meet the selectors; null parts name null parts.
+    """
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return joined_back(selectors, counts, keys).withColumns({"exactly_one": n == 1, "any_row": n > 0, "n": n})
+
+
 def one_row_selector(df: DataFrame, selector: dict, *, exact: bool = True) -> bool:
     """Whether a selector names exactly one (or any) stored row; reads two rows at most."""
     for k, v in selector.items():

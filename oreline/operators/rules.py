@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oreline.functions.scalar import composite_key, scaled
+from oreline.operators import datum
 
 _NAME = re.compile(r"^[a-z_][a-z0-9_]*$")
 _COMPARE = {"eq": operator.eq, "ne": operator.ne, "lt": operator.lt, "le": operator.le, "gt": operator.gt, "ge": operator.ge}
@@ -165,6 +166,22 @@ def read_or_reject(df: DataFrame, key: list[str], fields: dict[str, tuple[str, f
     return df.withColumns(parsed), rejected
 
 
+def datum_transform(df: DataFrame, rule: Rule, grid: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Move points to another datum by a shift grid (``datum.shifted``); what it can't place is quarantined.
+
+    ``spec``: ``x, y, source, target, step`` and ``inverse``. Datums that are
+    listed in ``same`` with each other (``[["NAD83", "WGS84"]]``) need no move;
+    points without coordinates pass as they are.
+    """
+    spec = rule.spec
+    pair = {spec["source"], spec["target"]}
+    if len(pair) == 1 or any(pair <= set(known) for known in spec.get("same", [])):
+        return df, df.limit(0).withColumns({"reason_code": F.lit(""), "rule_id": F.lit("")})
+    moved = datum.shifted(df, spec["x"], spec["y"], grid, spec["step"], inverse=spec.get("inverse", False), out=("__mx", "__my"), fact="__fact")
+    kept, rejected = _split(moved, F.col("__fact") != "datum_undetermined", rule, "datum_undetermined")
+    return kept.withColumns({spec["x"]: F.col("__mx"), spec["y"]: F.col("__my")}).drop("__mx", "__my", "__fact"), rejected.drop("__mx", "__my", "__fact")
+
+
 EXECUTORS: dict[str, Callable[[DataFrame, Rule], tuple[DataFrame, DataFrame]]] = {
     "validity_filter": validity_filter,
     "vocab_map": vocab_map,
@@ -174,14 +191,30 @@ EXECUTORS: dict[str, Callable[[DataFrame, Rule], tuple[DataFrame, DataFrame]]] =
 }
 
 
-def apply_rules(df: DataFrame, rules: list[Rule]) -> tuple[DataFrame, list[DataFrame]]:
-    """Apply rules in order; rejected rows leave the frame, policy-only rules pass."""
+#: Kinds that need a frame besides the one they work on; ``spec.frame`` names it.
+WITH_FRAME: dict[str, Callable[[DataFrame, Rule, DataFrame], tuple[DataFrame, DataFrame]]] = {
+    "alias_join": alias_join,
+    "datum_transform": datum_transform,
+}
+
+
+def apply_rules(df: DataFrame, rules: list[Rule], frames: dict[str, DataFrame] | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Apply rules in order; rejected rows leave the frame, policy-only rules pass.
+
+    ``frames`` holds the alias tables and shift grids that rules name.
+    """
     rejected = []
     for rule in rules:
         if rule.kind == "code_ref":
             continue
-        if rule.kind not in EXECUTORS:
+        if rule.kind in WITH_FRAME:
+            name = rule.spec.get("frame")
+            if name not in (frames or {}):
+                raise ValueError(f"{rule.rule_id}: no frame {name!r}")
+            df, out = WITH_FRAME[rule.kind](df, rule, frames[name])
+        elif rule.kind in EXECUTORS:
+            df, out = EXECUTORS[rule.kind](df, rule)
+        else:
             raise ValueError(f"no executor for {rule.kind!r}")
-        df, out = EXECUTORS[rule.kind](df, rule)
         rejected.append(out)
     return df, rejected

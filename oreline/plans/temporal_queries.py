@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from oreline.functions import scalar as S
-from oreline.operators import lineage, paging, serving, temporal
+from oreline.operators import lineage, paging, rules, scheduling, serving, temporal
 from oreline.plans.registry import Tables, cents, day, query, text_day
 
 _TIE = ["l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
@@ -279,6 +279,53 @@ def dom25_glossary_index(t: Tables):
 @query("dom24_selector_proof", """
 SELECT c_custkey, count(o_orderkey) AS n, count(o_orderkey) = 1 AS exactly_one, count(o_orderkey) > 0 AS any_row FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY 1""")
 def dom24_selector_proof(t: Tables):
-    done = t.orders.where("o_orderstatus = 'F'")
-    n = F.count("o_orderkey")
-    return t.customer.join(done, F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey").agg(n.alias("n"), (n == 1).alias("exactly_one"), (n > 0).alias("any_row"))
+    done = t.orders.where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return lineage.selector_matches(t.customer.select("c_custkey"), done, ["c_custkey"]).select("c_custkey", "n", "exactly_one", "any_row")
+
+
+@query("src02_supersession_chain", """
+WITH o AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS place, first_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS head FROM orders)
+SELECT * FROM o""")
+def src02_supersession_chain(t: Tables):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    chain = t.orders.select("o_orderkey", F.lag("o_orderkey").over(w).alias("supersedes"))
+    return lineage.supersession_chain(chain, key="o_orderkey", supersedes="supersedes")
+
+
+@query("prj23_per_thousand", """
+SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 900 >= 300 THEN l_quantity::DOUBLE / ((l_partkey % 900) / 1000) END AS per_thousand FROM lineitem""")
+def prj23_per_thousand(t: Tables):
+    length = (F.col("l_partkey") % 900).cast("double")
+    return t.lineitem.select("l_orderkey", "l_linenumber", serving.per_thousand(F.col("l_quantity").cast("double"), length, 300.0).alias("per_thousand"))
+
+
+@query("dom20_jobs_after_jobs", """
+WITH j AS (SELECT o_custkey AS job, max(CAST(o_orderdate AS DATE)) AS ran FROM orders GROUP BY 1)
+SELECT j.job, strftime(CASE WHEN p.ran > j.ran THEN p.ran END, '%Y-%m-%d') AS next_due, coalesce(p.ran > j.ran AND p.ran <= DATE '1998-08-01', false) AS due FROM j LEFT JOIN j p ON p.job = j.job + 3""")
+def dom20_jobs_after_jobs(t: Tables):
+    jobs = t.orders.groupBy(F.col("o_custkey").alias("job")).agg(F.max(day("o_orderdate")).alias("last_success"))
+    jobs = jobs.withColumns({"kind": F.lit("after"), "every_days": F.lit(None).cast("int"), "month_day": F.lit(None).cast("int"), "after_job": F.col("job") + 3})
+    return scheduling.next_due(jobs, F.lit("1998-08-01").cast("date")).select("job", F.col("next_due").cast("string").alias("next_due"), "due")
+
+
+#: A shift grid over the customers' points, bilinear in its steps, and rules that use it and an alias table.
+@query("prj09_datum_grid", """
+WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 50 <> 7 THEN -105.0 + (c_custkey % 97) / 16.0 END AS lon, 40.0 + (c_custkey % 89) / 32.0 AS lat, c_nationkey FROM customer),
+s AS (SELECT *, lon + 105 AS u, lat - 40 AS v FROM p)
+SELECT c_custkey, CASE WHEN u < 5 THEN CAST(round((lon + (3 * u + v + u * v) / 1e5) * 1e8) AS BIGINT) END AS x, CASE WHEN u < 5 THEN CAST(round((lat + (u - 2 * v) / 1e5) * 1e8) AS BIGINT) ELSE CAST(round(lat * 0) AS BIGINT) END AS y,
+  n_name AS alias, u >= 5 AS rejected FROM s JOIN nation ON n_nationkey = c_nationkey WHERE u IS NOT NULL""")
+def prj09_datum_grid(t: Tables):
+    k = F.col("c_custkey")
+    points = t.customer.select(k, F.when(k % 50 != 7, F.lit(-105.0) + (k % 97) / 16.0).alias("lon"), (F.lit(40.0) + (k % 89) / 32.0).alias("lat"), "c_nationkey")
+    i, j = k % 6, F.floor(k / 6) % 5
+    grid = t.customer.select((i - 105).alias("gx"), (j + 40).alias("gy"), ((3 * i + j + i * j) / 1e5).alias("dx"), ((i - 2 * j) / 1e5).alias("dy")).distinct()
+    aliases = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("alias"), F.lit(0.9).alias("confidence"))
+    rules_ = [
+        rules.Rule("datum", "datum_transform", {"frame": "grid", "x": "lon", "y": "lat", "source": "NAD27", "target": "WGS84", "step": 1.0}),
+        rules.Rule("names", "alias_join", {"frame": "aliases", "keys": ["c_nationkey"], "value": "alias", "min_confidence": 0.5}),
+    ]
+    kept, (lost, _) = rules.apply_rules(points, rules_, {"grid": grid, "aliases": aliases})
+    whole = lambda c: F.round(F.col(c) * 1e8).cast("long")
+    moved = kept.where("lon IS NOT NULL").select("c_custkey", whole("lon").alias("x"), whole("lat").alias("y"), "alias", F.lit(False).alias("rejected"))
+    rest = lost.join(aliases, "c_nationkey").select("c_custkey", F.lit(None).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), "alias", F.lit(True).alias("rejected"))
+    return moved.union(rest)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from oreline import storage
 from oreline.functions import scalar as S
-from oreline.operators import aggregates, allocation, append, geo, graph, lineage, modeling, paging, rules, scheduling, serving, temporal
+from oreline.operators import aggregates, allocation, append, datum, geo, graph, lineage, modeling, paging, rules, scheduling, serving, temporal
 from oreline.sources import files, sinks
 from oreline.streaming import forms
 
@@ -550,3 +550,44 @@ def test_landed_files_have_content_addresses(spark, tmp_path):
     (tmp_path / "b.bin").write_bytes(b"x")
     rows = files.landed(spark, str(tmp_path), "s", F.lit("2024-01-01").cast("date")).collect()
     assert len({r["sha256"] for r in rows}) == 1 and len({r["manifest_id"] for r in rows}) == 2
+
+
+def test_datum_grid_forward_and_back(spark, tmp_path):
+    step = 0.25
+    (tmp_path / "grid.csv").write_text("# lon, lat, seconds east, seconds north\n" + "\n".join(f"{-104 + i * step},{47 + j * step},{3.6 * (i + 0.3 * i * j)},{-1.8 * j * j}" for i in range(5) for j in range(4) if (i, j) != (4, 3)) + "\n-103.9,47.1,9,9\n")
+    grid = datum.read_grid(spark, str(tmp_path / "grid.csv"), step)
+    assert grid.count() == 19
+    points = [(1, -103.9, 47.1), (2, -103.5001, 47.2499), (3, -103.3, 47.6), (4, -105.0, 47.1), (5, None, 47.1), (6, -103.01, 47.7)]
+    df = spark.createDataFrame(points, "k int, x double, y double")
+    out = {r["k"]: r for r in datum.shifted(df, "x", "y", grid, step).collect()}
+    assert [out[k]["datum_fact"] for k in range(1, 7)] == ["shifted", "shifted", "shifted", "datum_undetermined", "no_geometry", "datum_undetermined"]
+    u, v = (0.1 / step, 0.1 / step)
+    assert abs(out[1]["x_shifted"] - (-103.9 + (u + 0.3 * u * v) / 1000)) < 1e-9 and abs(out[1]["y_shifted"] - (47.1 - 0.0005 * v)) < 1e-9
+    moved = spark.createDataFrame([(k, r["x_shifted"], r["y_shifted"]) for k, r in out.items() if r["datum_fact"] == "shifted"], df.schema)
+    for r in datum.shifted(moved, "x", "y", grid, step, inverse=True).collect():
+        assert abs(r["x_shifted"] - out[r["k"]]["x"]) < 1e-9 and abs(r["y_shifted"] - out[r["k"]]["y"]) < 1e-9
+    twice = grid.union(grid.limit(1).selectExpr("gx", "gy", "dx + 1", "dy"))
+    assert datum.cells(twice).count() < datum.cells(grid).count() == datum.cells(grid.union(grid)).count()
+
+
+def test_rules_with_frames(spark):
+    df = spark.createDataFrame([(1, 0.5, 0.5, "a"), (2, 5.0, 5.0, "b")], "k int, x double, y double, code string")
+    grid = spark.createDataFrame([(i, j, 0.001, 0.002) for i in (0, 1) for j in (0, 1)], "gx long, gy long, dx double, dy double")
+    move = rules.Rule("r", "datum_transform", {"frame": "g", "x": "x", "y": "y", "source": "NAD27", "target": "WGS84", "step": 1.0})
+    kept, (lost,) = rules.apply_rules(df, [move], {"g": grid})
+    assert [tuple(r) for r in kept.select("k", "x", "y").collect()] == [(1, 0.501, 0.502)] and lost.first()["reason_code"] == "datum_undetermined"
+    same = rules.Rule("r", "datum_transform", move.spec | {"source": "NAD83", "same": [["NAD83", "WGS84"]]})
+    assert rules.apply_rules(df, [same], {"g": grid})[0].count() == 2
+    with pytest.raises(ValueError, match="no frame"):
+        rules.apply_rules(df, [move])
+
+
+def test_supersession_chains(spark):
+    chain = lambda rows: lineage.supersession_chain(spark.createDataFrame(rows, "manifest_id string, supersedes_manifest_id string"))
+    rows = [(f"m{i:02}", f"m{i - 1:02}" if i else None) for i in range(13)] + [("x", None), ("y", "gone")]
+    got = {r["manifest_id"]: (r["head"], r["place"]) for r in chain(rows).collect()}
+    assert got == {f"m{i:02}": ("m12", 12 - i) for i in range(13)} | {"x": ("x", 0), "y": ("y", 0)}
+    for bad in ([("a", "b"), ("b", "a")], [("a", "c"), ("b", "c"), ("c", None)], [("a", "a")]):
+        with pytest.raises(ValueError):
+            chain(bad)
+    assert chain([("only", None)]).collect()[0]["place"] == 0
