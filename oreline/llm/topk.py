@@ -103,10 +103,10 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     ``query_id, rank, vec_id, score``; all candidates where there are fewer
     than k. Ties go to the smaller vec_id; scores stay within 64 bits (see ``block_scores``). Candidates with the query's own id
     are left out; a repeated candidate row is a candidate of its own and a
-    query id that occurs twice is answered once. Vectors are compared with
+    query id that occurs twice is answered once, for the least of its vectors. Vectors are compared with
     vectors of the same length only. Empty tables give an empty result.
     """
-    asked = written(queries.dropDuplicates(["vec_id"]), "topk-queries")
+    asked = written(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "topk-queries")
     n_tiles = max(1, math.ceil(asked.count() / TILE_ROWS))
     n_shards = max(1, math.ceil(vectors.count() / SHARD_ROWS))
     tile_of = F.pmod(F.xxhash64("vec_id"), F.lit(n_tiles)).cast("int")
