@@ -1,57 +1,5 @@
-"""Corpus pipeline: quality rules, near-dedup, redaction, mixing, encoding.
+"""Corpus pipeline: quality rules, near-dedup, redaction, mixing, encoding (stages in ``oreline.llm.pipeline``)."""
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
-written as Parquet and read again as the next stage's ``docs``.
-"""
+from oreline.llm.pipeline import ORACLE_SQL, STAGES, encoding, near_dedup, personal_data, quality_rules, run, source_mix
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-
-from oreline.llm import fertility, mixing, near_copies, pii, sentencepiece_bpe
-from oreline.storage import written
-
-
-def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the fertility bands reject go."""
-    return fertility.accepted(docs)
-
-
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, similarity 0.8) stays."""
-    return near_copies.one_of_each_group(docs)
-
-
-def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
-    return pii.redacted(docs)
-
-
-def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are brought to their target weights, by repeating or leaving out."""
-    return mixing.taken_texts(mixing.mixed(docs))
-
-
-def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts are encoded and decoded; the last stage returns counts and digests."""
-    return sentencepiece_bpe.encode_decode(docs, keep=("doc_id", "source", "n_chars"))
-
-
-STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_dedup", near_dedup),
-    ("personal_data", personal_data),
-    ("source_mix", source_mix),
-    ("encoding", encoding),
-]
-
-#: Tokenisers, xxhash and the random field are not SQL; the tests hold the brute-force version.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "encoding", "near_dedup", "personal_data", "quality_rules", "run", "source_mix"]
