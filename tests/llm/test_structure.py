@@ -208,9 +208,9 @@ def test_op12(spark, sf_dir):
 
 
 def test_nearest_smaller_and_totals_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(smaller_values, "BLOCK", 4)
+    monkeypatch.setattr(smaller_values, "BLOCK", 12)
     rnd = random.Random(6)
-    for n, top in ((0, 3), (1, 3), (3, 2), (150, 3), (150, 40)):
+    for n, top in ((0, 3), (1, 3), (160, 4), (60, 40)):
         values = [-1] + [rnd.randint(0, top) for _ in range(n - 1)] if n else []
         df = spark.createDataFrame([(i, i, v, 0) for i, v in enumerate(values)], "at long, pos long, value long, owner long")
         got = {r["pos"]: (r["left"], r["right"]) for r in smaller_values.nearest_smaller(df, Passes(spark, "t")).collect()}
@@ -228,7 +228,7 @@ def test_nearest_smaller_and_totals_by_blocks(spark, monkeypatch):
 TURNS = "conv_id long, turn long, role string, text string, turns int, pos int"
 
 
-@pytest.mark.parametrize("block", [3, 4096])
+@pytest.mark.parametrize("block", [24, 4096])
 def test_trie_of_odd_conversations(spark, monkeypatch, block):
     monkeypatch.setattr(smaller_values, "BLOCK", block)
     monkeypatch.setattr(prefix_trie, "BLOCK", block)
