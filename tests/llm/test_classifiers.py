@@ -124,3 +124,76 @@ def test_isotonic_steps_with_tied_margins():
             knots, values = boosting.fit_isotonic(margin[order], y[order])
             assert np.allclose(np.interp(at, knots, values), want)
     assert np.interp(0.0, *boosting.fit_isotonic(np.zeros(4), np.array([0.0, 0, 1, 1]))) == 0.5
+
+
+def plain_features(text, lexicon):
+    """The 18 features word by word, from their description."""
+    words = (text or "").split()
+    if not words:
+        return [0.0] * 18
+    best = lambda w: max([lexicon.get(s, 0.0) for s in toxicity.stems(w)], default=0.0)
+    known = lambda w: max(best(w), 6.0) if w in toxicity.INSULTS else best(w)
+    rows = []
+    for w in words:
+        core, plain, readable = w.strip(toxicity._SIGNS), toxicity.plain_form(w), toxicity.readable_form(w)
+        if core.isalpha():
+            plain = readable = core.lower()
+        open_ = known(plain)
+        hidden = known(readable) if readable != plain and not open_ else 0.0
+        letters, caps = sum(c.isalpha() for c in w), sum(c.isupper() for c in w)
+        mixed = not core.isalpha() and any(c.isalpha() for c in plain)
+        rows.append((open_, hidden, plain in toxicity.SECOND_PERSON, caps, letters, letters > 1 and caps == letters, mixed, len(w) - letters, plain if core.isalpha() else None, w))
+    n, hits = len(rows), [i for i, r in enumerate(rows) if r[0] > 0 or r[1] > 0]
+    near = [any(rows[j][2] for j in range(max(0, i - 6), min(n, i + 7))) for i in hits]
+    letters, signs = sum(r[4] for r in rows), sum(r[7] for r in rows)
+    total = sum(r[0] + r[1] for r in rows)
+    strong = sorted(max(r[0], r[1]) for r in rows)[-3:]
+    return [
+        len(hits) / n, np.log1p(len(hits)), total / n, np.log1p(total), max(max(r[0], r[1]) for r in rows), len({rows[i][9].lower() for i in hits}),
+        sum(r[1] > 0 for r in rows) / n, sum(r[1] > 0 for r in rows), sum(near) / n, sum(near) / len(hits) if hits else 0.0, sum(r[2] for r in rows) / n,
+        sum(r[3] for r in rows) / max(1, letters), sum(r[5] for r in rows) / n, signs / (max(1, letters) + signs), sum(r[6] for r in rows) / n,
+        (text.count("!") + text.count("?")) / n, np.log1p(n), sum(strong),
+    ]
+
+
+def test_toxicity_scores_are_those_of_plain_rules(tables):
+    """Features word by word, trees walked node by node, steps looked up one by one."""
+    docs, labels = tables
+    texts = docs.select("doc_id", "text").limit(150)
+    known = labels.select("doc_id", toxicity.F.col("toxic").alias("label"))
+    lexicon, trees, (knots, values) = toxicity.fitted(toxicity.training_texts(docs.select("doc_id", "text"), known, "label", toxicity.TRAINING_BOUND).select("doc_id", "text", "label"))
+    assert lexicon and all(b >= a for a, b in zip(values, values[1:]))
+    words = toxicity.Words(lexicon)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, labels).collect()}
+    odd = ["", "You are an 1d10t!!! yes YOU", "i.d.i.o.t ... ok", "ALL CAPS ++ 12 a1b2 d'accord", "¿estúpido? tú"]
+    for text in odd + [r["text"] for r in texts.collect()]:
+        assert np.allclose(toxicity.features(text, words), plain_features(text, lexicon), rtol=1e-4, atol=1e-5), text[:80]
+    for r in texts.collect():
+        x = toxicity.features(r["text"], words).astype(float)
+        margin = trees.base
+        for feature, cut, leaf in zip(trees.feature, trees.cut, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if x[feature[node]] > cut[node] else 1)
+            margin += leaf[node - len(feature)]
+        at = np.searchsorted(knots, margin)
+        if at == 0 or at == len(knots):
+            want = values[0] if at == 0 else values[-1]
+        else:
+            a, b = knots[at - 1], knots[at]
+            want = values[at - 1] + (values[at] - values[at - 1]) * ((margin - a) / (b - a) if b > a else 1.0)
+        assert abs(scores[r["doc_id"]] - want) < 1e-6
+
+
+def test_language_predictions_are_means_over_all_windows(tables):
+    docs, _ = tables
+    source = docs.select("doc_id", "text", "lang")
+    net = langid.fitted(source)
+    got = {r["doc_id"]: r for r in langid.identified(docs).collect()}
+    for r in source.limit(120).collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        each = [net.probabilities(w[None])[0] for w in langid.windows_of(r["text"])]
+        mean = sum(each) / len(each)
+        assert got[r["doc_id"]]["lang_pred"] == net.languages[int(np.argmax(mean))] and abs(got[r["doc_id"]]["score"] - min(1.0, mean.max())) < 1e-4
