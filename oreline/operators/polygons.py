@@ -10,14 +10,17 @@ point is tested against the edges of its own cell only.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oreline.operators.lines import legs, with_cells
+from oreline.operators.geo import tile_of
+from oreline.operators.lines import by_number, flat_points, legs, with_cells
 from oreline.operators.windows import joined_back
 
 #: Where in a row of cells its crossings are taken; any place serves, a vertex there is unlikely.
@@ -266,3 +269,45 @@ def containers(points: DataFrame, point_key: str, x: str, y: str, polygons: Data
     sized = held.join(polygons.select(key, area), key)
     found = sized.groupBy(point_key).agg(F.min(F.struct(F.col(area).alias("a"), F.col(key).alias("k"))).alias("m"), F.count("*").alias("n_overlaps"), F.array_sort(F.collect_set(key)).alias("all_keys"))
     return joined_back(points.select(point_key), found.select(point_key, F.col("m.k").alias("container"), "n_overlaps", "all_keys"), [point_key])
+
+
+def inner_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float] | None:
+    """A point inside a polygon: the middle of the widest stretch that a scan line has inside.
+
+    The line runs at the middle of the box, moved half way to the next corner
+    above if one lies on it. None if no stretch has width (no area there).
+    """
+    corners = [p for r in rings for p in r]
+    if not corners:
+        return None
+    ys = sorted({p[1] for p in corners})
+    middle = (ys[0] + ys[-1]) / 2
+    above = [y for y in ys if y > middle]
+    height = middle if middle not in ys or not above else (middle + above[0]) / 2
+    crossings = []
+    for r in rings:
+        closed = r if r[0] == r[-1] else [*r, r[0]]
+        for (ax, ay), (bx, by) in zip(closed, closed[1:]):
+            if (ay > height) != (by > height):
+                crossings.append((bx - ax) * (height - ay) / (by - ay) + ax)
+    crossings.sort()
+    width, at = max(((b - a, -a) for a, b in zip(crossings[::2], crossings[1::2])), default=(0.0, 0.0))
+    return (-at + width / 2, height) if width > 0 else None
+
+
+def label_anchors(polygons_: DataFrame, key: str, rings: str, zoom: int) -> DataFrame:
+    """``key, x, y, tile_x, tile_y``: a point inside each polygon (longitude, latitude) and the one tile that owns it.
+
+    The point lies inside for concave rings, parts and holes alike; tiles own
+    their left and upper edges. Null for polygons without inside.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [inner_point(by_number(points)) if points is not None else None for points in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f and f[i] for f in found], pa.float64()) for i in (0, 1))], ["k", "x", "y"])
+
+    kind = polygons_.schema[key].dataType.simpleString()
+    found = polygons_.select(key, flat_points(rings).alias("p")).mapInArrow(run, f"k {kind}, x double, y double")
+    tx, ty = tile_of(F.col("x"), F.col("y"), zoom)
+    return found.select(F.col("k").alias(key), "x", "y", F.when(F.col("x").isNotNull(), tx).alias("tile_x"), F.when(F.col("x").isNotNull(), ty).alias("tile_y"))

@@ -173,3 +173,36 @@ def test_cover_grows_with_the_boundary(spark):
     circle = lambda r: [[(r * math.cos(t / 200 * math.pi), r * math.sin(t / 200 * math.pi)) for t in range(400)]]
     counts = [polygons.cover(spark.createDataFrame([(1, circle(r))], POLYGON), "k", "rings", 1.0).count() for r in (50.0, 200.0)]
     assert counts[1] < 4.6 * counts[0] and counts[1] < 200 * 200
+
+
+def test_parts_chain_in_any_order(spark):
+    rnd = random.Random(5)
+    line = [(float(i), float(i % 3)) for i in range(20)]
+    for _ in range(20):
+        cuts = [0, *sorted(rnd.sample(range(1, 19), 4)), 19]
+        parts = [line[a : b + 1] for a, b in zip(cuts, cuts[1:])]
+        rnd.shuffle(parts)
+        parts = [p if rnd.random() < 0.5 else p[::-1] for p in parts]
+        assert lines.chained(parts) == [min(line, line[::-1])]
+        assert lines.anchor_of(parts) == lines.anchor_of([line])
+    fork = [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 0.0), (2.0, 1.0)], [(1.0, 0.0), (2.0, -1.0)]]
+    assert len(lines.chained(fork)) == 3 and lines.anchor_of(fork) == lines.anchor_of(fork[::-1])
+    loop = [[(0.0, 0.0), (1.0, 0.0)], [(1.0, 1.0), (1.0, 0.0)], [(1.0, 1.0), (0.0, 0.0)]]
+    assert len(lines.chained(loop)) == 1 and len(lines.chained(loop)[0]) == 4
+    rows = [(1, 0, line[:8]), (1, 1, line[7:]), (2, 0, None), (3, 0, []), (4, 0, [(5.0, 6.0)])]
+    got = {r["k"]: (r["x"], r["y"]) for r in lines.anchors(spark.createDataFrame(rows, LINE), ["k"], "line").collect()}
+    assert got == {1: lines.anchor_of([line]), 2: (None, None), 3: (None, None), 4: (5.0, 6.0)}
+
+
+def test_label_anchors_lie_inside(spark):
+    rnd = random.Random(13)
+    rows = random_polygons(rnd, 40) + [(100, [[(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (0.0, 9.0), (0.0, 0.0)], [(1.0, 1.0), (8.0, 1.0), (8.0, 8.0), (1.0, 8.0), (1.0, 1.0)]])]
+    rows += [(101, [[(0.0, 0.0), (1.0, 1.0), (0.0, 0.0)]]), (102, []), (103, None), (104, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (2.0, 2.0), (0.0, 4.0), (0.0, 0.0)]])]
+    df = spark.createDataFrame(rows, POLYGON)
+    got = {r["k"]: r for r in polygons.label_anchors(df, "k", "rings", 6).collect()}
+    for k, rings in rows:
+        if k in (101, 102, 103):
+            assert got[k]["x"] is None and got[k]["tile_x"] is None
+        elif got[k]["x"] is not None:
+            assert even_odd(got[k]["x"], got[k]["y"], rings)
+    assert sum(r["x"] is None for r in got.values()) < 6
