@@ -170,8 +170,8 @@ def mixed(
 
     Null and empty texts have size 0 and are never taken; a null source is a
     source of its own and stands last. Repeated rows are rows of their own. Rows
-    stand by a digest of seed, id and text, so reruns agree and rows without an
-    id are spread like others. The words taken of a source come within one block
+    stand by a digest of seed, id and text, then by a hash of ``row``, so reruns
+    agree and rows without an id are spread like others. The words taken of a source come within one block
     of its quota, which is within a block of its target; no row exceeds ``cap``
     times its size. An empty table gives an empty one.
 
@@ -201,7 +201,7 @@ def mixed(
     steps = steps.withColumn("within", earlier(["of", "top"], "deal")).drop("words")
     offsets = steps.join(tops, ["of", "top"]).select("of", "deal", (F.col("above") + F.col("within")).alias("offset"))
     placed = rows.join(offsets.join(spending, "of"), ["of", "deal"])
-    inside = Window.partitionBy("of", "deal").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("of", "deal").orderBy("key", "size", F.xxhash64("row")).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     p = F.struct("full", "last", "part", "now", "then")
     placed = placed.withColumn("start", start).withColumn("p", p)
