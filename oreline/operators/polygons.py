@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from oreline.operators.geo import tile_of
 from oreline.operators.lines import by_number, flat_points, legs, with_cells
 from oreline.operators.windows import joined_back
+from oreline.storage import written
 
 #: Where in a row of cells its crossings are taken; any place serves, a vertex there is unlikely.
 _AT = 0.3819660112501051
@@ -78,7 +79,8 @@ def faults(df: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     The first that holds: ``empty`` (no ring), ``too_few_points``,
     ``not_closed``, ``self_crossing`` (rings cross, touch an edge with a corner,
     or lie on each other), ``no_area`` (some ring). ``n_crossings`` counts the
-    places at which edges would have to be divided.
+    places at which edges would have to be divided. Edges are written once: they
+    meet themselves, and the plan does not repeat what ``rings`` is made from.
     """
 
     def ends_apart(r: Column) -> Column:
@@ -92,7 +94,7 @@ def faults(df: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
         .when(F.exists(found, ends_apart), "not_closed")
     )
     no_area = F.when(F.exists(found, lambda r: signed_area(r) == 0), "no_area")
-    places = _meetings(edges(df, key, rings), key, cell).select(key, "x", "y").distinct().groupBy(key).agg(F.count("*").alias("n_crossings"))
+    places = _meetings(written(edges(df, key, rings), "polygon-edges"), key, cell).select(key, "x", "y").distinct().groupBy(key).agg(F.count("*").alias("n_crossings"))
     n = F.coalesce("n_crossings", F.lit(0).cast("long"))
     judged = df.select(key, per.alias("reason"), no_area.alias("__flat")).join(places, key, "left")
     return judged.select(key, F.coalesce("reason", F.when(n > 0, "self_crossing"), "__flat").alias("reason"), n.alias("n_crossings"))
@@ -178,9 +180,11 @@ def repaired(df: DataFrame, key: str, rings: str, cell: float, *, digits: int =
     rings, anticlockwise around the inside and clockwise around holes. Corners
     are rounded to ``digits`` decimals. Polygons without inside have no rings.
     Dividing is a join over cells; one polygon's pieces are then traced together.
+    Edges and rings are written once, since both are read several times.
     """
     round_to = lambda c: F.rint(F.col(c) * 10.0**digits) / 10.0**digits
-    segments = edges(df, key, rings).withColumns({c: round_to(c) for c in ("x0", "y0", "x1", "y1")}).where("x0 <> x1 OR y0 <> y1")
+    rounded = edges(df, key, rings).withColumns({c: round_to(c) for c in ("x0", "y0", "x1", "y1")})
+    segments = written(rounded.where("x0 <> x1 OR y0 <> y1"), "polygon-edges")
     met = _meetings(segments, key, cell).where("x IS NOT NULL").withColumns({"x": round_to("x"), "y": round_to("y")})
     stops = met.groupBy(key, "ring", "leg").agg(F.collect_set(F.struct("x", "y")).alias("stops"))
     along = lambda p: (p["x"] - F.col("x0")) * (F.col("x1") - F.col("x0")) + (p["y"] - F.col("y0")) * (F.col("y1") - F.col("y0"))
@@ -193,7 +197,7 @@ def repaired(df: DataFrame, key: str, rings: str, cell: float, *, digits: int =
     odd = same_way.groupBy(key, "x0", "y0", "x1", "y1").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
 
     bundled = odd.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("e"))
-    traced_ = bundled.select(key, _traced("e").alias("r"))
+    traced_ = written(bundled.select(key, _traced("e").alias("r")), "polygon-rings")
     none = F.array().cast(_RINGS)
     return df.select(key).join(traced_, key, "left").select(key, F.coalesce("r.rings", none).alias("rings"), F.coalesce("r.area", F.lit(0.0)).alias("area"))
 
