@@ -44,12 +44,12 @@ def month_census(rows: DataFrame, keys: list[str], month: str, label: str, stren
     return out.withColumn("span", span.cast("long")).withColumn("absent", (F.col("span") - F.col("__n")).cast("long")).drop("__n")
 
 
-def coverage(df: DataFrame, keys: list[str], value: str, allocated: str) -> DataFrame:
-    """Outcome of a key and the share of its volume that was allocated."""
+def coverage(df: DataFrame, keys: list[str], value: str, allocated: str, *, digits: int = 4) -> DataFrame:
+    """Outcome of a key and the share of its volume that was allocated, rounded to ``digits`` decimals."""
     whole, part = F.sum(F.abs(F.col(value))), F.sum(F.when(F.col(allocated), F.abs(F.col(value))).otherwise(0))
     out = df.groupBy(*keys).agg(whole.alias("__all"), part.alias("__part"), F.bool_or(allocated).alias("__any"))
     outcome = F.when(F.col("__all").isNull(), "never_reported").when(F.col("__any"), "observed_with_allocated").otherwise("observed")
-    share = F.when(F.col("__all") > 0, F.round(F.col("__part").cast("decimal(28,6)") / F.col("__all").cast("decimal(28,6)"), 4))
+    share = F.when(F.col("__all") > 0, F.round(F.col("__part").cast("decimal(28,6)") / F.col("__all").cast("decimal(28,6)"), digits))
     return out.select(*keys, outcome.alias("outcome"), share.alias("allocated_share"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from oreline import storage
 from oreline.functions import scalar as S
 from oreline.operators import aggregates, allocation, append, datum, geo, graph, lineage, modeling, paging, rules, scheduling, serving, temporal
+from oreline.plans.catalog import QUERIES
 from oreline.sources import files, sinks
 from oreline.streaming import forms
 
@@ -591,3 +592,9 @@ def test_supersession_chains(spark):
         with pytest.raises(ValueError):
             chain(bad)
     assert chain([("only", None)]).collect()[0]["place"] == 0
+
+
+def test_coverage_share_rounds_as_its_sql(spark, tmp_path):
+    """0.30504996 is 3050.500 to three decimals and then 3051; rounded at once it was 3050."""
+    spark.createDataFrame([(1, "P", 305049.96), (1, "F", 694950.04)], "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert [r["share_4dp"] for r in QUERIES["agg04_coverage"](spark, str(tmp_path)).collect()] == [3051]
