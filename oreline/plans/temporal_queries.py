@@ -80,7 +80,7 @@ FROM orders o""")
 def jon02_status_resolver(t: Tables):
     resolver = t.spark.createDataFrame([("O", "open")], "o_orderstatus string, status string")
     promoted = t.orders.withColumn("promoted", F.when(F.col("o_orderstatus") == "F", "final"))
-    return serving.resolved(promoted, resolver, ["o_orderstatus"], "promoted", "unresolved").select("o_orderkey", "resolved_status")
+    return serving.resolved(promoted, F.broadcast(resolver), ["o_orderstatus"], "promoted", "unresolved").select("o_orderkey", "resolved_status")
 
 
 @query("jon03_latest_per_outer_row", """
@@ -182,7 +182,8 @@ def jon21_snapshot_edges(t: Tables):
 SELECT m.stream, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem JOIN (VALUES ('A', 'adjusted'), ('N', 'new'), ('R', 'new')) m(flag, stream) ON flag = l_returnflag GROUP BY 1""")
 def jon22_values_lookup(t: Tables):
     lookup = t.spark.createDataFrame([("A", "adjusted"), ("N", "new"), ("R", "new")], "l_returnflag string, stream string")
-    return t.lineitem.join(lookup, "l_returnflag").groupBy("stream").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    # Three rows: sent to every task, as a shuffle would put each flag's lines into one.
+    return t.lineitem.join(F.broadcast(lookup), "l_returnflag").groupBy("stream").agg(F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
 
 
 @query("agg33_vintage_bounds", "SELECT l_orderkey, strftime(min(l_shipdate), '%Y-%m-%d') AS first_vintage, strftime(max(l_shipdate), '%Y-%m-%d') AS last_vintage FROM lineitem GROUP BY 1")

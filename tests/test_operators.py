@@ -598,3 +598,9 @@ def test_coverage_share_rounds_as_its_sql(spark, tmp_path):
     """0.30504996 is 3050.500 to three decimals and then 3051; rounded at once it was 3050."""
     spark.createDataFrame([(1, "P", 305049.96), (1, "F", 694950.04)], "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
     assert [r["share_4dp"] for r in QUERIES["agg04_coverage"](spark, str(tmp_path)).collect()] == [3051]
+
+
+@pytest.mark.parametrize("name", ["jon22_values_lookup", "jon02_status_resolver"])
+def test_listed_rows_are_not_shuffled_to(spark, sf_dir, name):
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
