@@ -213,3 +213,18 @@ def test_plans_of_repaired_polygons_do_not_nest(spark, sf_dir):
     """Faults of repaired shapes are planned from written edges and rings, not from all that made them (212,846 characters before)."""
     found = QUERIES["geo10_validity"](spark, sf_dir)
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
+
+
+def test_gaps_and_zone_distances_in_batches_are_those_of_single_pairs():
+    rnd = random.Random(8)
+    some = [[(rnd.randint(0, 9) / 1000 - 97, rnd.randint(0, 9) / 1000 + 40) for _ in range(rnd.choice([1, 2, 2, 2, 5]))] for _ in range(120)]
+    pairs = [(rnd.choice(some), rnd.choice(some), rnd.choice([13, 14, 15])) for _ in range(400)]
+    flat = lambda i: (np.array([q for p in pairs for q in p[i]], float), np.cumsum([0, *(len(p[i]) for p in pairs)]))
+    found = lines.zone_distances(flat(0), flat(1), np.array([z for *_, z in pairs]))
+    want = [lines.line_distance(*(lines._utm_xy(np.array(line, float), z) for line in (a, b))) for a, b, z in pairs]
+    assert np.allclose(found, want, rtol=0, atol=1e-9)
+    ends = np.array([[rnd.randint(0, 6) for _ in range(8)] for _ in range(500)], float)
+    d, x, y = lines.segment_gaps(*ends.T)
+    for row, one, u, v in zip(ends.tolist(), d, x, y):
+        p, q = (row[:2], row[2:4]), (row[4:6], row[6:])
+        assert abs(one - gap(p, q)) < 1e-9 and abs(gap([(u, v)] * 2, p) + gap([(u, v)] * 2, q) - one) < 1e-9
