@@ -121,6 +121,20 @@ def register_manifests(existing: DataFrame, fetched: DataFrame) -> DataFrame:
     return new.join(heads, ["source_id", "source_key"], "left")
 
 
+def _doubled(now: DataFrame) -> DataFrame:
+    """``node, ahead, head, place`` with pointers twice as long; rows that point nowhere are not joined.
+
+    They grow with every round and have one key, null, which a join would put
+    into one task. Both sides keep the session's number of partitions: keys
+    compress so well that merged by bytes they would be far too many for a task.
+    """
+    parts = int(now.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    jump = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("__ahead"), F.col("head").alias("__head"), F.col("place").alias("__place")).repartition(parts, "ahead")
+    met = now.where("ahead IS NOT NULL").repartition(parts, "ahead").join(jump, "ahead", "left")
+    moved = met.select("node", F.col("__ahead").alias("ahead"), F.coalesce("__head", "head").alias("head"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"))
+    return moved.union(now.where("ahead IS NULL").select("node", "ahead", "head", "place"))
+
+
 def supersession_chain(manifests: DataFrame, *, key: str = "manifest_id", supersedes: str = "supersedes_manifest_id") -> DataFrame:
     """``key, head, place``: each manifest's newest successor and its place behind it, 0 for the newest.
 
@@ -131,20 +145,20 @@ def supersession_chain(manifests: DataFrame, *, key: str = "manifest_id", supers
     """
     spark = manifests.sparkSession
     rounds = Passes(spark, "supersession")
-    ahead = manifests.where(F.col(supersedes).isNotNull()).select(F.col(supersedes).alias("node"), F.col(key).alias("ahead"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rounds.write(manifests.select(F.col(key).alias("node"), F.col(supersedes).alias("older")), "rows")
+    ahead = rows.where("older IS NOT NULL").select(F.col("older").alias("node"), F.col("node").alias("ahead")).repartition(parts, "node")
     refuse_any(ahead.groupBy("node").agg(F.count_distinct("ahead").alias("n")).where("n > 1"), "superseded twice")
-    nodes = manifests.select(F.col(key).alias("node")).distinct()
+    nodes = rows.select("node").repartition(parts, "node").distinct()
     first = nodes.join(ahead.distinct(), "node", "left").withColumn("place", F.col("ahead").isNotNull().cast("long"))
     now = rounds.write(first.select("node", "ahead", F.coalesce("ahead", "node").alias("head"), "place"), "round-0")
+    rounds.drop("rows")
     longest, number = now.count(), 0
     while now.where("ahead IS NOT NULL").limit(1).count():
         if 1 << number > longest:
             raise ValueError("manifests supersede each other in a cycle")
-        jump = now.select(F.col("node").alias("ahead"), F.col("ahead").alias("__ahead"), F.col("head").alias("__head"), F.col("place").alias("__place"))
-        met = now.join(jump, "ahead", "left")
-        moved = met.select("node", F.col("__ahead").alias("ahead"), F.coalesce("__head", "head").alias("head"), (F.col("place") + F.coalesce("__place", F.lit(0))).alias("place"))
         number += 1
-        now = rounds.write(moved, f"round-{number}")
+        now = rounds.write(_doubled(now), f"round-{number}")
         rounds.drop(f"round-{number - 1}")
     return now.select(F.col("node").alias(key), "head", "place")
 

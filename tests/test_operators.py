@@ -604,3 +604,12 @@ def test_coverage_share_rounds_as_its_sql(spark, tmp_path):
 def test_listed_rows_are_not_shuffled_to(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_ended_chains_are_not_joined(spark):
+    """Manifests that point nowhere stay where they are: joined on their null pointer, they all were one task's."""
+    now = spark.range(4000).selectExpr("id AS node", "IF(id % 100 = 1, id - 1, NULL) AS ahead", "IF(id % 100 = 1, id - 1, id) AS head", "IF(id % 100 = 1, 1L, 0L) AS place").repartition(4)
+    moved = lineage._doubled(now)
+    assert sorted(map(tuple, moved.collect())) == sorted(((i, None, i - 1, 1) if i % 100 == 1 else (i, None, i, 0)) for i in range(4000))
+    per_task = [r["count"] for r in moved.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(per_task) < 2000
