@@ -222,9 +222,16 @@ def near_pairs(df: DataFrame, key: str, x: str, y: str, radius: float, *, extra:
 
 
 def neighbour_edges(df: DataFrame, key: str, x: str, y: str, radius: float) -> DataFrame:
-    """Directed edges both ways, closest geometry of each pair, rounded to the millimetre."""
-    pairs = near_pairs(df, key, x, y, radius).groupBy("a", "b").agg(F.round(F.min("distance"), 3).alias("distance"))
-    return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    """Directed edges both ways, closest geometry of each pair, rounded to the millimetre.
+
+    Only a table in which a key has several points needs the pairs grouped.
+    """
+    pairs = near_pairs(df, key, x, y, radius).select("a", "b", F.round("distance", 3).alias("distance"))
+    points = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    if not points.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        pairs = pairs.groupBy("a", "b").agg(F.min("distance").alias("distance"))
+    ways = F.array(F.struct("a", "b", "distance"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
+    return pairs.select(F.explode(ways).alias("e")).select("e.*")
 
 
 #: Sub-cells on each side of a cell.

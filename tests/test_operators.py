@@ -613,3 +613,12 @@ def test_ended_chains_are_not_joined(spark):
     assert sorted(map(tuple, moved.collect())) == sorted(((i, None, i - 1, 1) if i % 100 == 1 else (i, None, i, 0)) for i in range(4000))
     per_task = [r["count"] for r in moved.groupBy(F.spark_partition_id()).count().collect()]
     assert max(per_task) < 2000
+
+
+def test_edges_of_single_points_are_not_grouped(spark):
+    rows = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0), (3, 50.0, 0.0)], "k long, x double, y double")
+    edges = geo.neighbour_edges(rows, "k", "x", "y", 6.0)
+    assert sorted(map(tuple, edges.collect())) == [(1, 2, 5.0), (2, 1, 5.0)]
+    assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    twice = geo.neighbour_edges(rows.union(spark.createDataFrame([(2, 0.0, 1.0)], rows.schema)), "k", "x", "y", 6.0)
+    assert sorted(map(tuple, twice.collect())) == [(1, 2, 1.0), (2, 1, 1.0)]
