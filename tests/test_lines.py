@@ -228,3 +228,8 @@ def test_gaps_and_zone_distances_in_batches_are_those_of_single_pairs():
     for row, one, u, v in zip(ends.tolist(), d, x, y):
         p, q = (row[:2], row[2:4]), (row[4:6], row[6:])
         assert abs(one - gap(p, q)) < 1e-9 and abs(gap([(u, v)] * 2, p) + gap([(u, v)] * 2, q) - one) < 1e-9
+
+
+def test_lines_of_one_file_are_tiled_in_several_tasks(spark):
+    rows = spark.range(40, numPartitions=1).select("id", F.expr("array(named_struct('x', -100D + id, 'y', 40D), named_struct('x', -96D + id, 'y', 41D))").alias("line"))
+    assert lines.tile_pieces(rows, "id", "line", 8).rdd.getNumPartitions() > 1
