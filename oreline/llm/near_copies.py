@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from oreline.llm import simhash
 from oreline.llm.rows import column, packed, schema_with, unpacked
 from oreline.operators.graph import connected_components
 from oreline.storage import Passes, written
@@ -76,8 +77,8 @@ def bands(found: np.ndarray) -> tuple[np.ndarray, bytes]:
     return (key ^ key >> np.uint64(29)).view(np.int64), (least >> np.uint64(8)).astype(np.uint8).tobytes()
 
 
-def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Packed rows with their place, the 128-bit hash and size of their shingle set, and its buckets."""
+def _marked(docs: DataFrame, text: str, doc_id: str, fingerprints: bool) -> DataFrame:
+    """Packed rows with their place, the 128-bit hash and size of their shingle set, its buckets, and the fingerprint of the text if asked for."""
     source = packed(docs, place=F.monotonically_increasing_id(), id=column(doc_id), by_text=F.xxhash64(column(text)), text=column(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +89,21 @@ def _marked(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             keys = np.concatenate([k for k, _ in marks]) if sets else np.zeros(0, np.int64)
             sketches = pa.array([b for _, b in marks], pa.binary())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists, sketches], [*batch.schema.names[:4], "node", "size", "bands", "sketch"])
+            prints = pa.array(np.array([simhash.text_fingerprint(t.as_py()) if fingerprints else 0 for t in batch.column(4)], "<u8").view("<i8"))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(node, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), lists, sketches, prints], [*batch.schema.names[:4], "node", "size", "bands", "sketch", "fp"])
 
-    return source.mapInArrow(run, schema_with(source.drop("text"), "node binary, size bigint, bands array<bigint>, sketch binary"))
+    return source.mapInArrow(run, schema_with(source.drop("text"), "node binary, size bigint, bands array<bigint>, sketch binary, fp bigint"))
+
+
+def _fingerprint_links(rows: DataFrame, tables: Passes) -> DataFrame:
+    """``a < b``: nodes with the least node of their fingerprint, and the least nodes of linked fingerprints."""
+    seen = tables.write(rows.select("fp", "node").distinct(), "fingerprints")
+    least = tables.write(seen.groupBy("fp").agg(F.min("node").alias("least")), "least-nodes")
+    close = simhash.linked_pairs(least.select("fp"))
+    end = lambda fp, name: least.select(F.col("fp").alias(fp), F.col("least").alias(name))
+    between = close.join(end("a", "x"), "a").join(end("b", "y"), "b").select("x", "y")
+    both = seen.join(least, "fp").select("least", "node").union(between).where("least <> node")
+    return both.select(F.least("least", "node").alias("a"), F.greatest("least", "node").alias("b")).distinct()
 
 
 def _shingle_rows(texts: DataFrame) -> DataFrame:
@@ -229,10 +242,12 @@ def _components(members: DataFrame, sets: DataFrame, sketches: DataFrame, links:
     return labels
 
 
-def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", fingerprints: bool = False) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id.
 
-    A group is a component of the links at similarity 0.8 or more. Between rows
+    A group is a component of the links at similarity 0.8 or more and, with
+    ``fingerprints``, those of SimHash fingerprints at most 2 bits apart: these
+    are found first, so nodes that they join are not compared again. Between rows
     of the smallest id the one with the smallest text hash stays; rows without
     an id come last. Texts of up to five words are one shingle; null, empty and
     blank texts are copies of each other. Columns stay as they are; an empty
@@ -246,7 +261,7 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     shuffled once, for nodes that share a bucket.
     """
     tables = Passes(docs.sparkSession, "near-copies")
-    rows = written(_marked(docs, text, doc_id), "near-copy-rows")
+    rows = written(_marked(docs, text, doc_id, fingerprints), "near-copy-rows")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "by_text", F.xxhash64("row").alias("by_row"), "place")
     nodes = written(
         rows.select("node", "size", "bands", "sketch", order.alias("best"))
@@ -265,7 +280,9 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     sets = tables.write(_shingle_rows(rows.select("place", F.col("row").getField(text).alias("text")).join(places.drop("sketch"), "place").select("node", "text")), "sets")
 
     beside = buckets.select("key", "node", "size", F.col("centre.node").alias("centre"), F.col("centre.size").alias("centre_size"))
-    stars = tables.write(_alike(beside.where((F.col("node") != F.col("centre")) & _sizes_allow("size", "centre_size")).select("node", "centre").distinct(), sets, sketches), "stars")
+    printed = tables.write(_fingerprint_links(rows, tables), "fingerprint-links") if fingerprints else None
+    stars = _alike(beside.where((F.col("node") != F.col("centre")) & _sizes_allow("size", "centre_size")).select("node", "centre").distinct(), sets, sketches)
+    stars = tables.write(stars if printed is None else stars.union(printed).distinct(), "stars")
     labels = connected_components(stars, "a", "b").withColumnRenamed("node", "at")
     labelled = beside.join(labels, F.col("node") == F.col("at"), "left").select("key", "node", "size", "centre", F.coalesce("component", "node").alias("part"))
     others = labelled.where("node <> centre")

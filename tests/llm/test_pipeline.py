@@ -7,7 +7,7 @@ import numpy as np
 import sentencepiece
 
 import corpus_pipeline
-from oreline.llm import fertility, pii, sentencepiece_bpe, simhash
+from oreline.llm import fertility, near_copies, pii, sentencepiece_bpe, simhash
 from tests.llm.test_text_operators import WORD, naive_base, naive_components, naive_fingerprint, naive_mix, words
 
 
@@ -85,3 +85,16 @@ def test_one_of_each_group_is_the_smallest_id(spark):
     docs, rows = _documents(spark)
     kept = {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()}
     assert 4 in kept and not kept & set(range(200, 206))
+
+
+def test_texts_that_only_fingerprints_link_are_one_group(spark):
+    """Forty repeats of nine words and an end of their own: one fingerprint, but five-word sets that share too little."""
+    rnd = random.Random(3)
+    base = [words(rnd, 1, "abcdefghij") for _ in range(9)]
+    long_ = " ".join(base * 40)
+    ends = [f"{long_} {words(rnd, 3, 'klmnop')}" for _ in range(3)]
+    rows = [(1, ends[0]), (2, ends[1]), (3, ends[2]), (9, words(rnd, 60, "qrstuv"))]
+    assert len({naive_components([(i, naive_fingerprint(t)) for i, t in rows[:3]])[k][2] for k in range(3)}) == 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.STAGES[1][1](spark, docs, "").collect()) == [1, 9]
+    assert sorted(r["doc_id"] for r in near_copies.one_of_each_group(docs).collect()) == [1, 2, 3, 9]
