@@ -258,7 +258,8 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     shingles of its own; the sets of hubs are dealt out with their neighbours.
     Only cells of at most ``ROUNDS`` levels that still hold several components
     are compared in pairs. Rows are written once with their marks; texts are
-    shuffled once, for nodes that share a bucket.
+    shuffled once, for nodes that share a bucket. Rounds join the sets of those
+    nodes only that still share a bucket with another component.
     """
     tables = Passes(docs.sparkSession, "near-copies")
     rows = written(_marked(docs, text, doc_id, fingerprints), "near-copy-rows")
@@ -288,6 +289,9 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     others = labelled.where("node <> centre")
     several = others.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key", "n")
     still = tables.write(others.join(several, "key"), "still")
+    left = tables.write(still.select("node").union(still.select("centre")).distinct(), "left")
+    sets, sketches = (tables.write(table.join(left, "node", "left_semi"), f"open-{name}") for name, table in (("sets", sets), ("sketches", sketches)))
+    tables.drop("sets", "sketches")
     first = tables.write(stars.union(_alike(_pairs(still.where(F.col("n") <= FEW), "key").distinct(), sets, sketches)).distinct(), "few")
     known, total = stars.count(), first.count()
     if total > known:

@@ -38,6 +38,18 @@ def test_copies_with_a_few_edits_go(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 50]
 
 
+def test_rounds_join_only_sets_that_are_still_apart(spark, monkeypatch):
+    rnd = random.Random(12)
+    base = words(rnd, 100, "abcdefgh").split()
+    rows = [(1, " ".join(base))] + [(2 + i, " ".join([*base[: 4 * i], "edited", *base[4 * i + 1 :]])) for i in range(20)]
+    joined, alike = [], near_copies._alike
+    monkeypatch.setattr(near_copies, "_alike", lambda pairs, sets, sketches: joined.append((sets.count(), sketches.count())) or alike(pairs, sets, sketches))
+    got = near_copies.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r["doc_id"] for r in got.collect()] == [1]
+    assert joined[0] == (21, 21)
+    assert set(joined[1:]) == {(0, 0)}  # all are one component with their centre
+
+
 def test_groups_are_those_of_all_pairs(spark):
     rnd = random.Random(8)
     rows = [(i, words(rnd, rnd.randint(0, 60), "abcdefgh")) for i in range(60)]

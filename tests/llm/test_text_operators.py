@@ -55,6 +55,19 @@ def test_encoding_of_odd_and_long_texts(codec, library, text):
     assert codec.encode(text).tolist() == library.encode(text, add_bos=True, add_eos=True)
 
 
+def test_a_chunk_with_loose_ends_takes_what_is_known_of_its_word(codec, library, monkeypatch):
+    searched, search = [], sentencepiece_bpe.Codec.segment
+    monkeypatch.setattr(sentencepiece_bpe.Codec, "segment", lambda self, text: searched.append(text) or search(self, text))
+    text = "zorvetick zorvetick, (zorvetick) zorvetick?! zorvetick,, zorvetick,zorvetick ,;,; , ." + ",;" * 30_000
+    assert codec.encode(text).tolist() == library.encode(text, add_bos=True, add_eos=True)
+    assert searched.count("▁zorvetick") == 1
+    assert not {"▁zorvetick,", "▁zorvetick?"} & set(searched)
+    rnd = random.Random(17)
+    for _ in range(300):
+        text = "".join(rnd.choice(["a", "be", "the", "ing", ",", ".", ";", "?!", "))", "'s", '"', "é", "日", "1", "\n", " ", "\u2581", "\U0001f600"]) for _ in range(40))
+        assert codec.encode(text).tolist() == library.encode(text, add_bos=True, add_eos=True)
+
+
 def test_encode_decode_rows(spark, library):
     texts = [(1, None, "x"), (2, "", "x"), (2, "Hello  wörld\n", "y"), (2, "Hello  wörld\n", "y"), (None, "z" * 50000, None)]
     out = sentencepiece_bpe.encode_decode(spark.createDataFrame(texts, "doc_id long, text string, n_tokens string"), emit_ids=True)
@@ -143,6 +156,18 @@ def test_simhash_groups(spark):
     assert simhash.simhash_groups(df.limit(0)).count() == 0
 
 
+def test_replicas_are_shuffled_by_anchor_not_broadcast(spark):
+    """Spark takes the replicas for little more than the fingerprints, which would fit a broadcast."""
+    rnd = random.Random(29)
+    fps = sorted({rnd.getrandbits(63) for _ in range(40)})
+    fps += [fps[0] ^ 1, fps[1] ^ 6, fps[2] ^ 7]
+    pairs = simhash.linked_pairs(spark.createDataFrame([(x,) for x in fps], "fp long"))
+    assert {frozenset(r) for r in pairs.collect()} == {frozenset((fps[0], fps[0] ^ 1)), frozenset((fps[1], fps[1] ^ 6))}
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+    assert "Broadcast" not in plan
+
+
 # Top-k
 
 
