@@ -125,7 +125,7 @@ def base_measures(text: str) -> tuple[int, int, int, int, int]:
     """Words, their characters, symbols, repeated lines and repeated words."""
     words = text.encode("utf-8", "surrogatepass").split()
     index = dict(zip(dict.fromkeys(words), count()))
-    ids = np.array(list(map(index.__getitem__, words)), np.int64)
+    ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
     lines = [x for x in text.split("\n") if x.strip(_BLANKS)]
     return (
         len(words),
@@ -142,8 +142,12 @@ def _of_tokens(codec: Codec, ids: np.ndarray) -> tuple[int, float, float]:
     if not total:
         return 0, 0.0, 0.0
     ids = np.sort(ids)
-    ends = np.concatenate([np.flatnonzero(ids[1:] != ids[:-1]), [total - 1]])
-    counts = np.diff(ends, prepend=-1)
+    last = np.ones(total, bool)
+    np.not_equal(ids[1:], ids[:-1], out=last[:-1])
+    ends = np.flatnonzero(last)
+    counts = ends.copy()
+    counts[1:] -= ends[:-1]
+    counts[0] += 1
     is_byte = codec.is_fallback[ids[ends]]  # line ends are no fallback
     share = counts / total
     return total, int(counts[is_byte].sum()) / total, float(-(share * np.log2(share)).sum()) / math.log2(max(2, total))

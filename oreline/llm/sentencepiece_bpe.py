@@ -14,8 +14,9 @@ into a left-to-right search:
 
 No piece of the vocabulary has a space mark behind another character, so text
 falls apart at ``space marks + other characters`` and merges never cross those
-borders; each distinct chunk is encoded once per Python worker. Characters
-outside the vocabulary are borders as well and become one byte piece per byte.
+borders; each distinct chunk is encoded once per Python worker. Nor do merges
+cross two characters that stand side by side in no piece: a chunk that ends so
+(a word and its comma) is put together from its parts. Characters outside the vocabulary are borders as well and become one byte piece per byte.
 """
 
 from __future__ import annotations
@@ -80,6 +81,9 @@ class Codec:
         self.text_of = {i: p for p, i, _ in vocabulary.pieces}
         self.byte_ids = vocabulary.byte_ids
         self.alphabet = frozenset(p for p in self.id_of if len(p) == 1)
+        self.bytes_of = {p: struct.pack("<I", i) for p, i in self.id_of.items()}
+        #: Characters that stand side by side in some piece; no merge crosses any other two.
+        self.adjacent = frozenset(p[i : i + 2] for p in self.id_of for i in range(len(p) - 1))
         #: The longest piece that is a proper prefix of a piece, or "".
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.id_of), "") for p in self.id_of}
         self.matcher = ahocorasick.Automaton()
@@ -126,7 +130,7 @@ class Codec:
         longest = [""] * n
         for end, (piece, more) in self.matcher.iter(text):
             longest[end - more] = piece  # ends grow, so the last one is the longest
-        pairs, failed, at = self._pairs, 0, 0
+        pairs, shorter, failed, at = self._pairs, self.shorter, 0, 0
         tokens: list[str] = []
         last, candidate = "", longest[0]
         while True:
@@ -139,28 +143,34 @@ class Codec:
                         return tokens
                     at, last, candidate = end, candidate, longest[end]
                     continue
-            candidate = self.shorter[candidate]
+            candidate = shorter[candidate]
             while not candidate:  # nothing fits here: take the last token back
                 failed |= 1 << at
                 taken = tokens.pop()
                 at -= len(taken)
                 last = tokens[-1] if tokens else ""
-                candidate = self.shorter[taken]
+                candidate = shorter[taken]
 
-    def ids_of_chunk(self, chunk: str) -> list[int]:
+    def bytes_of_chunk(self, chunk: str) -> bytes:
+        of = self.bytes_of.__getitem__
         if self.alphabet.issuperset(chunk):
-            return [self.id_of[p] for p in self.segment(chunk)]
-        ids: list[int] = []
+            end = len(chunk)
+            while end > 1 and chunk[end - 2 : end] not in self.adjacent:
+                end -= 1
+            if end == len(chunk):
+                return b"".join(map(of, self.segment(chunk)))
+            return self.chunk(chunk[:end]) + b"".join(map(of, chunk[end:]))
+        found: list[bytes] = []
         start = 0
         for i, ch in enumerate(chunk):
             if ch not in self.id_of:
                 if i > start:
-                    ids += [self.id_of[p] for p in self.segment(chunk[start:i])]
-                ids += [self.byte_ids[b] for b in ch.encode()]
+                    found += map(of, self.segment(chunk[start:i]))
+                found += [struct.pack("<I", self.byte_ids[b]) for b in ch.encode()]
                 start = i + 1
         if start < len(chunk):
-            ids += [self.id_of[p] for p in self.segment(chunk[start:])]
-        return ids
+            found += map(of, self.segment(chunk[start:]))
+        return b"".join(found)
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a chunk as little-endian 32-bit integers."""
@@ -168,8 +178,7 @@ class Codec:
         if found is None:
             if len(self._chunks) >= MEMO_ENTRIES:
                 self._chunks.clear()
-            ids = self.ids_of_chunk(chunk)
-            found = self._chunks[chunk] = struct.pack(f"<{len(ids)}I", *ids)
+            found = self._chunks[chunk] = self.bytes_of_chunk(chunk)
         return found
 
     def body(self, text: str) -> bytes:
