@@ -9,13 +9,14 @@ case in 10,000 (by calculation: (1 - 0.8^6)^30), one at 0.9 practically never.
 Nodes of a bucket are first compared with its centre only, the node with the
 most neighbours over all its buckets, which is the original of a group of edited
 copies where the table has it. Nodes of different components that are still
-together form a group under that centre. Two of them can only be alike if they
-share a shingle that the centre lacks, or if the centre holds enough of both:
-so the group is dealt into cells, by the shingles that the centre lacks and by
-size, each cell gets a centre of its own, and so on. Shingles that a whole group
-shares never meet, and each round is linear in the shingles that are left. Cells
-of a dozen nodes are compared in pairs, and so are those that still hold several
-components after a few rounds.
+together form a group under that centre; groups of linked centres are one. Two of
+them can only be alike if they share a shingle that the centre lacks, or if the
+centre holds enough of both: so the group is dealt into cells, by the shingles
+that the centre lacks and that members of several components share, the rarest
+first, and by size; each cell gets a centre of its own, and so on. Each round is
+linear in the shingles that are left. Cells of a dozen nodes, or of a dozen
+partners a member on average, are compared in pairs, and so are those that still
+hold several components after a few rounds.
 Each link is checked on the exact sets. Before that, pairs are compared on their
 least hashes, a byte each; but for that (one pair in 10^13) no pair of the
 buckets that may be alike is left out.
@@ -168,34 +169,59 @@ def _size_band(size) -> Column:
     return F.floor(F.log(size) / F.lit(SIZE_STEP)).cast("long")
 
 
+def _open(members: DataFrame, tables: Passes, number: int) -> DataFrame:
+    """Members of groups, ``grp, node, size, part, covered, rest``, that may still be alike to one of another component.
+
+    Of ``rest`` only shingles stay that members of different components of the
+    group share, rarest first: no pair that is still asked for has another one in
+    common. Members that have too few of them, and too little in common with the
+    centres, are left out. A shingle that all of a group share is one key of both
+    sides of a join; nothing else meets there.
+    """
+    each = tables.write(members.select("grp", "node", "part", F.explode("rest").alias("found")), f"each-{number}")
+    shared = each.groupBy("grp", "found").agg(F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("grp", "found", "n")
+    held = each.select("grp", "node", "found").join(shared, ["grp", "found"]).groupBy("grp", "node").agg(F.sort_array(F.collect_list(F.struct("n", "found"))).alias("held"))
+    rest = F.coalesce(F.col("held.found"), F.array().cast("array<bigint>"))
+    found = members.drop("rest").join(held, ["grp", "node"], "left").select("grp", "node", "size", "part", "covered", rest.alias("rest"))
+    return tables.write(found.where((F.size(_leading()) > 0) | (5 * _most_covered() >= 4 * F.col("size"))), f"open-{number}")
+
+
+def _leading() -> Column:
+    """The first shingles of ``rest``, of which two sets share one if they share what each can't do without."""
+    needed = F.greatest(F.ceil(4 * F.col("size") / 5) - F.col("covered"), F.lit(1))
+    return F.slice("rest", F.lit(1), F.greatest(F.size("rest") - needed + 1, F.lit(0)).cast("int"))
+
+
+def _most_covered() -> Column:
+    """The largest size of a set that is alike by covered shingles only, from 9 * covered >= 4 * (both sizes)."""
+    return F.least("size", F.floor(9 * F.col("covered") / 4) - F.col("size"))
+
+
 def _dealt(members: DataFrame) -> DataFrame:
-    """Members of groups, ``grp, node, size, part, rest``, dealt into cells of those that may be alike.
-
-    ``rest`` holds the shingles that none of the group's centres so far has. Two
-    sets share at most as many of the other shingles as either has. Either both
-    have enough of those, which bounds the smaller one's size from above: then
-    the larger one goes to the cells of all sizes that it allows, the smaller
-    one, which is asked for there, to that of its own. Or the pair has so many of ``rest`` in common as the
-    others leave open. Then one of them is among the first of both, in an order
-    that all sets keep, if each leaves out at the end one less than it needs.
-    Cells whose members are one component already, or in which none is asked
-    for, are left out.
+    """Members of groups, ``grp, node, size, part, covered, rest``, dealt into cells of those that may be alike.
+
+    ``covered`` counts the shingles that one of the group's centres so far has,
+    ``rest`` holds those of the others that are shared. Two sets share at most as
+    many of the covered ones as either has. Either both have enough of those,
+    which bounds the smaller one's size from above: then the larger one goes to
+    the cells of all sizes that it allows, the smaller one, which is asked for
+    there, to that of its own. Or the pair has so many of ``rest`` in common as
+    the others leave open. Then one of them is among the first of both, in an
+    order that all sets of a group keep, if each leaves out at the end one less
+    than it needs. Cells whose members are one component already, or in which
+    none is asked for, are left out.
     """
-    size, rest = F.col("size"), F.size("rest")
-    covered = size - rest
-    most = F.least(size, F.floor(9 * covered / 4) - size)  # from 9 * covered >= 4 * (both sizes)
+    size, covered, most = F.col("size"), F.col("covered"), _most_covered()
     none = F.array().cast("array<bigint>")
     allowed = F.when(5 * most >= 4 * size, F.sequence(_size_band(F.ceil(4 * size / 5)), _size_band(most))).otherwise(none)
     own = F.when(9 * covered >= 8 * size, F.array(_size_band(size))).otherwise(none)
-    needed = F.greatest(F.ceil(4 * size / 5) - covered, F.lit(1))
-    leading = F.slice("rest", F.lit(1), F.greatest(rest - needed + 1, F.lit(0)).cast("int"))
     cell = lambda kind, asked: lambda t: F.struct(F.struct(F.lit(kind).alias("kind"), t.alias("at")).alias("cell"), F.lit(asked).alias("asked"))
-    cells = F.concat(F.transform(leading, cell(0, True)), F.transform(F.array_except(allowed, own), cell(1, False)), F.transform(own, cell(1, True)))
-    spread = members.select("grp", "node", "size", "part", rest.alias("left"), F.explode(cells).alias("to")).select("grp", "node", "size", "part", "left", "to.*")
-    nearest = F.max(F.struct(-F.col("left"), "node", "size", "part"))  # the one with the fewest shingles of its own
+    cells = F.concat(F.transform(_leading(), cell(0, True)), F.transform(F.array_except(allowed, own), cell(1, False)), F.transform(own, cell(1, True)))
+    spread = members.select("grp", "node", "size", "part", "covered", F.size("rest").alias("shares"), F.explode(cells).alias("to")).select("grp", "node", "size", "part", "covered", "shares", "to.*")
+    nearest = F.max(F.struct("shares", -size, "node", "size", "part"))  # the one with the most shingles that others have
     counts = [F.count("*").alias("n"), F.min("part").alias("low"), F.max("part").alias("high"), F.max("asked").alias("asked"), nearest.alias("centre")]
     several = spread.groupBy("grp", "cell").agg(*counts).where("low < high AND asked").drop("low", "high", "asked")
-    return spread.join(several, ["grp", "cell"])
+    return spread.drop("shares").join(several, ["grp", "cell"])
 
 
 def _pairs(cells: DataFrame, *by: str) -> DataFrame:
@@ -207,38 +233,64 @@ def _pairs(cells: DataFrame, *by: str) -> DataFrame:
 
 def _covered_pairs(cells: DataFrame) -> DataFrame:
     """``node, centre``: pairs of a size cell that their covered shingles allow, with one that is asked for there."""
-    one = cells.select("grp", "cell", "node", "size", "part", (F.col("size") - F.col("left")).alias("covered"))
-    other = cells.where("asked").select("grp", "cell", F.col("node").alias("other"), F.col("size").alias("m"), F.col("part").alias("q"), (F.col("size") - F.col("left")).alias("also"))
+    one = cells.select("grp", "cell", "node", "size", "part", "covered")
+    other = cells.where("asked").select("grp", "cell", F.col("node").alias("other"), F.col("size").alias("m"), F.col("part").alias("q"), F.col("covered").alias("also"))
     allowed = (F.col("m") <= F.col("size")) & (F.col("part") != F.col("q")) & (9 * F.least("covered", "also") >= 4 * (F.col("size") + F.col("m")))
     return one.join(other, ["grp", "cell"]).where(allowed).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("centre"))
 
 
+def _grouped(large: DataFrame, links: DataFrame) -> DataFrame:
+    """``centre, grp``: of the centres linked to a centre, and itself, the one with the most members.
+
+    A family has a centre in each of its buckets, and many of its members are in
+    several of them: they are one group, so that a member is dealt out once.
+    """
+    weights = large.groupBy("centre").agg(F.count("*").alias("weight"))
+    other = weights.select(F.col("centre").alias("other"), "weight")
+    ends = links.select(F.col("a").alias("centre"), F.col("b").alias("other")).union(links.select("b", "a"))
+    beside = ends.join(weights.select("centre"), "centre").join(other, "other").select("centre", "other", "weight")
+    best = beside.union(weights.select("centre", F.col("centre").alias("other"), "weight")).groupBy("centre").agg(F.max(F.struct("weight", "other")).alias("best"))
+    return best.select("centre", F.col("best.other").alias("grp"))
+
+
 def _components(members: DataFrame, sets: DataFrame, sketches: DataFrame, links: DataFrame, labels: DataFrame, known: int, tables: Passes) -> DataFrame:
     """Components of ``links`` and of those between members of groups that are not one component.
 
-    ``members`` has ``grp, node, size, part, rest`` and ``centre``, with which
-    all of a group have been compared; ``labels`` are the components of the first
-    ``known`` links. They are found again only where a round has linked more.
+    ``members`` has ``grp, node, size, part, covered, rest`` and ``centre``, with
+    which all of a group have been compared; ``labels`` are the components of the
+    first ``known`` links. They are found again only where a round has linked more.
     """
     for number in range(ROUNDS + 1):
-        if not members.limit(1).count():
+        if members.isEmpty():
+            break
+        seen = _with_hub(members, "centre", sets, "found", "node", "base").withColumn("left", F.array_except("rest", "base"))
+        covered = F.col("covered") + F.size("rest") - F.size("left")
+        held = tables.write(seen.select("grp", "node", "size", "part", covered.alias("covered"), F.col("left").alias("rest")), f"rest-{number}")
+        still = _open(held, tables, number)
+        tables.drop(f"rest-{number}", f"each-{number}")
+        dealt = tables.write(_dealt(still), f"cells-{number}")
+        sharing = dealt.where("cell.kind = 0")
+        rows, sharers, pairs = dealt.agg(F.count("*"), F.count_if(F.col("cell.kind") == 0), F.sum(F.when(F.col("cell.kind") == 0, F.col("n") - 1) / 2)).first()
+        if not rows:
             break
-        seen = _with_hub(members, "centre", sets, "found", "node", "base")
-        held = tables.write(seen.select("grp", "node", "size", "part", F.array_except("rest", "base").alias("rest")), f"rest-{number}")
-        dealt = tables.write(_dealt(held), f"cells-{number}")
-        sharing, last = dealt.where("cell.kind = 0"), number == ROUNDS
+        last = number == ROUNDS or (pairs or 0) <= FEW * sharers
         settled = _covered_pairs(dealt.where("cell.kind = 1")).union(_pairs(sharing if last else sharing.where(F.col("n") <= FEW), "grp", "cell"))
-        large = sharing.where((F.col("n") > FEW) & (F.col("node") != F.col("centre.node")) & F.lit(not last))
-        inner = large.select("grp", F.unhex(F.md5(F.concat("grp", "centre.node"))).alias("inner"), "node", "centre").distinct()
-        members = tables.write(inner.join(held, ["grp", "node"]).drop("grp").withColumnRenamed("inner", "grp"), f"members-{number}")
-        beside = members.where(_sizes_allow("size", "centre.size") & (F.col("part") != F.col("centre.part"))).select("node", F.col("centre.node").alias("centre"))
-        links = tables.write(links.union(_alike(settled.union(beside).distinct(), sets, sketches)).distinct(), f"links-{number}")
-        tables.drop(f"rest-{number}", f"cells-{number}")
-        members = members.withColumn("centre", F.col("centre.node"))
-        total = links.count()
+        if not last:
+            large = sharing.where((F.col("n") > FEW) & (F.col("node") != F.col("centre.node")))
+            inner = large.select("grp", F.unhex(F.md5(F.concat("grp", "centre.node"))).alias("inner"), "node", "centre").distinct()
+            members = tables.write(inner.join(still, ["grp", "node"]).drop("grp").withColumnRenamed("inner", "grp"), f"members-{number}")
+            beside = members.where(_sizes_allow("size", "centre.size") & (F.col("part") != F.col("centre.part"))).select("node", F.col("centre.node").alias("centre"))
+            settled = settled.union(beside)
+        links = tables.write(links.union(_alike(settled.distinct(), sets, sketches)).distinct(), f"links-{number}")
+        tables.drop(f"open-{number}", f"cells-{number}")
+        if last:
+            break
+        members, total = members.withColumn("centre", F.col("centre.node")), links.count()
         if total > known:
             labels, known = connected_components(links, "a", "b").withColumnRenamed("node", "at"), total
             members = members.join(labels, F.col("node") == F.col("at"), "left").withColumn("part", F.coalesce("component", "part")).drop("at", "component")
+    if links.count() > known:
+        labels = connected_components(links, "a", "b").withColumnRenamed("node", "at")
     return labels
 
 
@@ -292,12 +344,14 @@ def one_of_each_group(docs: DataFrame, *, text: str = "text", doc_id: str = "doc
     left = tables.write(still.select("node").union(still.select("centre")).distinct(), "left")
     sets, sketches = (tables.write(table.join(left, "node", "left_semi"), f"open-{name}") for name, table in (("sets", sets), ("sketches", sketches)))
     tables.drop("sets", "sketches")
-    first = tables.write(stars.union(_alike(_pairs(still.where(F.col("n") <= FEW), "key").distinct(), sets, sketches)).distinct(), "few")
-    known, total = stars.count(), first.count()
-    if total > known:
-        labels = connected_components(first, "a", "b").withColumnRenamed("node", "at")
-    large = still.where(F.col("n") > FEW).select(F.col("centre").alias("grp"), "node", "size", "part", "centre").distinct()
-    groups = _components(large.join(sets.select("node", F.col("found").alias("rest")), "node"), sets, sketches, first, labels, total, tables)
+    few = _pairs(still.where(F.col("n") <= FEW), "key")
+    large = tables.write(still.where(F.col("n") > FEW).select("node", "size", "part", "centre").distinct(), "large")
+    grouped = large.join(_grouped(large, stars), "centre").where("node <> grp")
+    moved = grouped.where("centre <> grp").select("node", F.col("grp").alias("centre"))
+    first = tables.write(stars.union(_alike(few.union(moved).distinct(), sets, sketches)).distinct(), "few")
+    members = grouped.select("grp", "node", "size", "part", F.col("grp").alias("centre")).distinct()
+    members = members.join(sets.select("node", F.col("found").alias("rest")), "node").withColumn("covered", F.lit(0))
+    groups = _components(members, sets, sketches, first, labels, stars.count(), tables)
     tables.drop_all()
     parts = nodes.join(groups, F.col("node") == F.col("at"), "left").select("best", F.coalesce("component", "node").alias("part"))
     stay = parts.groupBy("part").agg(F.min("best").alias("best")).select(F.col("best.place").alias("place"))

@@ -90,6 +90,22 @@ def test_families_truncated_and_shared_edits(spark, monkeypatch, rounds):
     assert sorted(r["doc_id"] for r in got.collect()) == naive_kept(rows)
 
 
+def test_shingles_of_one_member_only_are_not_dealt_out(spark, monkeypatch):
+    """Far edits of one text, each with words of its own: nothing that two of them share is left to look for."""
+    monkeypatch.setattr(near_copies, "FEW", 1)
+    rnd = random.Random(5)
+    base = words(rnd, 150, "abcdefgh").split()
+    rows = [(1, " ".join(base))]
+    for i in range(25):
+        places = set(rnd.sample(range(150), 6))
+        rows.append((2 + i, " ".join(f"e{i}x{j}" if j in places else x for j, x in enumerate(base))))
+    held, dealt = [], near_copies._dealt
+    monkeypatch.setattr(near_copies, "_dealt", lambda members: held.append(sum(len(r["rest"]) for r in members.collect())) or dealt(members))
+    got = near_copies.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == naive_kept(rows)
+    assert held and max(held) < 100  # 876 before, about 30 a member
+
+
 def test_rows_without_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f"), (None, "g h i j k l"), (None, "g h i j k l"), (5, "x y"), (5, "x y"), (5, "y x")]
     out = near_copies.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()
