@@ -36,41 +36,61 @@ def edges(df: DataFrame, key: str, rings: str) -> DataFrame:
     return legs(each.withColumn("points", closed), "points", key, "ring").where("x0 <> x1 OR y0 <> y1")
 
 
+def _divided(own: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> list[tuple[int, np.ndarray, np.ndarray | None, np.ndarray | None]]:
+    """Where pairs of edges ``x0, y0, x1, y1`` must be divided: which of the two (0, 1), for which pairs, and at what points.
+
+    Edges on each other have no point.
+    """
+    (ax, ay, bx, by), (cx, cy, dx, dy) = own, other
+    side = lambda px, py, qx, qy, rx, ry: (qx - px) * (ry - py) - (qy - py) * (rx - px)
+    s1, s2 = side(ax, ay, bx, by, cx, cy), side(ax, ay, bx, by, dx, dy)
+    s3, s4 = side(cx, cy, dx, dy, ax, ay), side(cx, cy, dx, dy, bx, by)
+
+    def on(px, py, ux, uy, vx, vy, straight) -> np.ndarray:
+        """Which ends ``p`` lie on the edge ``u v``, its own ends left out."""
+        inside = (px >= np.minimum(ux, vx)) & (px <= np.maximum(ux, vx)) & (py >= np.minimum(uy, vy)) & (py <= np.maximum(uy, vy))
+        return (straight == 0) & inside & ((px != ux) | (py != uy)) & ((px != vx) | (py != vy))
+
+    crossing = (np.sign(s1) * np.sign(s2) < 0) & (np.sign(s3) * np.sign(s4) < 0)
+    t = s3 / np.where(s3 == s4, 1.0, s3 - s4)
+    x, y = ax + t * (bx - ax), ay + t * (by - ay)
+    same = (ax == cx) & (ay == cy) & (bx == dx) & (by == dy) | (ax == dx) & (ay == dy) & (bx == cx) & (by == cy)
+    return [
+        (0, crossing, x, y), (1, crossing, x, y), (0, on(cx, cy, ax, ay, bx, by, s1), cx, cy), (0, on(dx, dy, ax, ay, bx, by, s2), dx, dy),
+        (1, on(ax, ay, cx, cy, dx, dy, s3), ax, ay), (1, on(bx, by, cx, cy, dx, dy, s4), bx, by), (0, same, None, None),
+    ]
+
+
 def _meetings(segments: DataFrame, key: str, cell: float) -> DataFrame:
     """Points at which an edge must be divided: ``key, ring, leg, x, y``, each once.
 
-    Edges of one polygon meet by the cells they pass. Where two cross, both are
-    divided at the crossing; where an end, or an overlap, lies on another edge,
-    that one is.
+    Edges of one polygon meet by the cells they pass, in a sort-merge join:
+    edges of like polygons compress to a small part of what they take in
+    memory, so that a broadcast of them is sized wrong. Where two cross, both
+    are divided at the crossing; where an end, or an overlap, lies on another
+    edge, that one is. Pairs are tested a batch at a time.
     """
-    cells = with_cells(segments, cell)
     names = ("ring", "leg", "x0", "y0", "x1", "y1")
-    other = cells.select(key, "cx", "cy", *(F.col(n).alias(f"o_{n}") for n in names))
-    met = cells.join(other, [key, "cx", "cy"]).where(F.struct("ring", "leg") < F.struct("o_ring", "o_leg"))
-    side = lambda p, q, r: (F.col(f"{q}x") - F.col(f"{p}x")) * (F.col(f"{r}y") - F.col(f"{p}y")) - (F.col(f"{q}y") - F.col(f"{p}y")) * (F.col(f"{r}x") - F.col(f"{p}x"))
-    ends = {"a": ("x0", "y0"), "b": ("x1", "y1"), "c": ("o_x0", "o_y0"), "d": ("o_x1", "o_y1")}
-    named = met.select(key, "ring", "leg", "o_ring", "o_leg", *(F.col(c).alias(f"{p}{axis}") for p, xy in ends.items() for axis, c in zip("xy", xy)))
-    sides = named.withColumns({"s1": side("a", "b", "c"), "s2": side("a", "b", "d"), "s3": side("c", "d", "a"), "s4": side("c", "d", "b")})
-    point = lambda p: F.struct(F.col(f"{p}x").alias("x"), F.col(f"{p}y").alias("y"))
-    equal = lambda p, q: (F.col(f"{p}x") == F.col(f"{q}x")) & (F.col(f"{p}y") == F.col(f"{q}y"))
-
-    def on(p: str, u: str, v: str, straight: str) -> Column:
-        """Whether end ``p`` lies on the edge ``u v``, its own ends left out."""
-        inside = [F.col(f"{p}{c}").between(F.least(f"{u}{c}", f"{v}{c}"), F.greatest(f"{u}{c}", f"{v}{c}")) for c in "xy"]
-        return (F.col(straight) == 0) & inside[0] & inside[1] & ~equal(p, u) & ~equal(p, v)
-
-    marks = {
-        "crossing": (F.signum("s1") * F.signum("s2") < 0) & (F.signum("s3") * F.signum("s4") < 0),
-        "c_on": on("c", "a", "b", "s1"), "d_on": on("d", "a", "b", "s2"), "a_on": on("a", "c", "d", "s3"), "b_on": on("b", "c", "d", "s4"),
-        "same": equal("a", "c") & equal("b", "d") | equal("a", "d") & equal("b", "c"),
-    }
-    few = sides.withColumns(marks).where("crossing OR c_on OR d_on OR a_on OR b_on OR same")
-    t = F.col("s3") / F.nullif(F.col("s3") - F.col("s4"), F.lit(0.0))
-    cut = F.struct((F.col("ax") + t * (F.col("bx") - F.col("ax"))).alias("x"), (F.col("ay") + t * (F.col("by") - F.col("ay"))).alias("y"))
-    nowhere = F.struct(F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
-    divided = [("ring", "leg", "crossing", cut), ("o_ring", "o_leg", "crossing", cut), ("ring", "leg", "c_on", point("c")), ("ring", "leg", "d_on", point("d")), ("o_ring", "o_leg", "a_on", point("a")), ("o_ring", "o_leg", "b_on", point("b")), ("ring", "leg", "same", nowhere)]
-    places = F.array(*(F.when(F.col(mark), F.struct(F.col(ring).alias("ring"), F.col(leg).alias("leg"), at.alias("at"))) for ring, leg, mark, at in divided))
-    return few.select(key, F.explode(F.filter(places, lambda p: p.isNotNull())).alias("m")).select(key, "m.ring", "m.leg", "m.at.x", "m.at.y").distinct()
+    cells = with_cells(segments, cell)
+    own, other = (cells.select(F.col(key).alias(f"{side}_key"), F.col("cx").alias(f"{side}_cx"), F.col("cy").alias(f"{side}_cy"), *(F.col(n).alias(f"{side}_{n}") for n in names)) for side in ("a", "b"))
+    one_cell = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("key", "cx", "cy")]
+    met = own.join(other.hint("merge"), one_cell).where(F.struct("a_ring", "a_leg") < F.struct("b_ring", "b_leg"))
+    rows = met.select(F.col("a_key").alias(key), *(F.col(f"{side}_{n}") for n in names for side in "ab"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = [tuple(batch.column(i + side).to_numpy(zero_copy_only=False) for i in (5, 7, 9, 11)) for side in (0, 1)]
+            found = []
+            for side, mark, x, y in _divided(*ends):
+                at = np.flatnonzero(mark)
+                if len(at):
+                    point = [pa.nulls(len(at), pa.float64()) if v is None else pa.array(v[at]) for v in (x, y)]
+                    found.append([*(batch.column(i).take(pa.array(at)) for i in (0, 1 + side, 3 + side)), *point])
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*found)], [key, "ring", "leg", "x", "y"])
+
+    kept = segments.select(key, "ring", "leg").schema.fields
+    return rows.mapInArrow(run, T.StructType([*kept, *(T.StructField(c, T.DoubleType()) for c in "xy")])).distinct()
 
 
 def faults(df: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
@@ -96,7 +116,7 @@ def faults(df: DataFrame, key: str, rings: str, cell: float) -> DataFrame:
     no_area = F.when(F.exists(found, lambda r: signed_area(r) == 0), "no_area")
     places = _meetings(written(edges(df, key, rings), "polygon-edges"), key, cell).select(key, "x", "y").distinct().groupBy(key).agg(F.count("*").alias("n_crossings"))
     n = F.coalesce("n_crossings", F.lit(0).cast("long"))
-    judged = df.select(key, per.alias("reason"), no_area.alias("__flat")).join(places, key, "left")
+    judged = df.select(key, per.alias("reason"), no_area.alias("__flat")).join(places.hint("merge"), key, "left")
     return judged.select(key, F.coalesce("reason", F.when(n > 0, "self_crossing"), "__flat").alias("reason"), n.alias("n_crossings"))
 
 
@@ -191,7 +211,7 @@ def repaired(df: DataFrame, key: str, rings: str, cell: float, *, digits: int =
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     middle = F.transform(F.array_sort(F.transform("stops", lambda p: F.struct(along(p).alias("t"), p.alias("p")))), lambda s: s["p"])
     whole = F.concat(F.array(corner("x0", "y0")), F.coalesce(middle, F.array()), F.array(corner("x1", "y1")))
-    pieces = legs(segments.join(stops, [key, "ring", "leg"], "left").select(key, whole.alias("w")), "w", key).where("x0 <> x1 OR y0 <> y1")
+    pieces = legs(segments.join(stops.hint("merge"), [key, "ring", "leg"], "left").select(key, whole.alias("w")), "w", key).where("x0 <> x1 OR y0 <> y1")
     turned = F.struct("x1", "y1") < F.struct("x0", "y0")
     same_way = pieces.select(key, *(F.when(turned, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("x0", "x1"), ("y0", "y1"), ("x1", "x0"), ("y1", "y0"))))
     odd = same_way.groupBy(key, "x0", "y0", "x1", "y1").agg(F.count("*").alias("n")).where("n % 2 = 1").drop("n")
@@ -199,7 +219,7 @@ def repaired(df: DataFrame, key: str, rings: str, cell: float, *, digits: int =
     bundled = odd.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("x0", "y0", "x1", "y1"))).alias("e"))
     traced_ = written(bundled.select(key, _traced("e").alias("r")), "polygon-rings")
     none = F.array().cast(_RINGS)
-    return df.select(key).join(traced_, key, "left").select(key, F.coalesce("r.rings", none).alias("rings"), F.coalesce("r.area", F.lit(0.0)).alias("area"))
+    return df.select(key).join(traced_.hint("merge"), key, "left").select(key, F.coalesce("r.rings", none).alias("rings"), F.coalesce("r.area", F.lit(0.0)).alias("area"))
 
 
 def cover(polygons: DataFrame, key: str, rings: str, cell: float) -> DataFrame:

@@ -215,6 +215,13 @@ def test_plans_of_repaired_polygons_do_not_nest(spark, sf_dir):
     assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 60_000
 
 
+def test_edges_of_polygons_are_not_broadcast(spark, sf_dir):
+    """Files of like shapes are a small part of their rows' size, so a broadcast sized by them fills the driver (every join was one before)."""
+    found = QUERIES["geo10_validity"](spark, sf_dir)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_gaps_and_zone_distances_in_batches_are_those_of_single_pairs():
     rnd = random.Random(8)
     some = [[(rnd.randint(0, 9) / 1000 - 97, rnd.randint(0, 9) / 1000 + 40) for _ in range(rnd.choice([1, 2, 2, 2, 5]))] for _ in range(120)]
