@@ -44,13 +44,24 @@ def month_census(rows: DataFrame, keys: list[str], month: str, label: str, stren
     return out.withColumn("span", span.cast("long")).withColumn("absent", (F.col("span") - F.col("__n")).cast("long")).drop("__n")
 
 
-def coverage(df: DataFrame, keys: list[str], value: str, allocated: str, *, digits: int = 4) -> DataFrame:
-    """Outcome of a key and the share of its volume that was allocated, rounded to ``digits`` decimals."""
+def coverage_sums(df: DataFrame, keys: list[str], value: str, allocated: str) -> DataFrame:
+    """Outcome of a key, its volume and the part of it that was allocated: ``outcome, whole, part``."""
     whole, part = F.sum(F.abs(F.col(value))), F.sum(F.when(F.col(allocated), F.abs(F.col(value))).otherwise(0))
-    out = df.groupBy(*keys).agg(whole.alias("__all"), part.alias("__part"), F.bool_or(allocated).alias("__any"))
-    outcome = F.when(F.col("__all").isNull(), "never_reported").when(F.col("__any"), "observed_with_allocated").otherwise("observed")
-    share = F.when(F.col("__all") > 0, F.round(F.col("__part").cast("decimal(28,6)") / F.col("__all").cast("decimal(28,6)"), digits))
-    return out.select(*keys, outcome.alias("outcome"), share.alias("allocated_share"))
+    out = df.groupBy(*keys).agg(whole.alias("whole"), part.alias("part"), F.bool_or(allocated).alias("__any"))
+    outcome = F.when(F.col("whole").isNull(), "never_reported").when(F.col("__any"), "observed_with_allocated").otherwise("observed")
+    return out.select(*keys, outcome.alias("outcome"), "whole", "part")
+
+
+def coverage(df: DataFrame, keys: list[str], value: str, allocated: str, *, digits: int = 4) -> DataFrame:
+    """Outcome of a key and the share of its volume that was allocated, rounded to ``digits`` decimals (7 at most).
+
+    The share is rounded once, by whole numbers: a quotient of decimals is
+    itself rounded to ten places, which would lift what lies just below a half.
+    """
+    whole, part = (F.col(c).cast("decimal(28,6)") for c in ("whole", "part"))
+    places = F.call_function("div", part * F.lit(2 * 10**digits).cast(f"decimal({digits + 1},0)") + whole, whole * F.lit(2).cast("decimal(1,0)"))
+    share = F.when(F.col("whole") > 0, (places.cast("decimal(18,0)") / F.lit(10**digits).cast(f"decimal({digits + 1},0)")).cast(f"decimal(18,{digits})"))
+    return coverage_sums(df, keys, value, allocated).select(*keys, "outcome", share.alias("allocated_share"))
 
 
 def pool_rollup(df: DataFrame, keys: list[str], pool: str, value: str, days: str, order: str) -> tuple[DataFrame, DataFrame]:

@@ -622,3 +622,14 @@ def test_edges_of_single_points_are_not_grouped(spark):
     assert "Aggregate" not in edges._jdf.queryExecution().optimizedPlan().toString()
     twice = geo.neighbour_edges(rows.union(spark.createDataFrame([(2, 0.0, 1.0)], rows.schema)), "k", "x", "y", 6.0)
     assert sorted(map(tuple, twice.collect())) == [(1, 2, 1.0), (2, 1, 1.0)]
+
+
+def test_coverage_share_just_below_a_half_is_not_lifted(spark, tmp_path):
+    """0.30504994997 is 3050.499 to three decimals and then 3050; rounded to ten places before, it was 3051."""
+    rows = [(1, "P", 305049949.97), (1, "F", 694950050.03), (2, "F", 5.0), (3, "P", 0.0)]
+    spark.createDataFrame(rows, "o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r["o_custkey"]: r["share_4dp"] for r in QUERIES["agg04_coverage"](spark, str(tmp_path)).collect()}
+    assert got == {1: 3050, 2: 0, 3: None}
+    df = spark.createDataFrame([(1, 12344999999, True), (1, 87655000001, False), (2, -1, True), (2, 7999, False), (3, None, True), (4, 0, False)], "k long, v long, a boolean")
+    shares = {r["k"]: (r["outcome"], r["allocated_share"] and str(r["allocated_share"])) for r in aggregates.coverage(df, ["k"], "v", "a").collect()}
+    assert shares == {1: ("observed_with_allocated", "0.1234"), 2: ("observed_with_allocated", "0.0001"), 3: ("never_reported", None), 4: ("observed", None)}
