@@ -240,3 +240,20 @@ def test_gaps_and_zone_distances_in_batches_are_those_of_single_pairs():
 def test_lines_of_one_file_are_tiled_in_several_tasks(spark):
     rows = spark.range(40, numPartitions=1).select("id", F.expr("array(named_struct('x', -100D + id, 'y', 40D), named_struct('x', -96D + id, 'y', 41D))").alias("line"))
     assert lines.tile_pieces(rows, "id", "line", 8).rdd.getNumPartitions() > 1
+
+
+def test_pairs_of_laterals_are_not_shuffled(spark, sf_dir):
+    """Edges grow with the square of the density, wells do not: behind the measuring of pairs nothing is exchanged (three shuffles of all pairs before)."""
+    for name in ("geo06_lateral_edges", "jon07_line_neighbours"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan.split("MapInArrow")[0] and plan.count("Join") == 1
+
+
+@pytest.mark.parametrize("radius", [1.0, 2.0])
+def test_lines_at_the_borders_of_cells_are_paired_once(spark, radius):
+    rnd = random.Random(21)
+    rows = [(i // 2, i % 2, [(float(rnd.randint(-6, 6)), float(rnd.randint(-6, 6))) for _ in range(rnd.choice([1, 2, 2, 4]))]) for i in range(60)]
+    got = [((r["a"], r["b"], r["a_part"], r["b_part"]), r["distance"]) for r in lines.near_lines(spark.createDataFrame(rows, LINE), "k", "part", "line", radius).collect()]
+    want = {(a, b, i, j): gap(p, q) for a, i, p in rows for b, j, q in rows if a < b}
+    assert len(got) == len(dict(got)) and all(abs(d - want[pair]) < 1e-9 for pair, d in got)
+    assert {p for p, d in want.items() if d <= radius - 1e-9} <= set(dict(got)) <= {p for p, d in want.items() if d <= radius + 1e-9}
